@@ -51,12 +51,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import minhash
+
+    return minhash.near_dedup(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
