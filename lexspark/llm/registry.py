@@ -38,6 +38,13 @@ FROM d
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import ppm
+
+    scored = ppm.score(common.table(spark, sf_dir, "documents"), ~common.held_out("doc_id", 10, 0))
+    return scored.select("doc_id", common.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspark.llm import warc
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_minhash": op10_minhash,
