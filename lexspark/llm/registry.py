@@ -38,6 +38,14 @@ FROM d
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import langid
+
+    docs = common.table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs, ~common.held_out("doc_id", 3, 1)))
+    return found.select("doc_id", common.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspark.llm import ppm
 
@@ -52,6 +60,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import decontam
+
+    return decontam.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspark.llm import bpe
 
@@ -74,7 +88,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
