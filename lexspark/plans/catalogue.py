@@ -1,6 +1,663 @@
-"""Registered queries of the relational operators and the SQL that checks them."""
+"""Registered queries of the relational operators over the fixture tables, with the SQL that checks them.
+
+Every query reads whole tables. ORACLE_SQL holds DuckDB SQL with the same columns.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexspark.operators import joins, ordered, quality, resolve
+from lexspark.plans import infotheory, splits
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
+
+
+def query(sql: str | None = None):
+    """Registers a function of (t, ...) where t(name) reads a table."""
+
+    def add(fn):
+        def run(spark, sf_dir):
+            return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+n_rows = F.count(F.lit(1))
+
+
+# ---------------------------------------------------------------- resolution
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS a, max(l_partkey) AS b, min(l_suppkey) AS c, max(l_suppkey) AS d
+           FROM lineitem GROUP BY ALL),
+s AS (SELECT CASE WHEN n = 1 THEN 'SINGLE' WHEN c = d THEN 'UNANIMOUS' ELSE 'AMBIGUOUS' END AS status, a = b AS part_known, c = d AS supplier_known FROM g)
+SELECT status, count(*)::BIGINT AS n_keys, count_if(part_known)::BIGINT AS n_parts, count_if(supplier_known)::BIGINT AS n_suppliers FROM s GROUP BY status
+""")
+def unanimous_decision(t) -> DataFrame:
+    """Conflicting claims about an order line: a value only where all agree, else NULL and a status."""
+    claims = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(n_rows.alias("n"), resolve.unanimous(F.col("l_partkey")).alias("part"), resolve.unanimous(F.col("l_suppkey")).alias("supplier"))
+    status = F.when(F.col("n") == 1, "SINGLE").when(F.col("supplier").isNotNull(), "UNANIMOUS").otherwise("AMBIGUOUS")
+    return claims.groupBy(status.alias("status")).agg(n_rows.alias("n_keys"), F.count("part").alias("n_parts"), F.count("supplier").alias("n_suppliers"))
+
+
+@query("SELECT l_suppkey, round(1 - product(1 - l_discount), 4) AS confidence, count(*)::BIGINT AS n FROM lineitem GROUP BY l_suppkey")
+def noisy_or_confidence(t) -> DataFrame:
+    return t("lineitem").groupBy("l_suppkey").agg(resolve.noisy_or(F.col("l_discount")).alias("confidence"), n_rows.alias("n"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_orderkey, max(l_discount) AS w FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, round(1 - product(1 - w), 4) AS confidence FROM r GROUP BY l_suppkey
+""")
+def noisy_or_distinct_records(t) -> DataFrame:
+    return resolve.noisy_or_distinct(t("lineitem"), ["l_suppkey"], ["l_orderkey"], "l_discount")
+
+
+@query("""
+SELECT l_partkey, CASE WHEN count(l_suppkey) = 0 AND count(l_returnflag) = 0 THEN 'NO_MATCH'
+    WHEN min(l_suppkey) <> max(l_suppkey) AND min(l_returnflag) <> max(l_returnflag) THEN 'SUPPLIER_AND_FLAG_AMBIGUOUS'
+    WHEN min(l_suppkey) <> max(l_suppkey) THEN 'SUPPLIER_AMBIGUOUS' WHEN min(l_returnflag) <> max(l_returnflag) THEN 'FLAG_AMBIGUOUS' ELSE 'MATCHED' END AS status
+FROM lineitem GROUP BY l_partkey
+""")
+def decision_status(t) -> DataFrame:
+    return t("lineitem").groupBy("l_partkey").agg(resolve.decision_status(("SUPPLIER", F.col("l_suppkey")), ("FLAG", F.col("l_returnflag"))).alias("status"))
+
+
+# ------------------------------------------------------------------- ordered
+
+
+_RUNS = """
+WITH a AS (SELECT *, {c} AS ok FROM events),
+b AS (SELECT *, lag(event_type) OVER w AS p, lag(ok) OVER w AS pok FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, CASE WHEN ok THEN sum(CASE WHEN ok AND (NOT coalesce(pok, false) OR event_type IS DISTINCT FROM p) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS run FROM b)
+SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, min(event_id) AS first_event, count(*)::BIGINT AS length FROM c WHERE run IS NOT NULL GROUP BY user_id, run
+"""
+
+
+def _event_runs(events: DataFrame, counts=None) -> DataFrame:
+    out = ordered.runs(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), counts)
+    return out.where("run is not null").groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.min("event_id").alias("first_event"), n_rows.alias("length"))
+
+
+@query(_RUNS.format(c="true"))
+def run_segmentation(t) -> DataFrame:
+    return _event_runs(t("events"))
+
+
+@query(_RUNS.format(c="event_type <> 'error'"))
+def run_segmentation_breaks(t) -> DataFrame:
+    """Runs that an error event ends, although it belongs to none."""
+    return _event_runs(t("events"), F.col("event_type") != "error")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, count(*) OVER (PARTITION BY l_orderkey, l_quantity) AS k,
+    min(struct_pack(a := l_linenumber, b := l_partkey, c := l_suppkey)) OVER (PARTITION BY l_orderkey, l_quantity) AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN k > 1 THEN dense_rank() OVER (PARTITION BY l_orderkey, k > 1 ORDER BY f) END::BIGINT AS dup_no FROM a
+""")
+def duplicate_groups(t) -> DataFrame:
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return ordered.duplicate_groups(rows, ["l_orderkey"], "l_quantity", ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("""
+WITH a AS (SELECT p_brand, p_name, min(p_partkey) AS first_p_partkey FROM part GROUP BY ALL)
+SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY first_p_partkey, p_name)::BIGINT AS variant_no FROM a
+""")
+def variant_numbering(t) -> DataFrame:
+    return ordered.variants(t("part"), ["p_brand"], "p_name", "p_partkey")
+
+
+@query("""
+WITH d AS (SELECT user_id, ts, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM events)
+SELECT user_id, min(CASE WHEN c >= 1000 THEN ts END) AS first_ts, round(max(c), 4) AS best, round(max_by(c, struct_pack(a := ts, b := event_id)), 4) AS final FROM d GROUP BY user_id
+""")
+def threshold_first(t) -> DataFrame:
+    """The first time at which a running metric reaches a threshold, with its best and last values."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    steps = t("events").select("user_id", "ts", "event_id", F.sum("value").over(w).alias("c"))
+    return steps.groupBy("user_id").agg(ordered.first_reaching(F.col("c"), F.col("ts"), 1000).alias("first_ts"), F.round(F.max("c"), 4).alias("best"), F.round(F.max_by("c", F.struct("ts", "event_id")), 4).alias("final"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, lang, source, md5('0|' || coalesce(lang, '') || '|' || coalesce(source, '') || '|' || doc_id) AS k, md5('0|' || coalesce(lang, '') || '|' || coalesce(source, '')) AS s FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY k, doc_id)::BIGINT AS turn FROM a)
+SELECT doc_id, lang, source, turn FROM b ORDER BY turn, s, doc_id LIMIT 100
+""")
+def stratified_roundrobin(t) -> DataFrame:
+    """A sampling operator: 100 documents, dealt out over languages and sources in turn."""
+    return ordered.stratified_round_robin(t("documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 100)
+
+
+# --------------------------------------------------------------------- joins
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 AS first FROM orders)
+SELECT a.o_custkey, a.o_orderkey AS s_o_orderkey, b.o_orderkey AS t_o_orderkey FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.first
+""")
+def pair_expansion_citation(t) -> DataFrame:
+    """A customer's first order with each of its others: the citation view's shape."""
+    o = t("orders").withColumn("first", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) == 1)
+    return joins.ordered_pairs(o, ["o_custkey"], "o_orderkey", [], F.col("first"))
+
+
+@query("""
+SELECT a.p_brand, a.p_size, a.p_partkey AS s_p_partkey, b.p_partkey AS t_p_partkey FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey
+""")
+def pair_expansion_all(t) -> DataFrame:
+    return joins.ordered_pairs(t("part"), ["p_brand", "p_size"], "p_partkey", [])
+
+
+@query("""
+WITH v AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+c AS (SELECT o_custkey, l_suppkey, count(*) AS votes FROM v JOIN s USING (l_partkey) GROUP BY ALL),
+n AS (SELECT o_custkey, count(*) AS n FROM v GROUP BY ALL),
+k AS (SELECT o_custkey, l_suppkey, votes / n AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY votes / n DESC, l_suppkey) AS rank FROM c JOIN n USING (o_custkey)),
+z AS (SELECT * FROM k WHERE rank <= 10),
+x AS (SELECT *, max(score) OVER (PARTITION BY o_custkey) AS top FROM z),
+y AS (SELECT *, sum((abs(score - top) < 1e-9)::INT) OVER (PARTITION BY o_custkey) AS tied, coalesce(max(CASE WHEN abs(score - top) >= 1e-9 THEN score END) OVER (PARTITION BY o_custkey), 0) AS second FROM x)
+SELECT o_custkey, l_suppkey, round(top, 6) AS top_score, round(second, 6) AS second_score, tied::BIGINT AS n_tied,
+    CASE WHEN top < 0.75 THEN 'UNPAIRED' WHEN tied > 1 THEN 'TIED' WHEN top = 1 THEN 'PAIRED' WHEN top - second < 0.15 THEN 'AMBIGUOUS' ELSE 'PAIRED_PARTIAL' END AS status
+FROM y WHERE rank = 1
+""")
+def vote_join(t) -> DataFrame:
+    """Customers vote for suppliers by the parts both have: best candidate, runner-up, margin, status."""
+    bought = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").select("o_custkey", "l_partkey").distinct()
+    votes = joins.votes(bought, t("lineitem"), "o_custkey", "l_suppkey", ["l_partkey"])
+    scored = votes.join(bought.groupBy("o_custkey").agg(n_rows.alias("n")), "o_custkey").select("o_custkey", "l_suppkey", (F.col("votes") / F.col("n")).alias("score"))
+    best = ordered.top_scores(scored, ["o_custkey"], "score", ["l_suppkey"]).where("rank = 1")
+    top, second = F.col("top_score"), F.col("second_score")
+    status = F.when(top < 0.75, "UNPAIRED").when(F.col("n_tied") > 1, "TIED").when(top == 1, "PAIRED").when(top - second < 0.15, "AMBIGUOUS").otherwise("PAIRED_PARTIAL")
+    return best.select("o_custkey", "l_suppkey", F.round(top, 6).alias("top_score"), F.round(second, 6).alias("second_score"), "n_tied", status.alias("status"))
+
+
+@query("""
+WITH c AS (SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS d FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey),
+k AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY d) AS r FROM c)
+SELECT a AS p_partkey, min(b) AS nearest, min(d)::BIGINT AS distance, count(*)::BIGINT AS n_tied FROM k WHERE r = 1 GROUP BY a
+""")
+def edit_distance_tiebreak(t) -> DataFrame:
+    """The nearest name among parts of the same type and size, by edit distance."""
+    pairs = joins.ordered_pairs(t("part"), ["p_type", "p_size"], "p_partkey", ["p_name"])
+    best = pairs.groupBy(F.col("s_p_partkey").alias("p_partkey"), F.levenshtein("s_p_name", "t_p_name").cast("long").alias("distance")).agg(F.min("t_p_partkey").alias("nearest"), n_rows.alias("n_tied"))
+    return best.groupBy("p_partkey").agg(F.min(F.struct("distance", "nearest", "n_tied")).alias("x")).select("p_partkey", "x.nearest", "x.distance", "x.n_tied")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+n AS (SELECT l_orderkey, count(*) AS n_needed FROM a GROUP BY ALL),
+v AS (SELECT l_orderkey, l_suppkey, count(*) AS votes FROM a JOIN s USING (l_partkey) GROUP BY ALL)
+SELECT l_orderkey, l_suppkey, n_needed::BIGINT AS n_needed FROM v JOIN n USING (l_orderkey) WHERE votes = n_needed
+""")
+def all_quantified_match(t) -> DataFrame:
+    """Suppliers that supply every part of an order."""
+    l = t("lineitem")  # noqa: E741
+    return joins.universal(l, l, "l_orderkey", "l_suppkey", ["l_partkey"])
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, floor(c_acctbal / 100) AS b FROM customer), s AS (SELECT s_suppkey, s_nationkey, floor(s_acctbal / 100) AS b FROM supplier),
+h AS (SELECT c_custkey, s_suppkey, 'nation_exact' AS method FROM c JOIN s ON c_nationkey = s_nationkey
+      UNION ALL SELECT DISTINCT o_custkey, l_suppkey, 'order_exact' FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
+      UNION ALL SELECT c_custkey, s_suppkey, 'balance_loose' FROM c JOIN s ON c.b = s.b)
+SELECT method, count(*)::BIGINT AS n, count(DISTINCT c_custkey)::BIGINT AS n_customers, count(DISTINCT s_suppkey)::BIGINT AS n_suppliers
+FROM h WHERE method <> 'balance_loose' OR (c_custkey, s_suppkey) NOT IN (SELECT (c_custkey, s_suppkey) FROM h WHERE method <> 'balance_loose') GROUP BY method
+""")
+def multi_probe_evidence(t) -> DataFrame:
+    """Claims between customers and suppliers by several probes; an exact hit suppresses a loose one."""
+    c = t("customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("b"))
+    s = t("supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 100).alias("b"))
+    bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_suppkey"))
+    bought = bought.join(t("customer").select("c_custkey"), "c_custkey")
+    probes = {"nation_exact": c.join(s, c["c_nationkey"] == s["s_nationkey"]), "order_exact": bought, "balance_loose": c.join(s, "b")}
+    hits = joins.multi_probe(probes, "c_custkey", "s_suppkey", ["nation_exact", "order_exact"], ["balance_loose"])
+    return hits.groupBy("method").agg(n_rows.alias("n"), F.count_distinct("c_custkey").alias("n_customers"), F.count_distinct("s_suppkey").alias("n_suppliers"))
+
+
+@query("""
+SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey IS NOT NULL)
+""")
+def absence_override(t) -> DataFrame:
+    """An assertion (a closed order) that counts only if nothing contradicts it (an open one)."""
+    o = t("orders")
+    return joins.absent(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["o_custkey"])
+
+
+@query("SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS returned FROM orders")
+def existence_flag(t) -> DataFrame:
+    r = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return joins.exists_flag(t("orders").select("o_orderkey"), r, ["o_orderkey"], "returned")
+
+
+@query("""
+SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+UNION ALL SELECT 'document', doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+""")
+def anti_join_missing(t) -> DataFrame:
+    a = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    return a.unionByName(t("documents").join(t("labels"), "doc_id", "left_anti").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id")))
+
+
+@query("""
+SELECT doc_id, 'left_only' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'right_only' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)
+""")
+def symmetric_difference(t) -> DataFrame:
+    return joins.symmetric_difference(t("documents").select("doc_id"), t("labels").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def intersection(t) -> DataFrame:
+    return t("documents").select("doc_id").intersect(t("labels").select("doc_id"))
+
+
+@query("""
+WITH b AS (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) SELECT k AS nation, count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS n_distinct FROM b GROUP BY k
+""")
+def union_all_distinct(t) -> DataFrame:
+    both = t("customer").select(F.col("c_nationkey").alias("nation")).unionByName(t("supplier").select(F.col("s_nationkey").alias("nation")))
+    return both.groupBy("nation").agg(n_rows.alias("n"), F.count_distinct("nation").alias("n_distinct"))
+
+
+@query("""
+SELECT a.i AS a, b.i AS b, (a.i + b.i) % 97 AS added, (a.i - b.i + 97) % 97 AS subtracted, CASE WHEN b.i = 0 THEN NULL ELSE (a.i * v.inverse) % 97 END AS divided
+FROM range(97) a(i) CROSS JOIN range(97) b(i) LEFT JOIN (SELECT x.i AS n, y.i AS inverse FROM range(97) x(i), range(97) y(i) WHERE (x.i * y.i) % 97 = 1) v ON v.n = b.i
+""")
+def modular_table(t) -> DataFrame:
+    from lexspark.plans import equations
+
+    return equations.modular_table(t("region").sparkSession, 97)
+
+
+# ------------------------------------------------------------------- quality
+
+
+_FK = {"nation_region": ("nation", "n_regionkey", "region", "r_regionkey"), "customer_nation": ("customer", "c_nationkey", "nation", "n_nationkey"), "supplier_nation": ("supplier", "s_nationkey", "nation", "n_nationkey"),
+       "orders_customer": ("orders", "o_custkey", "customer", "c_custkey"), "lineitem_orders": ("lineitem", "l_orderkey", "orders", "o_orderkey"), "lineitem_part": ("lineitem", "l_partkey", "part", "p_partkey"), "lineitem_supplier": ("lineitem", "l_suppkey", "supplier", "s_suppkey")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS check_name, (SELECT count(*) FROM (SELECT DISTINCT {c} AS k FROM {a}) x WHERE k IS NOT NULL AND k NOT IN (SELECT {p} FROM {b}))::BIGINT AS n_orphans, (SELECT count(*) FROM (SELECT DISTINCT {p} AS k FROM {b}) x WHERE k NOT IN (SELECT {c} FROM {a} WHERE {c} IS NOT NULL))::BIGINT AS n_uncovered" for k, (a, c, b, p) in _FK.items()))
+def fk_violations(t) -> DataFrame:
+    return quality.all_violations([quality.foreign_key(t(a), c, t(b), p, k) for k, (a, c, b, p) in _FK.items()])
+
+
+_KEYS = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"], "events": ["event_id"], "lineitem": ["l_orderkey", "l_linenumber"]}
+_COLUMNS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS column_name, count(*)::BIGINT AS n_rows, count_if({c} IS NULL)::BIGINT AS n_nulls, (count(*) - count(DISTINCT ({', '.join(_KEYS[n])})))::BIGINT AS n_key_duplicates FROM {n}" for n, cs in _COLUMNS.items() for c in cs))
+def contract_nulls_pk(t) -> DataFrame:
+    return quality.all_violations([quality.null_counts(t(n), n, k) for n, k in _KEYS.items()])
+
+
+@query("""
+SELECT 'events.event_type' AS column_name, event_type AS value, count(*)::BIGINT AS n FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY event_type
+UNION ALL SELECT 'orders.o_orderstatus', o_orderstatus, count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY o_orderstatus
+""")
+def enum_violations(t) -> DataFrame:
+    a = t("events").where(~F.col("event_type").isin("click", "view", "purchase")).groupBy(F.lit("events.event_type").alias("column_name"), F.col("event_type").alias("value")).agg(n_rows.alias("n"))
+    b = t("orders").where(~F.col("o_orderstatus").isin("F", "O")).groupBy(F.lit("orders.o_orderstatus").alias("column_name"), F.col("o_orderstatus").alias("value")).agg(n_rows.alias("n"))
+    return a.unionByName(b)
+
+
+@query("""
+SELECT p_partkey, str_split(p_type, ' ')[1] AS word_1, str_split(p_type, ' ')[2] AS word_2, len(str_split(p_type, ' '))::BIGINT AS n_words, regexp_extract(p_brand, '([0-9]+)', 1) AS brand_no,
+    len(str_split(p_type, ' ')) <> len(list_distinct(str_split(p_type, ' '))) AS repeated FROM part
+""")
+def feature_parse(t) -> DataFrame:
+    """A tag's parts as named fields, with a check for repeated ones."""
+    parts = F.split("p_type", " ")
+    return t("part").select("p_partkey", F.get(parts, F.lit(0)).alias("word_1"), F.get(parts, F.lit(1)).alias("word_2"), F.size(parts).cast("long").alias("n_words"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("brand_no"), (F.size(parts) != F.size(F.array_distinct(parts))).alias("repeated"))
+
+
+_FLAGS = "CASE WHEN l_returnflag = 'R' THEN 'RETURNED' END, CASE WHEN l_discount >= 0.08 THEN 'HIGH_DISCOUNT' END, CASE WHEN l_quantity > 45 THEN 'LARGE' END"
+
+
+def _flags():
+    return F.array_compact(F.array(F.when(F.col("l_returnflag") == "R", "RETURNED"), F.when(F.col("l_discount") >= 0.08, "HIGH_DISCOUNT"), F.when(F.col("l_quantity") > 45, "LARGE")))
+
+
+@query(f"""
+WITH f AS (SELECT l_linestatus, unnest([{_FLAGS}]) AS check_name FROM lineitem)
+SELECT l_linestatus, check_name, CASE check_name WHEN 'RETURNED' THEN 'ERROR' WHEN 'LARGE' THEN 'INFO' ELSE 'WARNING' END AS severity, count(*)::BIGINT AS n FROM f WHERE check_name IS NOT NULL GROUP BY ALL
+""")
+def flag_explode_severity(t) -> DataFrame:
+    return quality.flag_summary(t("lineitem").select("l_linestatus", _flags().alias("flags")), "flags", {"RETURNED": "ERROR", "LARGE": "INFO"}, ["l_linestatus"])
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, list_filter([{_FLAGS}], lambda x: x IS NOT NULL) AS f FROM lineitem),
+k AS (SELECT l_orderkey, CASE WHEN list_contains(f, 'RETURNED') THEN 2 WHEN list_contains(f, 'HIGH_DISCOUNT') OR list_contains(f, 'LARGE') THEN 1 ELSE 0 END AS r FROM l)
+SELECT l_orderkey, ['GOLD', 'SILVER', 'QUESTIONABLE'][max(r) + 1] AS tier, ['GOLD', 'SILVER', 'QUESTIONABLE'][min(r) + 1] AS best_tier FROM k GROUP BY l_orderkey
+""")
+def quality_tier(t) -> DataFrame:
+    """An order's tier is the worst of its lines'."""
+    rank = quality.tier_rank(quality.tier_of(_flags(), ["RETURNED"], ["HIGH_DISCOUNT", "LARGE"]))
+    return t("lineitem").groupBy("l_orderkey").agg(quality.tier_name(F.max(rank)).alias("tier"), quality.tier_name(F.min(rank)).alias("best_tier"))
+
+
+@query("""
+WITH e AS (SELECT user_id, list(DISTINCT event_type) AS seen FROM events GROUP BY user_id),
+m AS (SELECT user_id, list_filter(['click', 'view', 'purchase', 'signup', 'error'], lambda x: list_contains(seen, x)) AS s, list_filter(['click', 'view', 'purchase', 'signup', 'error'], lambda x: NOT list_contains(seen, x)) AS m FROM e)
+SELECT user_id, len(s)::BIGINT AS n_seen, round(len(s) / 5, 4) AS ratio, len(m) = 0 AS complete, array_to_string(m, '|') AS missing FROM m
+""")
+def completeness(t) -> DataFrame:
+    return quality.completeness(t("events"), "user_id", "event_type", EVENT_TYPES)
+
+
+@query("""
+SELECT CASE WHEN grouping(s) = 0 THEN 'o_orderstatus' WHEN grouping(p) = 0 THEN 'o_orderpriority' ELSE 'ALL' END AS dimension,
+    CASE WHEN grouping(s) = 0 THEN s WHEN grouping(p) = 0 THEN p ELSE 'ALL' END AS value, count(*)::BIGINT AS n, sum(big)::BIGINT AS n_large
+FROM (SELECT coalesce(o_orderstatus, 'NOT_STATED') AS s, coalesce(o_orderpriority, 'NOT_STATED') AS p, (o_totalprice > 100000)::INT AS big FROM orders) GROUP BY GROUPING SETS ((), (s), (p))
+""")
+def coverage_grouping_sets(t) -> DataFrame:
+    return quality.coverage(t("orders"), ["o_orderstatus", "o_orderpriority"], {"n_large": (F.col("o_totalprice") > 100000).cast("long")})
+
+
+@query("""
+SELECT c_mktsegment, count_if(o_orderstatus = 'F')::BIGINT AS "F", count_if(o_orderstatus = 'O')::BIGINT AS "O", count_if(o_orderstatus = 'P')::BIGINT AS "P", count(*)::BIGINT AS total
+FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment
+""")
+def crosstab(t) -> DataFrame:
+    joined = t("customer").select("c_custkey", "c_mktsegment").join(t("orders").select("o_custkey", "o_orderstatus"), F.col("c_custkey") == F.col("o_custkey"))
+    return quality.crosstab(joined, "c_mktsegment", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("""
+SELECT coalesce(toxic::VARCHAR, 'NOT_STATED') AS toxic, coalesce(lang, 'NOT_STATED') AS lang, count(*)::BIGINT AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL
+""")
+def value_distribution(t) -> DataFrame:
+    stated = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NOT_STATED")).alias(c)
+    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left").groupBy(stated("toxic"), stated("lang")).agg(n_rows.alias("n"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT user_id, event_type, list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type) AS k FROM events)
+SELECT user_id, string_agg(event_type, '|' ORDER BY k, event_type) AS by_rank, string_agg(event_type, '|' ORDER BY event_type) AS by_name FROM r GROUP BY user_id
+""")
+def ordered_string_agg(t) -> DataFrame:
+    rank = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type"))
+    return t("events").groupBy("user_id").agg(ordered.ordered_join(F.col("event_type"), rank).alias("by_rank"), F.array_join(F.sort_array(F.collect_set("event_type")), "|").alias("by_name"))
+
+
+@query("""
+WITH d AS (SELECT l_orderkey, l_linenumber, l_shipdate, min(struct_pack(a := l_partkey, b := l_suppkey)) AS k FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY k, l_shipdate) AS n FROM d)
+SELECT l_orderkey, l_linenumber, min(CASE WHEN n = 1 THEN l_shipdate END) AS first_date, string_agg(CASE WHEN n > 1 THEN strftime(l_shipdate, '%Y-%m-%d') END, '|' ORDER BY n) AS other_dates FROM r GROUP BY ALL
+""")
+def first_variants(t) -> DataFrame:
+    """The first value of an order line, and the others in order of appearance."""
+    d = t("lineitem").groupBy("l_orderkey", "l_linenumber", "l_shipdate").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("k"))
+    pairs = F.sort_array(F.collect_list(F.struct("k", "l_shipdate")))
+    g = d.groupBy("l_orderkey", "l_linenumber").agg(pairs.alias("p"))
+    rest = F.array_join(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), lambda s: F.date_format(s["l_shipdate"], "yyyy-MM-dd")), "|")
+    return g.select("l_orderkey", "l_linenumber", F.get("p", F.lit(0))["l_shipdate"].alias("first_date"), F.when(F.size("p") > 1, rest).alias("other_dates"))
+
+
+@query("SELECT c AS letter, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
+def char_histogram(t) -> DataFrame:
+    from lexspark.functions import text
+
+    return t("documents").select(F.explode(text.characters(F.col("text"))).alias("letter")).groupBy("letter").agg(n_rows.alias("n"))
+
+
+@query("""
+SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS letters, regexp_replace(regexp_replace(lower(text), '[^a-z]', '', 'g'), '[aeiou]', '', 'g') AS skeleton FROM documents
+""")
+def strip_and_key(t) -> DataFrame:
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    return t("documents").select("doc_id", letters.alias("letters"), F.regexp_replace(letters, "[aeiou]", "").alias("skeleton"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS nfc, nfc_normalize(text) IS NOT DISTINCT FROM text AS was_nfc FROM documents")
+def nfc_documents(t) -> DataFrame:
+    from lexspark.functions import text
+
+    out = t("documents").select("doc_id", "text", text.nfc(F.col("text")).alias("nfc"))
+    return out.select("doc_id", "nfc", F.col("nfc").eqNullSafe(F.col("text")).alias("was_nfc"))
+
+
+@query("""
+WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6]>')) AS tag FROM pages)
+SELECT page_id, tag, count(*)::BIGINT AS n FROM m GROUP BY ALL
+""")
+def heading_counts(t) -> DataFrame:
+    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h[1-6]>"), F.lit(0))).alias("tag")).groupBy("page_id", "tag").agg(n_rows.alias("n"))
+
+
+@query("""
+WITH p AS (SELECT page_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS s FROM (SELECT page_id, string_split_regex(html, '<h[1-6][^>]*>') AS parts FROM pages)),
+q AS (SELECT page_id, i - 1 AS section, len(s) AS n, sum(len(s)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
+SELECT page_id, section::BIGINT AS section, n::BIGINT AS n_chars, coalesce(before, 0)::BIGINT AS chars_before, lead(n) OVER (PARTITION BY page_id ORDER BY section)::BIGINT AS next_chars FROM q
+""")
+def heading_sections(t) -> DataFrame:
+    """Sections between headings with what comes before and after each."""
+    w = Window.partitionBy("page_id").orderBy("section")
+    p = t("pages").select("page_id", F.posexplode(F.split("html", "<h[1-6][^>]*>", -1)).alias("section", "s")).select("page_id", F.col("section").cast("long").alias("section"), F.length("s").cast("long").alias("n_chars"))
+    before = F.coalesce(F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return p.select("page_id", "section", "n_chars", before.alias("chars_before"), F.lead("n_chars").over(w).alias("next_chars"))
+
+
+@query("""
+SELECT 'customer' AS record_type, c_custkey::VARCHAR AS record_id, 'c_name' AS missing_fields FROM customer WHERE c_name IS NULL
+UNION ALL SELECT 'label', doc_id::VARCHAR, concat_ws('|', CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END)
+FROM (SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE quality IS NULL OR toxic IS NULL
+""")
+def missing_metadata(t) -> DataFrame:
+    """Records with null fields and their names, of several record types."""
+    labelled = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
+    return quality.missing_fields(t("customer"), "c_custkey", ["c_name"], "customer").unionByName(quality.missing_fields(labelled, "doc_id", ["quality", "toxic"], "label"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::VARCHAR, '|' ORDER BY l_suppkey::VARCHAR) AS suppliers, max(l_discount) AS best, sum((l_returnflag = 'R')::INT) AS r FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, n::BIGINT AS n_suppliers, suppliers, best AS best_discount, r > 0 AS any_returned FROM g
+""")
+def parent_rollup(t) -> DataFrame:
+    """Children rolled up to their parent in one pass: counts, sorted list, maximum, any."""
+    return t("lineitem").groupBy("l_orderkey").agg(
+        F.count_distinct("l_suppkey").alias("n_suppliers"), F.array_join(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))), "|").alias("suppliers"),
+        F.max("l_discount").alias("best_discount"), F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"),
+    )
+
+
+@query("SELECT p_type AS pattern, p_size AS level, count(*)::BIGINT AS n FROM part GROUP BY ALL")
+def pattern_frequency(t) -> DataFrame:
+    return t("part").groupBy(F.col("p_type").alias("pattern"), F.col("p_size").alias("level")).agg(n_rows.alias("n"))
+
+
+@query("""
+WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, n::BIGINT AS n FROM c ORDER BY n DESC, o_custkey LIMIT 20
+""")
+def top_after_count(t) -> DataFrame:
+    """A top-k report: the 20 customers with the most orders."""
+    return t("orders").groupBy("o_custkey").agg(n_rows.alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)
+
+
+@query("""
+SELECT 'RT-' || substr(sha1('root|' || p_name), 1, 10) AS content_id, count(*)::BIGINT AS n FROM part GROUP BY ALL
+""")
+def content_ids(t) -> DataFrame:
+    from lexspark.functions import roots
+
+    return t("part").groupBy(roots.root_id(F.col("p_name")).alias("content_id")).agg(n_rows.alias("n"))
+
+
+# -------------------------------------------------------------------- splits
+
+
+def _ranked(source: str, group: str, name: str, seed: int, cut: str) -> str:
+    return f"""
+WITH g AS (SELECT DISTINCT {group} AS g FROM {source} WHERE {group} IS NOT NULL),
+r AS (SELECT g, row_number() OVER (ORDER BY md5('{name}|{seed}|' || g), g) - 1 AS k, (SELECT count(*) FROM g) AS n FROM g),
+a AS (SELECT g, CASE WHEN k < {cut[0]} THEN 'train' WHEN k < {cut[1]} THEN 'dev' ELSE 'test' END AS partition FROM r)"""
+
+
+_EVEN = ("round_even(0.8 * n, 0)", "n - round_even(0.1 * n, 0)")
+
+
+@query(_ranked("(SELECT l_orderkey || '.' || l_linenumber AS u FROM lineitem)", "u", "iid", 0, _EVEN) + " SELECT g AS pair_id, partition FROM a")
+def iid_split(t) -> DataFrame:
+    units = t("lineitem").select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("pair_id"))
+    return splits.iid(units, 0)
+
+
+@query(_ranked("orders", "o_custkey", "root", 1, _EVEN) + " SELECT o_orderkey, partition FROM orders JOIN a ON o_custkey = g")
+def group_holdout_split(t) -> DataFrame:
+    """Orders by whole customers."""
+    return splits.by_group(t("orders"), "o_custkey", "root", 1, unit="o_orderkey")
+
+
+@query("""
+WITH g AS (SELECT c_nationkey AS g, bool_or(coalesce(c_mktsegment = 'BUILDING' AND c_acctbal > 9000, false)) AS t FROM customer GROUP BY ALL),
+r AS (SELECT g, row_number() OVER (ORDER BY md5('ood_rich|2|' || g), g) - 1 AS k, count(*) OVER () AS n FROM g WHERE NOT t),
+a AS (SELECT g, CASE WHEN t THEN 'test' WHEN k < round_even(0.9 * n, 0) THEN 'train' ELSE 'dev' END AS partition FROM g LEFT JOIN r USING (g))
+SELECT c_custkey, CASE WHEN c_acctbal < -900 THEN 'excluded' ELSE partition END AS partition FROM customer JOIN a ON c_nationkey = g
+""")
+def class_ood_split(t) -> DataFrame:
+    """Nations with the property are test as a whole; unknown rows are excluded."""
+    rows = t("customer").withColumn("flag", (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000))
+    return splits.class_ood(rows, "flag", "rich", 2, unknown=F.col("c_acctbal") < -900, group="c_nationkey", unit="c_custkey")
+
+
+_CELL_K = """
+WITH d AS (SELECT DISTINCT l_orderkey AS x, l_linenumber AS c FROM lineitem),
+f AS (SELECT x FROM d GROUP BY x HAVING count(*) = 4),
+r AS (SELECT x, c, row_number() OVER (PARTITION BY x ORDER BY md5('cell_k2|0|' || x || '|' || c)) AS k FROM d JOIN f USING (x)),
+s AS (SELECT x, row_number() OVER (ORDER BY md5('cell_k2_devtest|0|' || x), x) - 1 AS k, count(*) OVER () AS n FROM f),
+p AS (SELECT x, CASE WHEN k < n - round_even(0.9 * n, 0) THEN 'dev' ELSE 'test' END AS part FROM s)
+SELECT a.x AS l_orderkey, a.c AS source, b.c AS target, CASE WHEN a.k > 2 THEN 'excluded' WHEN b.k <= 2 THEN 'train' ELSE part END AS partition FROM r a JOIN r b ON a.x = b.x AND a.c <> b.c JOIN p ON p.x = a.x
+"""
+
+
+@query(_CELL_K)
+def cell_k_split(t) -> DataFrame:
+    """Orders of exactly four lines show two of them, chosen by hash; pairs of lines are dealt out by what is shown."""
+    d = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
+    full = d.groupBy("l_orderkey").agg(n_rows.alias("n")).where("n = 4").select("l_orderkey")
+    key = splits.hash_key("cell_k2", 0, F.concat_ws("|", "l_orderkey", "l_linenumber"))
+    lines = d.join(full, "l_orderkey").withColumn("shown", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(key)) <= 2)
+    part = splits.partition_groups(full, "l_orderkey", "cell_k2_devtest", 0, (0.0, 0.1, 0.9))
+    pairs = joins.ordered_pairs(lines, ["l_orderkey"], "l_linenumber", ["shown"]).join(part, "l_orderkey")
+    of = F.when(~F.col("s_shown"), "excluded").when(F.col("t_shown"), "train").otherwise(F.col("partition"))
+    return pairs.select("l_orderkey", F.col("s_l_linenumber").alias("source"), F.col("t_l_linenumber").alias("target"), of.alias("partition"))
+
+
+@query()
+def greedy_holdout_split(t) -> DataFrame:
+    """Greedy holdout of (supplier, brand) keys whose supplier and brand stay in train. Order-dependent, so without SQL."""
+    keys = t("lineitem").select("l_partkey", "l_suppkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    pairs = keys.select(F.concat_ws("|", "l_suppkey", "p_brand").alias("pair_id"), "l_suppkey", "p_brand").distinct().withColumn("key", F.col("pair_id"))
+    return splits.root_class_holdout(pairs, 0, key="key", root="l_suppkey", klass="p_brand")
+
+
+def _by_customer(t, mutate: bool) -> DataFrame:
+    out = splits.by_group(t("orders"), "o_custkey", "root", 1, unit="o_orderkey")
+    moved = F.when((F.col("o_orderkey") % 50 == 0) & (F.col("partition") == "train"), "test").otherwise(F.col("partition"))
+    return out.withColumn("partition", moved) if mutate else out
+
+
+@query(_ranked("orders", "o_custkey", "root", 1, _EVEN) + """,
+c AS (SELECT 'clean' AS kind, o_orderkey, o_custkey, partition FROM orders JOIN a ON o_custkey = g
+      UNION ALL SELECT 'mutated', o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 = 0 AND partition = 'train' THEN 'test' ELSE partition END FROM orders JOIN a ON o_custkey = g),
+p AS (SELECT kind, o_custkey, count(DISTINCT partition) AS n FROM c GROUP BY ALL)
+SELECT kind, count_if(n > 1)::BIGINT AS n_shared_groups, count(*)::BIGINT AS n_groups FROM p GROUP BY kind
+""")
+def split_verify(t) -> DataFrame:
+    """Groups in more than one partition: none in a clean assignment, some in a mutated one."""
+    both = reduce(DataFrame.unionByName, [_by_customer(t, m).withColumn("kind", F.lit(k)) for k, m in (("clean", False), ("mutated", True))])
+    per = both.join(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("kind", "o_custkey").agg((F.min("partition") != F.max("partition")).alias("shared"))
+    return per.groupBy("kind").agg(F.count_if("shared").alias("n_shared_groups"), n_rows.alias("n_groups"))
+
+
+@query(_ranked("orders", "o_custkey", "root", 1, _EVEN) + """,
+x AS (SELECT partition, o_custkey, count(*) AS n, sum(length(o_orderpriority)) AS len FROM orders JOIN a ON o_custkey = g GROUP BY ALL)
+SELECT partition, sum(n)::BIGINT AS n_units, count(*)::BIGINT AS n_groups, round(avg(n), 3) AS mean_per_group, max(n)::BIGINT AS max_per_group, round(sum(len) / sum(n), 3) AS mean_length FROM x GROUP BY partition
+""")
+def split_stats(t) -> DataFrame:
+    rows = _by_customer(t, False).join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    per = rows.groupBy("partition", "o_custkey").agg(n_rows.alias("n"), F.sum(F.length("o_orderpriority")).alias("len"))
+    return per.groupBy("partition").agg(F.sum("n").alias("n_units"), n_rows.alias("n_groups"), F.round(F.avg("n"), 3).alias("mean_per_group"), F.max("n").alias("max_per_group"), F.round(F.sum("len") / F.sum("n"), 3).alias("mean_length"))
+
+
+@query(_ranked("orders", "o_custkey", "root", 1, _EVEN) + " SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders JOIN a ON o_custkey = g WHERE partition = 'test'")
+def visible_loader(t) -> DataFrame:
+    """The visible columns of a partition's rows, by semi-join."""
+    ids = _by_customer(t, False).where("partition = 'test'")
+    return t("orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+# ---------------------------------------------------------------- information
+
+
+@query("""
+WITH z AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
+k AS (SELECT row_number() OVER (ORDER BY vec_id) AS j, u FROM (SELECT * FROM z ORDER BY vec_id LIMIT 16)),
+s AS (SELECT z.vec_id, label, j, exp(list_dot_product(z.u, k.u) * sqrt(2 * 64 * ln(16))) AS e FROM z, k),
+a AS (SELECT vec_id, label, j, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM s),
+h AS (SELECT -sum(m * ln(m)) AS hz FROM (SELECT j, avg(p) AS m FROM a GROUP BY j)),
+x AS (SELECT avg(e) AS hx FROM (SELECT vec_id, -sum(p * ln(p)) AS e FROM a GROUP BY vec_id)),
+l AS (SELECT sum(w * e) AS hl FROM (SELECT label, any_value(w) AS w, -sum(m * ln(m)) AS e FROM (SELECT label, j, avg(p) AS m, count(*) / (SELECT count(*) FROM z) AS w FROM a GROUP BY label, j) GROUP BY label))
+SELECT round(hz, 4) AS h_z, round(hz - hx, 4) AS i_example, round(hz - hl, 4) AS i_label, round(hz / ln(16), 4) AS h_z_eff FROM h, x, l
+""")
+def soft_entropy(t) -> DataFrame:
+    """Entropy of soft assignments to anchors, and what examples and labels tell about them."""
+    e = t("embeddings")
+    return infotheory.soft_entropy(e, infotheory.anchors(e, "vec_id", "embedding", 16), "vec_id", "embedding", "label", 64)
+
+
+@query("""
+SELECT coalesce(lang, 'NOT_STATED') AS lang, round(avg((quality = (n_chars > 1000)::INT)::INT), 6) AS accuracy, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL
+""")
+def exact_match_by_group(t) -> DataFrame:
+    """Accuracy of a rule's predictions by language."""
+    joined = t("documents").join(t("labels"), "doc_id")
+    right = F.col("quality") == (F.col("n_chars") > 1000).cast("int")
+    return infotheory.exact_match(joined, right, [F.coalesce("lang", F.lit("NOT_STATED")).alias("lang")])
+
+
+@query("""
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) SELECT c AS symbol, row_number() OVER (ORDER BY c)::BIGINT AS symbol_id FROM c WHERE c <> ''
+""")
+def vocabulary(t) -> DataFrame:
+    """The distinct characters of all texts, numbered in order. There are at most 0x110000."""
+    from lexspark.functions import text
+
+    symbols = t("documents").select(F.explode(text.characters(F.col("text"))).alias("symbol")).distinct()
+    return symbols.withColumn("symbol_id", F.row_number().over(Window.orderBy("symbol")).cast("long"))
+
+
+@query("""
+WITH t(c) AS (VALUES ('מ'), ('ל'), ('ק'), ('ט'), ('ד')), r AS (SELECT a.c || b.c || d.c AS root, a.c AS x, b.c AS y, d.c AS z FROM t a, t b, t d WHERE a.c <> b.c AND b.c <> d.c AND a.c <> d.c),
+p(binyan, cell, pattern) AS (VALUES ('A', 'PST.3MSG', '1ָ2ַ3'), ('A', 'PST.1SG', '1ָ2ַ3ְתִּי'), ('B', 'PST.3MSG', 'נִ1ְ2ַ3'))
+SELECT root, binyan, cell, nfc_normalize(replace(replace(replace(pattern, '1', x), '2', y), '3', z)) AS form FROM r, p
+""")
+def synth_paradigms(t) -> DataFrame:
+    """Roots times templates times cells: patterns filled with radicals."""
+    from lexspark.plans import synth
+
+    spark = t("region").sparkSession
+    letters = spark.createDataFrame([(c,) for c in "מלקטד"], "c string")
+    roots = synth.all_roots(letters, 3)
+    cells = spark.createDataFrame([("A", "PST.3MSG", "1ָ2ַ3"), ("A", "PST.1SG", "1ָ2ַ3ְתִּי"), ("B", "PST.3MSG", "נִ1ְ2ַ3")], "binyan string, cell string, pattern string")
+    return synth.realize(roots, cells, finals=False).select("root", "binyan", "cell", "form")
