@@ -77,7 +77,7 @@ def stable_radicals(radicals: Column) -> Column:
 def is_subsequence(needles: Column, hay: Column) -> Column:
     """Whether letters occur in a string in this order."""
     def step(left, x):
-        at = F.charindex(x, left)
+        at = F.position(x, left)
         return F.when(at > 0, F.substr(left, at + 1))
 
     return F.aggregate(needles, hay, step).isNotNull()

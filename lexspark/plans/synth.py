@@ -72,21 +72,21 @@ def past_templates(spark: SparkSession, classes: list[str] | None = None, custom
     return spark.createDataFrame(rows, "binyan string, cell string, pattern string")
 
 
-def generate(spark: SparkSession, consonants: list[str], n_roots: int, seed: int, classes: list[str] | None = None, gap_rate: float = 0.0, custom: dict | None = None) -> dict[str, DataFrame]:
+def generate(spark: SparkSession, consonants: list[str], n_roots: int, seed: int, classes: list[str] | None = None, gap_rate: float = 0.0, custom: dict | None = None, version: str = "v1", repeat: bool = False) -> dict[str, DataFrame]:
     """The canonical tables of a synthetic corpus: roots, lexemes, forms, provenance, validation.
 
     gap_rate: share of (lexeme, cell) that have no form, by hash of the form id; the citation cell always has one.
     """
-    base = sample_roots(spark, consonants, n_roots, seed)
-    named = base.withColumn("root_id", roots.root_id(F.col("root"), "SRT-")).withColumn("units", F.array("r1", "r2", "r3"))
+    base = sample_roots(spark, consonants, n_roots, seed, repeat)
+    named = base.withColumn("root_id", roots.content_id("SYN-RT-", F.concat(F.lit(f"{version}|"), "root"))).withColumn("units", F.array("r1", "r2", "r3"))
     cells = past_templates(spark, classes, custom)
-    forms = realize(named, cells).withColumn("lexeme_id", roots.content_id("SLX-", F.concat(F.lit("syn|"), "root", F.lit("|"), "binyan")))
+    forms = realize(named, cells).withColumn("lexeme_id", roots.content_id("SYN-LX-", F.concat(F.lit(f"{version}|"), "root", F.lit("|"), "binyan")))
     forms = forms.withColumn("form_id", F.concat("lexeme_id", F.lit("."), "cell"))
     if gap_rate:
         gone = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "form_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)) < gap_rate
         forms = forms.where((F.col("cell") == features.CITATION_CELL) | ~gone)
     f = roots.features(F.col("units"))
-    root_table = named.select("root_id", F.col("root").alias("root_normalized"), F.col("root").alias("root_orthographic"), F.concat(F.lit("OG-"), "root").alias("orthographic_root_group_id"), *[c.alias(k) for k, c in f.items()])
+    root_table = named.select("root_id", F.col("root").alias("root_normalized"), roots.orthographic(F.col("root")).alias("root_orthographic"), roots.root_id(roots.orthographic(F.col("root")), "SYN-RG-").alias("orthographic_root_group_id"), *[c.alias(k) for k, c in f.items()])
     root_table = root_table.withColumn("traditional_class", F.lit(None).cast("string"))
     form_table = forms.select(
         "form_id", "lexeme_id", "root_id", "binyan", F.col("cell").alias("canonical_cell"), F.col("form").alias("form_vocalized"), text.strip_points(F.col("form")).alias("form_unvocalized"),
