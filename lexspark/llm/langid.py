@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexspark.llm import common
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 192, 6, 16, (2, 3, 4)
-SAMPLE_ROWS, WINDOWS, STEPS, BATCH, PIECE = 6_000, 4, 500, 96, 512
+SAMPLE_ROWS, WINDOWS, STEPS, BATCH, PIECE = 6_000, 4, 500, 96, 32
 LETTER = re.compile(r"[^\W\d_]")
 
 
