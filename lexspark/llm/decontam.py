@@ -5,8 +5,9 @@ all documents document frequencies are counted, then the matrix A of their norma
 rows is decomposed by a randomised SVD in one pass: tasks add up their part of A'(A*Omega), whose
 sum gives the leading right singular vectors by the Nystroem formula. Documents are then searched: windows
 of about an item's length are projected and whitened (divided by singular values, which
-takes the weight from what all texts of a language share) and compared with the items by cosine. A
-candidate is confirmed by the longest common subsequence of words: LCS_SURE of the item's
+takes the weight from what all texts of a language share) and compared by cosine with the items that can
+be there at all: since a match misses at most 1 - LCS_LEAST of an item's words, some of its rarest ones have
+to occur in the piece of text, which postings of those words tell without loss. A candidate is confirmed by the longest common subsequence of words: LCS_SURE of the item's
 words, or LCS_LEAST of them along with ANSWER_LEAST of the answer's (the `answer` column's if there is one,
 else the last ANSWER_SHARE of the item), so that paraphrases count if they give the answer away.
 
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from lexspark.llm import common
 from lexspark.llm.toxicity import WordCache
 
-DIMS, RANK, EXTRA, PASSAGE = 8192, 48, 8, 64
+DIMS, RANK, EXTRA, PASSAGE = 8192, 24, 8, 64
 BLOCK_ITEMS, MIN_WORDS = 20_000, 5
-LEAST_COSINE = 0.5
+LEAST_COSINE = 0.4
 LCS_SURE, LCS_LEAST, ANSWER_LEAST, ANSWER_SHARE = 0.8, 0.6, 0.6, 0.25
-#: Words that are searched at a time, and blocks of which windows are made.
-PIECE, STEP = 16_384, 8
+#: Words that are searched at a time, blocks of which windows are made, and bits by which words are looked up.
+PIECE, STEP, LOOKUP = 512, 8, 20
 #: Windows in words and the longest item for each.
 WINDOWS = ((32, 32), (64, PASSAGE))
 
@@ -53,10 +54,24 @@ def entries(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     per = -(-size // PASSAGE)
     within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     row = np.repeat(np.cumsum(per) - per, size) + within // PASSAGE
-    key, count = np.unique(row * DIMS + (np.concatenate(docs) % DIMS), return_counts=True)
+    key = row * DIMS + (np.concatenate(docs) % DIMS)
+    key, count = np.unique(key.astype(np.int32) if key[-1] < (1 << 31) - DIMS else key, return_counts=True)
     return key // DIMS, key % DIMS, count.astype(np.float32)
 
 
+def groups_of(docs: list[np.ndarray], most: int = 150_000):
+    """Consecutive documents of together at least as many words (fewer at the end)."""
+    part, size = [], 0
+    for d in docs:
+        part.append(d)
+        size += len(d)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def partial_product(docs: list[np.ndarray], idf: np.ndarray, omega: np.ndarray, total: np.ndarray) -> None:
     """Adds A'(A omega) of the passages of some documents to total."""
     row, col, value = entries(docs)
@@ -88,8 +103,8 @@ def nystroem(product: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndar
     return u[:, keep], sigma[keep]
 
 
-def latent_model(words: DataFrame) -> np.ndarray:
-    """DIMS x RANK projection of words(words: binary of uint32): idf times whitened singular vectors."""
+def latent_model(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """DIMS x RANK projection of words(words: binary of uint32): idf times whitened singular vectors; and idf."""
     spark = words.sparkSession
 
     def frequencies(batches):
@@ -118,15 +133,8 @@ def latent_model(words: DataFrame) -> np.ndarray:
         idf, omega = shared.value
         total = np.zeros(omega.shape, np.float64)
         for batch in batches:
-            docs = [np.frombuffer(b, np.uint32) for b in batch.column(0).to_pylist()]
-            part, size = [], 0
-            for d in docs:
-                part.append(d)
-                size += len(d)
-                if size > 150_000:
-                    own.partial_product(part, idf, omega, total)
-                    part, size = [], 0
-            own.partial_product(part, idf, omega, total)
+            for part in own.groups_of([np.frombuffer(b, np.uint32) for b in batch.column(0).to_pylist()]):
+                own.partial_product(part, idf, omega, total)
         step = own.DIMS // parts
         yield {"part": list(range(parts)), "x": [total[i * step : (i + 1) * step].tobytes() for i in range(parts)]}
 
@@ -143,7 +151,7 @@ def latent_model(words: DataFrame) -> np.ndarray:
     for r in sums.toLocalIterator():
         total[r["part"]] = np.frombuffer(r["x"], np.float64).reshape(total.shape[1:])
     vectors, sigma = nystroem(total.reshape(DIMS, -1), omega.astype(np.float64), RANK)
-    return (idf[:, None] * vectors / np.maximum(sigma, 1e-12)).astype(np.float32)
+    return (idf[:, None] * vectors / np.maximum(sigma, 1e-12)).astype(np.float32), idf
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -170,20 +178,68 @@ def bit_masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+class Gate:
+    """Postings of some of the words of each part, and how many of those any match has to hold."""
+
+    def __init__(self, words: list[np.ndarray], need: list[int]):
+        self.need = np.array(need, np.int64)
+        word = np.concatenate(words) if words else np.empty(0, np.uint32)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        order = np.argsort(word, kind="stable")
+        self.owner = owner[order]
+        self.words, self.first, self.count = np.unique(word[order], return_index=True, return_counts=True)
+        self.known = np.zeros(1 << LOOKUP, bool)
+        self.known[self.words & ((1 << LOOKUP) - 1)] = True
+
+    def passed(self, words: np.ndarray, piece: np.ndarray, pieces: int) -> np.ndarray:
+        """Boolean (piece, part): enough words of the part occur in the piece; piece: the number of each word's piece."""
+        keep = self.known[words & ((1 << LOOKUP) - 1)]
+        words, piece = words[keep], piece[keep]
+        if not len(words):
+            return np.zeros((pieces, len(self.need)), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        keep = self.words[at] == words
+        key = np.unique(piece[keep] * len(self.words) + at[keep])
+        piece, at = key // len(self.words), key % len(self.words)
+        count = self.count[at]
+        where = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        found = np.bincount(np.repeat(piece, count) * len(self.need) + self.owner[where], minlength=pieces * len(self.need))
+        return found.reshape(pieces, -1) >= self.need
+
+
 class Items:
     """Parts of benchmark items, by window size, ready for search."""
 
-    def __init__(self, items: list[tuple], projection: np.ndarray):
+    def __init__(self, items: list[tuple], projection: np.ndarray, idf: np.ndarray):
         """items: (item_id, word ids, answer's word ids or None)"""
-        self.sets = []
+        self.sets, self.checks = [], {}
         parts = [(i, w[k : k + PASSAGE], a, w) for i, w, a in items if len(w) >= MIN_WORDS for k in range(0, max(1, len(w) - MIN_WORDS), PASSAGE)]
-        shortest = 0
+        shortest, ranked, missed = 0, [], []
         for window, longest in WINDOWS:
             own = [p for p in parts if shortest < len(p[1]) <= longest]
             shortest = longest
+            for p in own:
+                words = np.unique(p[1])
+                ranked.append(words[np.argsort(-idf[words % DIMS], kind="stable")])
+                missed.append(int((1 - LCS_LEAST) * len(p[1]) + 1e-9))
             vectors = np.array([projection[p[1] % DIMS].sum(0) for p in own], np.float32).reshape(len(own), projection.shape[1])
             self.sets.append((window, unit(vectors), own))
-        self.checks: dict[int, tuple] = {}
+        few = [w[: m + max(2, len(w) // 4)] for w, m in zip(ranked, missed)]
+        self.rare = Gate(few, [len(w) - m for w, m in zip(few, missed)])
+        self.all = Gate(ranked, [len(w) - m for w, m in zip(ranked, missed)])
+
+    def possible(self, pieces: list[np.ndarray]) -> dict[int, np.ndarray]:
+        """By number of piece the parts that it can hold: enough of their rarest words, and of all, occur in it."""
+        if not pieces or not len(self.rare.need):
+            return {}
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        words, piece = np.concatenate(pieces), np.repeat(np.arange(len(pieces)), size)
+        rare = self.rare.passed(words, piece, len(pieces))
+        some = rare.any(1)
+        number = np.cumsum(some) - 1
+        keep = some[piece]
+        both = rare[some] & self.all.passed(words[keep], number[piece[keep]], int(some.sum()))
+        return {int(i): np.flatnonzero(row) for i, row in zip(np.flatnonzero(some), both) if row.any()}
 
     def check(self, part: tuple):
         if id(part) not in self.checks:
@@ -195,9 +251,11 @@ class Items:
             self.checks[id(part)] = (bit_masks(words), len(words), bit_masks(answer), len(answer))
         return self.checks[id(part)]
 
-    def confirm(self, part: tuple, region: list[int]) -> tuple[float, float] | None:
+    def confirm(self, part: tuple, region: list[int], there: set) -> tuple[float, float] | None:
+        """Shares of item and answer that the region holds in order, if they are enough; there: the region as a set."""
         masks, n, answer_masks, m = self.check(part)
-        if sum(w in masks for w in region) < LCS_LEAST * n:
+        # Of a subsequence of LCS_LEAST * n words at most n - len(masks) repeat one that is in it.
+        if len(masks.keys() & there) < LCS_LEAST * n - (n - len(masks)):
             return None
         share = lcs(masks, n, region) / n
         if share < LCS_LEAST:
@@ -205,36 +263,44 @@ class Items:
         answer = lcs(answer_masks, m, region) / m
         return (share, answer) if share >= LCS_SURE or answer >= ANSWER_LEAST else None
 
-    def search(self, words: np.ndarray, projection: np.ndarray) -> dict:
-        """item_id -> (cosine, share of the item, share of the answer) of the best confirmed window."""
-        found: dict = {}
-        for start in range(0, max(1, len(words) - PASSAGE), PIECE - 2 * PASSAGE):
-            piece = words[start : start + PIECE]
-            if len(piece) < MIN_WORDS:
-                continue
+    def search(self, docs: list[np.ndarray], projection: np.ndarray) -> list[dict]:
+        """For each document, item_id -> (cosine, share of the item, share of the answer) of a confirmed window."""
+        out: list[dict] = [{} for _ in docs]
+        owner, pieces = [], []
+        for d, words in enumerate(docs):
+            for start in range(0, max(1, len(words) - 2 * PASSAGE), PIECE - 2 * PASSAGE):
+                owner.append(d)
+                pieces.append(words[start : start + PIECE])
+        for i, possible in self.possible(pieces).items():
+            piece, found = pieces[i], out[owner[i]]
             heads = np.arange(0, len(piece), STEP)
             sums = np.add.reduceat(projection[piece % DIMS], heads, axis=0)
             total = np.concatenate([np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)])
+            before = 0
             for window, vectors, parts in self.sets:
-                if not parts:
+                some = possible[(possible >= before) & (possible < before + len(parts))] - before
+                before += len(parts)
+                if not len(some):
                     continue
                 span = window // STEP
                 first = np.arange(max(1, len(heads) - span + 1))
                 z = unit((total[np.minimum(first + span, len(heads))] - total[first]).astype(np.float32))
-                cosine = z @ vectors.T
+                cosine = z @ vectors[some].T
                 at, of = np.nonzero(cosine >= LEAST_COSINE)
-                if not len(at):
-                    continue
                 score = cosine[at, of]
+                regions: dict[int, tuple] = {}
                 for j in np.argsort(-score, kind="stable").tolist():
-                    part = parts[of[j]]
+                    part = parts[some[of[j]]]
                     if part[0] in found:
                         continue
                     a = int(first[at[j]]) * STEP
-                    ok = self.confirm(part, piece[max(0, a - window // 2) : a + window + window // 2].tolist())
+                    if a not in regions:
+                        region = piece[max(0, a - window // 2) : a + window + window // 2].tolist()
+                        regions[a] = (region, set(region))
+                    ok = self.confirm(part, *regions[a])
                     if ok:
                         found[part[0]] = (float(score[j]), *ok)
-        return found
+        return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
@@ -246,13 +312,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     def tokens(batches):
         from lexspark.llm import decontam as own
 
-        cache = own.WordCache()
+        cache = common.worker_cache(own.WordCache)
         for batch in batches:
             yield {"id": batch.column(0).to_pylist(), "words": [own.word_ids(t, cache).tobytes() for t in batch.column(1).to_pylist()]}
 
     words = common.materialize(common.arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokens, f"id {kind}, words binary"), "words")
-    projection = latent_model(words)
-    model = spark.sparkContext.broadcast(projection)
+    model = spark.sparkContext.broadcast(latent_model(words))
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"), answer.alias("answer")).where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
@@ -265,12 +330,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches):
             from lexspark.llm import decontam as own
 
-            index = own.Items(shared.value, model.value)
+            projection, idf = model.value
+            index = own.Items(shared.value, projection, idf)
             names = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]
             for batch in batches:
                 out = {k: [] for k in names}
-                for i, w in zip(*(c.to_pylist() for c in batch.columns)):
-                    for item, values in index.search(np.frombuffer(w, np.uint32), model.value).items():
+                words = [np.frombuffer(w, np.uint32) for w in batch.column(1).to_pylist()]
+                found = [x for part in own.groups_of(words) for x in index.search(part, projection)]
+                for i, items in zip(batch.column(0).to_pylist(), found):
+                    for item, values in items.items():
                         for k, v in zip(names, (i, item, *values)):
                             out[k].append(v)
                 yield out
