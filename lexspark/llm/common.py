@@ -79,7 +79,7 @@ def held_out(column: str, mod: int, rest: int):
 class HashCache(dict):
     """bytes -> 64-bit hash, remembering at most `limit` keys."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
@@ -91,6 +91,16 @@ class HashCache(dict):
         return value
 
 
+_caches: dict = {}
+
+
+def worker_cache(kind=HashCache) -> HashCache:
+    """The cache of this kind that a worker process keeps from task to task."""
+    if kind not in _caches:
+        _caches[kind] = kind()
+    return _caches[kind]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased words: runs without \\x20 and \\x09-\\x0D (bytes.split and bytes.lower are ASCII-only)."""
     return (text or "").encode("utf-8").lower().split()
@@ -186,30 +196,46 @@ def _edges(uf):
     return {"a": [x for x, _ in pairs], "b": [r for _, r in pairs]}
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _whole_forest(batches):
+    """Union-find over all edges that this one task gets."""
+    uf = UnionFind()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            uf.union(a, b)
+    yield _edges(uf)
+
+
+#: Up to as many edges (16 bytes each) are grouped by one task.
+FEW_EDGES = 200_000
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges(a, b: long): rows (a, b) give each linked node but the smallest its smallest member.
 
-    Union-find shrinks each task's edges; alternating large-star and small-star rounds then
-    merge across tasks. A round pre-aggregates minima before its shuffle and joins edges to
+    Union-find shrinks each task's edges to a forest. If no more than `few` are left, one task ends the
+    work by union-find. Otherwise alternating large-star and small-star rounds merge across tasks until
+    there are only stars. A round pre-aggregates minima before its shuffle and joins edges to
     them (which adaptive execution can split), so that a hub is never gathered in one task.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = materialize(arrow_map(e, _forest, "a long, b long").distinct(), "edges")
-    state = None
+    e = materialize(arrow_map(e, _forest, "a long, b long"), "edges")
+    if e.count() <= few:
+        out = materialize(arrow_map(e.coalesce(1), _whole_forest, "a long, b long"), "roots")
+        discard(e)
+        return out
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         nxt = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         nxt = materialize(nxt.distinct(), "edges")
-        row = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         discard(e)
         e = nxt
-        if row["n"] == 0 or tuple(row) == state:
+        inner = e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi")
+        if inner.isEmpty() and e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return e
-        state = tuple(row)
 
 
 def pack_u64(values: np.ndarray) -> bytes:

@@ -37,7 +37,7 @@ from lexspark.llm import common
 SHINGLE = 5
 CHUNK = 800
 #: Shingles that are signed together.
-ELEMENTS = 150_000
+ELEMENTS = 60_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -127,7 +127,7 @@ def _sketch(rows: DataFrame, bands: int, height: int) -> DataFrame:
     def run(batches):
         from lexspark.llm import minhash
 
-        cache = common.HashCache()
+        cache = common.worker_cache()
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
             sets, keys = [], [None] * len(ids)
@@ -162,7 +162,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     def run(batches):
         from lexspark.llm import minhash
 
-        cache = common.HashCache()
+        cache = common.worker_cache()
         for batch in batches:
             found = [minhash.shingles(t, cache).tobytes() for t in batch.column(1).to_pylist()]
             yield {"id": batch.column(0).to_pylist(), "items": found, "digest": [xxhash.xxh3_128_digest(x) for x in found]}
