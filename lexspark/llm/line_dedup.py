@@ -1,17 +1,18 @@
 """Fuzzy line dedup (operator 2).
 
-Lines are normalised (lower case, signs to blanks, digit runs to 0), equal ones merged by a
-digest, and a 64-bit SimHash of their words taken. Two distinct lines are linked if their hashes
-differ in at most RADIUS bits and their edit similarity, 1 - distance / longer length, is
-at least SIMILARITY. Of each connected group the first occurrence, by document id and line
-number, is kept.
-
-Pigeonhole: with BLOCKS blocks of bits, at least BLOCKS - RADIUS agree in linked lines; all
-combinations of that many blocks are join keys. A first pass over buckets finds lines that have
-a neighbour by hash at all (one row per line and bucket, never pairs); only their texts are fetched
-for a second pass, which verifies edit similarity and puts out just the links that join two
-components of a bucket. Buckets of over CHUNK lines are dealt out as pairs of chunks, so that
-no task holds a whole hot bucket. Occurrences of hot lines are pre-aggregated.
+Lines are normalised (lower case, ASCII signs and white space to single blanks, digits to 0), equal ones
+merged by a digest, and a 64-bit SimHash of their words taken. Two distinct lines are linked if
+their hashes differ in at most RADIUS bits and their edit similarity, 1 - distance / longer
+length, is at least SIMILARITY. Of each connected group the first occurrence, by document id and
+line number, is kept.
+
+Pigeonhole: with BLOCKS blocks of bits, at least BLOCKS - RADIUS agree in linked lines; each
+combination of that many blocks is a join key. A first pass finds lines that have a neighbour by
+hash at all: hashes travel packed, sixteen bytes a key, and buckets are compared in numpy; buckets of
+over HOT lines go on whole to the second pass. There the texts of the lines found are fetched,
+each pair is verified in the first of its common buckets only, and just the links that
+join two components of a bucket are put out. Buckets of over CHUNK lines are dealt out as pairs of
+chunks, so that no task holds a whole hot bucket. Occurrences of hot lines are pre-aggregated.
 
 Lines of fewer than MIN_WORDS words, so empty ones too, are left alone. Nulls: a null text has
 no lines and stays null; a null id counts as smaller than any other. Rows that repeat an id
@@ -22,7 +23,6 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -32,43 +32,84 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-RADIUS, BLOCKS, SIMILARITY, MIN_WORDS, CHUNK = 3, 5, 0.85, 5, 800
-SIGNS, DIGITS = re.compile(r"[^\w\n]+"), re.compile(r"\d+")
+RADIUS, BLOCKS, SIMILARITY, MIN_WORDS, CHUNK, HOT = 3, 5, 0.85, 5, 800, 2048
+#: Signs to blanks, digits to 0; other bytes stay (fixed by ASCII).
+PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or 65 <= b <= 90 or b > 127 else 32 for b in range(256))
 #: Edges of the blocks, and for each combination of blocks the bits it looks at.
 EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 MASKS = [sum(((1 << EDGES[b + 1]) - (1 << EDGES[b])) for b in c) for c in combinations(range(BLOCKS), BLOCKS - RADIUS)]
 
 
-def normalised_lines(text: str | None) -> list[str]:
-    """The normalised form of every line, in order; '' for lines that are left alone."""
+def line_words(text: str | None) -> list[list[bytes]]:
+    """The normalised words of every line, in order; an empty list for lines that are left alone."""
     if text is None:
         return []
-    out = []
-    for line in DIGITS.sub("0", SIGNS.sub(" ", text.lower())).split("\n"):
-        line = line.strip()
-        out.append(line if line.count(" ") >= MIN_WORDS - 1 else "")
-    return out
+    found = map(bytes.split, text.lower().encode("utf-8").translate(PLAIN).split(b"\n"))
+    return [w if len(w) >= MIN_WORDS else [] for w in found]
+
+
+def normalised_lines(text: str | None) -> list[str]:
+    """The normalised form of every line, in order; '' for lines that are left alone."""
+    return [b" ".join(w).decode("utf-8") for w in line_words(text)]
 
 
-def simhashes(lines: list[str], cache: common.HashCache) -> np.ndarray:
-    """64-bit SimHash of each (nonempty) line by its words."""
-    words = [x.encode().split() for x in lines]
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    h = common.hash_words([w for ws in words for w in ws], cache)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
-    return np.packbits(votes * 2 > size[:, None], axis=1).view(np.uint64).ravel()
+#: The bits of a byte, first the highest, each in a byte of an integer of its own.
+LANES = np.array([sum((v >> (7 - j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
+
+
+def simhashes(lines: list[list[bytes]], cache: common.HashCache) -> np.ndarray:
+    """64-bit SimHash of each (nonempty) line by its words.
+
+    Votes for eight bits are added at once, a byte each, for up to 255 words at a time.
+    """
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = common.hash_words([w for ws in lines for w in ws], cache)
+    out, place = [], 0
+    for a, b in _spans(size):
+        n = size[a:b]
+        parts = -(-n // 255)
+        first = np.cumsum(parts) - parts
+        within = np.arange(parts.sum()) - np.repeat(first, parts)
+        heads = np.repeat(np.cumsum(n) - n, parts) + within * 255
+        lanes = LANES[h[place : place + n.sum()].view(np.uint8).reshape(-1, 8)]
+        votes = np.ascontiguousarray(np.add.reduceat(lanes, heads, axis=0)).view(np.uint8)
+        if len(heads) > len(n):
+            votes = np.add.reduceat(votes.astype(np.int64), first, axis=0)
+        out.append(np.packbits(votes * np.int64(2) > n[:, None], axis=1).view(np.uint64).ravel())
+        place += n.sum()
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _spans(size: np.ndarray, most: int = 100_000):
+    """Ranges of lines of together at most as many words (or a single line)."""
+    a, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > a and total + n > most:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(size):
+        yield a, len(size)
+
+
+def _same(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit-parallel columns in Python integers, after equal ends are cut off."""
-    i, n = 0, min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    i = _same(a, b)
+    a, b = a[i:], b[i:]
+    j = _same(a[::-1], b[::-1])
+    a, b = a[: len(a) - j], b[: len(b) - j]
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -95,6 +136,14 @@ def neighbours(sims: np.ndarray, i: int) -> np.ndarray:
     return np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= RADIUS) + i + 1
 
 
+def first_masks(difference: np.ndarray) -> np.ndarray:
+    """For each (close) difference of two hashes the first combination of blocks that it leaves alone."""
+    out = np.full(len(difference), -1)
+    for c in reversed(range(len(MASKS))):
+        out[(difference & np.uint64(MASKS[c])) == 0] = c
+    return out
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, digest, sim, chars) of every line that is not left alone."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -102,19 +151,20 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         from lexspark.llm import line_dedup
 
-        cache = common.HashCache()
+        cache = common.worker_cache()
         for batch in batches:
             out = {k: [] for k in ("id", "line", "digest", "chars")}
             kept = []
             for i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for n, line in enumerate(line_dedup.normalised_lines(text)):
-                    if line:
-                        kept.append(line)
+                for n, words in enumerate(line_dedup.line_words(text)):
+                    if words:
+                        kept.append(words)
                         out["id"].append(i)
                         out["line"].append(n)
-            out["digest"] = [xxhash.xxh3_128_digest(x) for x in kept]
-            out["chars"] = [len(x) for x in kept]
-            out["sim"] = line_dedup.simhashes(kept, cache).view(np.int64) if kept else []
+            joined = [b" ".join(w) for w in kept]
+            out["digest"] = [xxhash.xxh3_128_digest(x) for x in joined]
+            out["chars"] = [len(x) for x in joined]
+            out["sim"] = line_dedup.simhashes(kept, cache).view(np.int64)
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -129,7 +179,7 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             found = {x for t in batch.column(0).to_pylist() for x in line_dedup.normalised_lines(t) if x}
-            yield {"digest": [xxhash.xxh3_128_digest(x) for x in found], "norm": list(found)}
+            yield {"digest": [xxhash.xxh3_128_digest(x.encode()) for x in found], "norm": list(found)}
 
     return common.arrow_map(docs.select(text_col), run, "digest binary, norm string")
 
@@ -161,21 +211,56 @@ def _packed(groups, fn, names, most: int = 4096):
     yield out
 
 
-def _near(nodes, sims, chars):
-    sims, chars = np.array(sims, np.int64).view(np.uint64), np.array(chars)
-    found = np.zeros(len(nodes), bool)
+def _pack(batches, buckets: int):
+    """(part, data) of the hashes and nodes of distinct lines under each combination of blocks."""
+    for batch in batches:
+        node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sims = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        for c, mask in enumerate(MASKS):
+            part = (common.mix64((sims & np.uint64(mask)) + np.uint64(c)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(buckets + 1))
+            rows = np.stack([sims.view(np.int64), node], 1)[order]
+            used = np.flatnonzero(np.diff(at))
+            yield {"part": used.tolist(), "mask": [c] * len(used), "data": [rows[at[p] : at[p + 1]].tobytes() for p in used.tolist()]}
+
+
+def _near(batches):
+    """Nodes with a neighbour by hash in some bucket, and all of buckets of over HOT lines."""
+    found: dict[int, list] = {}
+    for batch in batches:
+        for mask, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found.setdefault(mask, []).append(np.frombuffer(data, np.int64).reshape(-1, 2))
+    for mask in list(found):
+        rows = np.concatenate(found.pop(mask))
+        sims = rows[:, 0].copy().view(np.uint64)
+        key = sims & np.uint64(MASKS[mask])
+        order = np.argsort(key, kind="stable")
+        sims, node, key = sims[order], rows[order, 1], key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(head, len(key)))
+        hit = np.zeros(len(key), bool)
+        for a, n in zip(head[size > 1].tolist(), size[size > 1].tolist()):
+            if n > HOT:
+                hit[a : a + n] = True
+                continue
+            own = sims[a : a + n]
+            for i in range(n - 1):
+                j = neighbours(own, i)
+                if len(j):
+                    hit[a + i] = hit[a + j] = True
+        yield {"node": np.unique(node[hit])}
+
+
+def _verified(masks, nodes, sims, norms):
+    sims, uf, out, mask = np.array(sims, np.int64).view(np.uint64), common.UnionFind(), [], masks[0]
+    if len(nodes) == 2 and int(np.bitwise_count(sims[0] ^ sims[1])) > RADIUS:
+        return out
     for i in range(len(nodes) - 1):
         j = neighbours(sims, i)
-        j = j[np.minimum(chars[j], chars[i]) >= SIMILARITY * np.maximum(chars[j], chars[i])]
-        if len(j):
-            found[i] = found[j] = True
-    return [(nodes[i],) for i in np.flatnonzero(found)]
-
-
-def _verified(nodes, sims, norms):
-    sims, uf, out = np.array(sims, np.int64).view(np.uint64), common.UnionFind(), []
-    for i in range(len(nodes) - 1):
-        for j in neighbours(sims, i).tolist():
+        if not len(j):
+            continue
+        for j in j[first_masks(sims[j] ^ sims[i]) == mask].tolist():
             if uf.find(nodes[i]) != uf.find(nodes[j]) and similar(norms[i], norms[j]):
                 uf.union(nodes[i], nodes[j])
                 out.append((nodes[i], nodes[j]))
@@ -202,29 +287,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     found = common.materialize(occurrences(docs, id_col, text_col), "lines")
     distinct = found.groupBy("digest", "sim", "chars").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"))
     distinct = common.materialize(distinct.withColumn("node", F.xxhash64("digest")), "distinct")
-    keys = F.array(*[F.xxhash64(F.lit(c), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for c, m in enumerate(MASKS)])
-    cells = distinct.select("node", "digest", "sim", "chars", F.explode(keys).alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = common.materialize(cells.join(shared, "key"), "cells")
+
+    def pack(batches):
+        from lexspark.llm import line_dedup as own
+
+        yield from own._pack(batches, partitions)
 
     def near(batches):
         from lexspark.llm import line_dedup as own
 
-        yield from own._packed(own._grouped(batches, 5), own._near, ["node"])
+        yield from own._near(batches)
 
     def verified(batches):
         from lexspark.llm import line_dedup as own
 
-        yield from own._packed(own._grouped(batches, 5), own._verified, ["a", "b"])
+        yield from own._packed(own._grouped(batches, 6), own._verified, ["a", "b"])
 
-    close = common.arrow_map(_dealt(cells, partitions, ["node", "sim", "chars"]), near, "node long").distinct()
-    close = common.materialize(close, "close")
-    wanted = common.materialize(cells.join(close, "node", "left_semi").select("digest").distinct(), "wanted")
-    texts = common.materialize(_lines(docs, text_col).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
-    some = cells.join(close, "node", "left_semi").join(texts, "digest")
-    links = common.materialize(common.arrow_map(_dealt(some, partitions, ["node", "sim", "norm"]), verified, "a long, b long"), "links")
+    packed = common.arrow_map(distinct.select("node", "sim"), pack, "part int, mask int, data binary").repartition(partitions, "part")
+    close = common.materialize(common.arrow_map(packed, near, "node long").distinct(), "close")
+    some = common.materialize(distinct.join(close, "node", "left_semi").select("node", "digest", "sim"), "some")
+    texts = _lines(docs, text_col).join(some.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "norm")
+    keys = F.array(*[F.xxhash64(F.lit(c), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for c, m in enumerate(MASKS)])
+    cells = some.select("node", "sim", F.posexplode(keys).alias("mask", "key"))
+    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    cells = cells.join(shared, "key").join(texts, "node")
+    links = common.materialize(common.arrow_map(_dealt(cells, partitions, ["mask", "node", "sim", "norm"]), verified, "a long, b long"), "links")
     roots = common.components(links)
-    common.discard(cells)
     all_ = distinct.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = all_.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("n")).where("n > 1").select("root", "first")
     return found, common.materialize(all_.select("digest", "root").join(per, "root"), "groups")
@@ -255,12 +343,14 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the distinct groups; n_dropped: lines that go.
     """
     found, grouped = groups(docs, id_col, text_col)
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    if not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = found.dropDuplicates(["id", "line", "digest"])
     marked = found.select("id", "line", "digest").join(grouped, "digest", "left")
     gone = F.col("root").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
-    per = marked.dropDuplicates(["id", "line", "digest"]).groupBy("id").agg(
+    per = marked.groupBy("id").agg(
         F.count("*").alias("n_lines"), F.count("root").alias("n_groups"), F.count_if(gone).alias("n_dropped"), F.sort_array(F.collect_set("root")).alias("class_ids")
     )
-    ids = docs.select(F.col(id_col).alias("doc_id"))
     out = ids.join(per, ids["doc_id"].eqNullSafe(per["id"]), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", zero("n_lines"), zero("n_groups"), zero("n_dropped"), F.coalesce("class_ids", F.array().cast("array<long>")).alias("class_ids"))
