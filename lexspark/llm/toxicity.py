@@ -25,7 +25,9 @@ SAMPLE_ROWS = 12_000
 MAX_WEIGHTS = 200_000
 #: A feature has to occur in as many texts of the sample.
 MIN_TEXTS = 8
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 6.0, 0.01  # L1 for samples with over 600 toxic texts; less below
+#: L1 is for a pass over a sample with 540 toxic texts or more; REFIT_L1 for the second fit, over the features that the first has kept.
+EPOCHS, UPDATES, ALPHA, BETA, L1, L2 = 3, 30_000, 1.0, 1.0, 12.0, 0.01
+REFIT_L1 = 0.1
 PIECE_WORDS = 200_000
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
@@ -56,23 +58,16 @@ def features(text: str | None, cache: WordCache) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted features with nonzero weights, those weights, and the bias."""
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return np.empty(0, np.uint32), np.empty(0, np.float64), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    l1 = float(np.clip(y.sum() / 100, 0.5, L1))
-    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[counts >= np.clip(y.sum() / 12, 2, MIN_TEXTS)]
-    rows = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
-    z, n = np.zeros(len(keys)), np.zeros(len(keys))
+def _ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, l1: float, passes: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights of FTRL-proximal with per-coordinate rates, and the bias, over shuffled rows of feature numbers."""
+    z, n = np.zeros(size), np.zeros(size)
     bias, bias_n = float(np.log(y.mean() / (1 - y.mean()))), 1.0
 
     def weights(zi, ni):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     order = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(passes):
         for i in order.permutation(len(rows)):
             at = rows[i]
             zi, ni = z[at], n[at]
@@ -82,7 +77,24 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarra
             n[at] = ni + g * g
             bias_n += g * g
             bias -= 0.05 * g / np.sqrt(bias_n)
-    w = weights(z, n)
+    return weights(z, n), bias
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted features with nonzero weights, those weights, and the bias."""
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
+        return np.empty(0, np.uint32), np.empty(0, np.float64), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    passes = int(np.clip(UPDATES // len(rows), EPOCHS, 40))  # more often over small samples
+    l1 = L1 * passes * min(1.0, y.sum() / 600 + 0.1)  # gradients add up over passes
+    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
+    keys = keys[counts >= np.clip(y.sum() / 12, 2, MIN_TEXTS)]
+    rows = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
+    w, _ = _ftrl(rows, y, len(keys), l1, passes, seed)
+    # L1 also shrinks what it keeps: the features kept are fitted again with little of it.
+    kept = np.flatnonzero(w)
+    keys, rows = keys[kept], [np.searchsorted(kept, r[np.isin(r, kept, assume_unique=True)]) for r in rows]
+    w, bias = _ftrl(rows, y, len(keys), REFIT_L1, passes, seed + 1)
     used = np.flatnonzero(w)
     if len(used) > MAX_WEIGHTS:
         used = np.sort(used[np.argsort(-np.abs(w[used]), kind="stable")[:MAX_WEIGHTS]])
@@ -103,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def sketch(batches):
         from lexspark.llm import toxicity
 
-        cache = toxicity.WordCache()
+        cache = common.worker_cache(toxicity.WordCache)
         for batch in batches:
             yield {"y": batch.column(0).to_pylist(), "f": [toxicity.features(t, cache).tobytes() for t in batch.column(1).to_pylist()]}
 
@@ -128,7 +140,7 @@ class Scorer:
         self.keys, self.weights, self.bias = model
         self.near = np.zeros(1 << 20, bool)  # whether a feature with these low bits has a weight
         self.near[self.keys & np.uint32(0xFFFFF)] = True
-        self.cache = WordCache()
+        self.cache = common.worker_cache(WordCache)
 
     def score(self, text: str | None) -> float:
         f = features(text, self.cache)
