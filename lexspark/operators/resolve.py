@@ -41,8 +41,8 @@ def decide(evidence: DataFrame, key: str, weak_methods: list[str]) -> DataFrame:
     ev = evidence.withColumn("_strong", strong)
     pool = ev.groupBy(key).agg(
         F.bool_or("_strong").alias("_any_strong"),
-        *[F.min(F.when(c, v)).alias(f"_{tag}_{v}_min") for tag, c in (("s", F.col("_strong")), ("w", ~F.col("_strong"))) for v in ("root_bare", "binyan")],
-        *[F.max(F.when(c, v)).alias(f"_{tag}_{v}_max") for tag, c in (("s", F.col("_strong")), ("w", ~F.col("_strong"))) for v in ("root_bare", "binyan")],
+        *[F.min(F.when(c, F.col(v))).alias(f"_{tag}_{v}_min") for tag, c in (("s", F.col("_strong")), ("w", ~F.col("_strong"))) for v in ("root_bare", "binyan")],
+        *[F.max(F.when(c, F.col(v))).alias(f"_{tag}_{v}_max") for tag, c in (("s", F.col("_strong")), ("w", ~F.col("_strong"))) for v in ("root_bare", "binyan")],
     )
 
     def of(v: str, end: str) -> Column:
