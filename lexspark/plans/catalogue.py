@@ -35,7 +35,6 @@ def query(sql: str | None = None):
     return add
 
 
-n_rows = F.count(F.lit(1))
 
 
 # ---------------------------------------------------------------- resolution
@@ -49,14 +48,14 @@ SELECT status, count(*)::BIGINT AS n_keys, count_if(part_known)::BIGINT AS n_par
 """)
 def unanimous_decision(t) -> DataFrame:
     """Conflicting claims about an order line: a value only where all agree, else NULL and a status."""
-    claims = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(n_rows.alias("n"), resolve.unanimous(F.col("l_partkey")).alias("part"), resolve.unanimous(F.col("l_suppkey")).alias("supplier"))
+    claims = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), resolve.unanimous(F.col("l_partkey")).alias("part"), resolve.unanimous(F.col("l_suppkey")).alias("supplier"))
     status = F.when(F.col("n") == 1, "SINGLE").when(F.col("supplier").isNotNull(), "UNANIMOUS").otherwise("AMBIGUOUS")
-    return claims.groupBy(status.alias("status")).agg(n_rows.alias("n_keys"), F.count("part").alias("n_parts"), F.count("supplier").alias("n_suppliers"))
+    return claims.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n_keys"), F.count("part").alias("n_parts"), F.count("supplier").alias("n_suppliers"))
 
 
 @query("SELECT l_suppkey, round(1 - product(1 - l_discount), 4) AS confidence, count(*)::BIGINT AS n FROM lineitem GROUP BY l_suppkey")
 def noisy_or_confidence(t) -> DataFrame:
-    return t("lineitem").groupBy("l_suppkey").agg(resolve.noisy_or(F.col("l_discount")).alias("confidence"), n_rows.alias("n"))
+    return t("lineitem").groupBy("l_suppkey").agg(resolve.noisy_or(F.col("l_discount")).alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -90,7 +89,7 @@ SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, min(eve
 
 def _event_runs(events: DataFrame, counts=None) -> DataFrame:
     out = ordered.runs(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), counts)
-    return out.where("run is not null").groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.min("event_id").alias("first_event"), n_rows.alias("length"))
+    return out.where("run is not null").groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("length"))
 
 
 @query(_RUNS.format(c="true"))
@@ -180,7 +179,7 @@ def vote_join(t) -> DataFrame:
     """Customers vote for suppliers by the parts both have: best candidate, runner-up, margin, status."""
     bought = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").select("o_custkey", "l_partkey").distinct()
     votes = joins.votes(bought, t("lineitem"), "o_custkey", "l_suppkey", ["l_partkey"])
-    scored = votes.join(bought.groupBy("o_custkey").agg(n_rows.alias("n")), "o_custkey").select("o_custkey", "l_suppkey", (F.col("votes") / F.col("n")).alias("score"))
+    scored = votes.join(bought.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), "o_custkey").select("o_custkey", "l_suppkey", (F.col("votes") / F.col("n")).alias("score"))
     best = ordered.top_scores(scored, ["o_custkey"], "score", ["l_suppkey"]).where("rank = 1")
     top, second = F.col("top_score"), F.col("second_score")
     status = F.when(top < 0.75, "UNPAIRED").when(F.col("n_tied") > 1, "TIED").when(top == 1, "PAIRED").when(top - second < 0.15, "AMBIGUOUS").otherwise("PAIRED_PARTIAL")
@@ -195,7 +194,7 @@ SELECT a AS p_partkey, min(b) AS nearest, min(d)::BIGINT AS distance, count(*)::
 def edit_distance_tiebreak(t) -> DataFrame:
     """The nearest name among parts of the same type and size, by edit distance."""
     pairs = joins.ordered_pairs(t("part"), ["p_type", "p_size"], "p_partkey", ["p_name"])
-    best = pairs.groupBy(F.col("s_p_partkey").alias("p_partkey"), F.levenshtein("s_p_name", "t_p_name").cast("long").alias("distance")).agg(F.min("t_p_partkey").alias("nearest"), n_rows.alias("n_tied"))
+    best = pairs.groupBy(F.col("s_p_partkey").alias("p_partkey"), F.levenshtein("s_p_name", "t_p_name").cast("long").alias("distance")).agg(F.min("t_p_partkey").alias("nearest"), F.count(F.lit(1)).alias("n_tied"))
     return best.groupBy("p_partkey").agg(F.min(F.struct("distance", "nearest", "n_tied")).alias("x")).select("p_partkey", "x.nearest", "x.distance", "x.n_tied")
 
 
@@ -227,7 +226,7 @@ def multi_probe_evidence(t) -> DataFrame:
     bought = bought.join(t("customer").select("c_custkey"), "c_custkey")
     probes = {"nation_exact": c.join(s, c["c_nationkey"] == s["s_nationkey"]), "order_exact": bought, "balance_loose": c.join(s, "b")}
     hits = joins.multi_probe(probes, "c_custkey", "s_suppkey", ["nation_exact", "order_exact"], ["balance_loose"])
-    return hits.groupBy("method").agg(n_rows.alias("n"), F.count_distinct("c_custkey").alias("n_customers"), F.count_distinct("s_suppkey").alias("n_suppliers"))
+    return hits.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("n_customers"), F.count_distinct("s_suppkey").alias("n_suppliers"))
 
 
 @query("""
@@ -272,7 +271,7 @@ WITH b AS (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FR
 """)
 def union_all_distinct(t) -> DataFrame:
     both = t("customer").select(F.col("c_nationkey").alias("nation")).unionByName(t("supplier").select(F.col("s_nationkey").alias("nation")))
-    return both.groupBy("nation").agg(n_rows.alias("n"), F.count_distinct("nation").alias("n_distinct"))
+    return both.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nation").alias("n_distinct"))
 
 
 @query("""
@@ -315,8 +314,8 @@ SELECT 'events.event_type' AS column_name, event_type AS value, count(*)::BIGINT
 UNION ALL SELECT 'orders.o_orderstatus', o_orderstatus, count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY o_orderstatus
 """)
 def enum_violations(t) -> DataFrame:
-    a = t("events").where(~F.col("event_type").isin("click", "view", "purchase")).groupBy(F.lit("events.event_type").alias("column_name"), F.col("event_type").alias("value")).agg(n_rows.alias("n"))
-    b = t("orders").where(~F.col("o_orderstatus").isin("F", "O")).groupBy(F.lit("orders.o_orderstatus").alias("column_name"), F.col("o_orderstatus").alias("value")).agg(n_rows.alias("n"))
+    a = t("events").where(~F.col("event_type").isin("click", "view", "purchase")).groupBy(F.lit("events.event_type").alias("column_name"), F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    b = t("orders").where(~F.col("o_orderstatus").isin("F", "O")).groupBy(F.lit("orders.o_orderstatus").alias("column_name"), F.col("o_orderstatus").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return a.unionByName(b)
 
 
@@ -388,7 +387,7 @@ SELECT coalesce(toxic::VARCHAR, 'NOT_STATED') AS toxic, coalesce(lang, 'NOT_STAT
 """)
 def value_distribution(t) -> DataFrame:
     stated = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NOT_STATED")).alias(c)
-    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left").groupBy(stated("toxic"), stated("lang")).agg(n_rows.alias("n"))
+    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left").groupBy(stated("toxic"), stated("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -418,7 +417,7 @@ def first_variants(t) -> DataFrame:
 def char_histogram(t) -> DataFrame:
     from lexspark.functions import text
 
-    return t("documents").select(F.explode(text.characters(F.col("text"))).alias("letter")).groupBy("letter").agg(n_rows.alias("n"))
+    return t("documents").select(F.explode(text.characters(F.col("text"))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -442,7 +441,7 @@ WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6]>')) AS tag F
 SELECT page_id, tag, count(*)::BIGINT AS n FROM m GROUP BY ALL
 """)
 def heading_counts(t) -> DataFrame:
-    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h[1-6]>"), F.lit(0))).alias("tag")).groupBy("page_id", "tag").agg(n_rows.alias("n"))
+    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h[1-6]>"), F.lit(0))).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -483,7 +482,7 @@ def parent_rollup(t) -> DataFrame:
 
 @query("SELECT p_type AS pattern, p_size AS level, count(*)::BIGINT AS n FROM part GROUP BY ALL")
 def pattern_frequency(t) -> DataFrame:
-    return t("part").groupBy(F.col("p_type").alias("pattern"), F.col("p_size").alias("level")).agg(n_rows.alias("n"))
+    return t("part").groupBy(F.col("p_type").alias("pattern"), F.col("p_size").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -491,7 +490,7 @@ WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) SELECT o_cu
 """)
 def top_after_count(t) -> DataFrame:
     """A top-k report: the 20 customers with the most orders."""
-    return t("orders").groupBy("o_custkey").agg(n_rows.alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)
+    return t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)
 
 
 @query("""
@@ -500,7 +499,7 @@ SELECT 'RT-' || substr(sha1('root|' || p_name), 1, 10) AS content_id, count(*)::
 def content_ids(t) -> DataFrame:
     from lexspark.functions import roots
 
-    return t("part").groupBy(roots.root_id(F.col("p_name")).alias("content_id")).agg(n_rows.alias("n"))
+    return t("part").groupBy(roots.root_id(F.col("p_name")).alias("content_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -------------------------------------------------------------------- splits
@@ -554,7 +553,7 @@ SELECT a.x AS l_orderkey, a.c AS source, b.c AS target, CASE WHEN a.k > 2 THEN '
 def cell_k_split(t) -> DataFrame:
     """Orders of exactly four lines show two of them, chosen by hash; pairs of lines are dealt out by what is shown."""
     d = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
-    full = d.groupBy("l_orderkey").agg(n_rows.alias("n")).where("n = 4").select("l_orderkey")
+    full = d.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("l_orderkey")
     key = splits.hash_key("cell_k2", 0, F.concat_ws("|", "l_orderkey", "l_linenumber"))
     lines = d.join(full, "l_orderkey").withColumn("shown", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(key)) <= 2)
     part = splits.partition_groups(full, "l_orderkey", "cell_k2_devtest", 0, (0.0, 0.1, 0.9))
@@ -587,7 +586,7 @@ def split_verify(t) -> DataFrame:
     """Groups in more than one partition: none in a clean assignment, some in a mutated one."""
     both = reduce(DataFrame.unionByName, [_by_customer(t, m).withColumn("kind", F.lit(k)) for k, m in (("clean", False), ("mutated", True))])
     per = both.join(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("kind", "o_custkey").agg((F.min("partition") != F.max("partition")).alias("shared"))
-    return per.groupBy("kind").agg(F.count_if("shared").alias("n_shared_groups"), n_rows.alias("n_groups"))
+    return per.groupBy("kind").agg(F.count_if("shared").alias("n_shared_groups"), F.count(F.lit(1)).alias("n_groups"))
 
 
 @query(_ranked("orders", "o_custkey", "root", 1, _EVEN) + """,
@@ -596,8 +595,8 @@ SELECT partition, sum(n)::BIGINT AS n_units, count(*)::BIGINT AS n_groups, round
 """)
 def split_stats(t) -> DataFrame:
     rows = _by_customer(t, False).join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
-    per = rows.groupBy("partition", "o_custkey").agg(n_rows.alias("n"), F.sum(F.length("o_orderpriority")).alias("len"))
-    return per.groupBy("partition").agg(F.sum("n").alias("n_units"), n_rows.alias("n_groups"), F.round(F.avg("n"), 3).alias("mean_per_group"), F.max("n").alias("max_per_group"), F.round(F.sum("len") / F.sum("n"), 3).alias("mean_length"))
+    per = rows.groupBy("partition", "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("o_orderpriority")).alias("len"))
+    return per.groupBy("partition").agg(F.sum("n").alias("n_units"), F.count(F.lit(1)).alias("n_groups"), F.round(F.avg("n"), 3).alias("mean_per_group"), F.max("n").alias("max_per_group"), F.round(F.sum("len") / F.sum("n"), 3).alias("mean_length"))
 
 
 @query(_ranked("orders", "o_custkey", "root", 1, _EVEN) + " SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders JOIN a ON o_custkey = g WHERE partition = 'test'")
