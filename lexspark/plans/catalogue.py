@@ -660,3 +660,46 @@ def synth_paradigms(t) -> DataFrame:
     roots = synth.all_roots(letters, 3)
     cells = spark.createDataFrame([("A", "PST.3MSG", "1ָ2ַ3"), ("A", "PST.1SG", "1ָ2ַ3ְתִּי"), ("B", "PST.3MSG", "נִ1ְ2ַ3")], "binyan string, cell string, pattern string")
     return synth.realize(roots, cells, finals=False).select("root", "binyan", "cell", "form")
+
+
+# ------------------------------------------------------------------- reports
+
+
+@query("""
+SELECT 'orders' AS source, 'rows' AS metric, count(*)::BIGINT AS value FROM orders UNION ALL SELECT 'lineitem', 'rows', count(*) FROM lineitem UNION ALL SELECT 'documents', 'rows', count(*) FROM documents
+UNION ALL SELECT 'orders', 'status_' || o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'documents', 'lang_' || lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang
+""")
+def source_coverage(t) -> DataFrame:
+    """Long report of sizes and status counts by source."""
+    one = lambda df, s, m: df.groupBy(F.lit(s).alias("source"), m.alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    sizes = [one(t(n), n, F.lit("rows")) for n in ("orders", "lineitem", "documents")]
+    status = one(t("orders"), "orders", F.concat(F.lit("status_"), "o_orderstatus"))
+    return reduce(DataFrame.unionByName, [*sizes, status, one(t("documents").where("lang is not null"), "documents", F.concat(F.lit("lang_"), "lang"))])
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, l_quantity, string_agg(l_linenumber::VARCHAR, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS cells, count(DISTINCT l_returnflag) > 1 AS crosses, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1)
+SELECT * FROM g
+""")
+def syncretism_report(t) -> DataFrame:
+    """Groups of lines of an order that share a value: their numbers in order, and whether they cross a boundary."""
+    pairs = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    g = t("lineitem").groupBy("l_orderkey", "l_quantity").agg(F.array_join(F.transform(pairs, lambda s: s["l_linenumber"].cast("string")), "|").alias("cells"), (F.count_distinct("l_returnflag") > 1).alias("crosses"), F.count(F.lit(1)).alias("n"))
+    return g.where("n > 1")
+
+
+@query("SELECT DISTINCT round_even(pow(1000.0, i / 24.0), 0)::BIGINT AS step FROM range(25) r(i)")
+def log_spaced_steps(t) -> DataFrame:
+    return ordered.log_spaced_steps(t("region").sparkSession, 1000, 25)
+
+
+@query("""
+WITH s AS (SELECT l_shipmode AS x FROM (SELECT l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1), d(d) AS (VALUES (2), (4)), k(k) AS (VALUES (0), (1), (2))
+SELECT x AS status, d AS layers, k AS seed, x || '_' || d || '_' || k AS config FROM s, d, k
+""")
+def config_grid(t) -> DataFrame:
+    """The product of small dimensions of an experiment."""
+    spark = t("region").sparkSession
+    status = t("lineitem").select(F.col("l_linestatus").alias("status")).distinct()
+    grid = status.crossJoin(spark.createDataFrame([(2,), (4,)], "layers int")).crossJoin(spark.createDataFrame([(0,), (1,), (2,)], "seed int"))
+    return grid.withColumn("config", F.concat_ws("_", "status", "layers", "seed"))
