@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-ORDER, SHARE, FREQUENT, CHUNK = 5, 22, 1 << 18, 1 << 21
+ORDER, SHARE, FREQUENT, CHUNK = 5, 22, 1 << 18, 1 << 19
 END = 0xFF
 #: Distinct words that a task counts before it puts them out.
 WORDS = 400_000
@@ -213,7 +213,7 @@ def train(docs: DataFrame, learn, text_col: str = "text") -> Model:
             if texts:
                 parts.append(ppm.count_grams(texts))
                 texts, waiting = [], 0
-            if len(parts) > 8:
+            if len(parts) > 24:
                 parts = [ppm.add_up(parts)]
 
         for batch in batches:
