@@ -9,7 +9,7 @@ line number, is kept.
 Pigeonhole: with BLOCKS blocks of bits, at least BLOCKS - RADIUS agree in linked lines; each
 combination of that many blocks is a join key. A first pass finds lines that have a neighbour by
 hash at all: hashes travel packed, sixteen bytes a key, and buckets are compared in numpy; buckets of
-over HOT lines go on whole to the second pass. There the texts of the lines found are fetched,
+over HOT lines go on whole to the second pass. There the texts of the lines found are fetched (a bitmap of fixed size keeps nearly all others from being sent),
 each pair is verified in the first of its common buckets only, and just the links that
 join two components of a bucket are put out. Buckets of over CHUNK lines are dealt out as pairs of
 chunks, so that no task holds a whole hot bucket. Occurrences of hot lines are pre-aggregated.
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from lexspark.llm import common
 
 RADIUS, BLOCKS, SIMILARITY, MIN_WORDS, CHUNK, HOT = 3, 5, 0.85, 5, 800, 2048
+#: Bits of a node by which texts are asked for.
+BITS = 24
 #: Signs to blanks, digits to 0; other bytes stay (fixed by ASCII).
 PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or 65 <= b <= 90 or b > 127 else 32 for b in range(256))
 #: Edges of the blocks, and for each combination of blocks the bits it looks at.
@@ -171,17 +173,59 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.arrow_map(rows, run, f"id {kind}, line int, digest binary, sim long, chars int")
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """(digest, norm): the normalised lines themselves."""
+def node_of(digest: bytes) -> int:
+    """A line's 64-bit number, as xxhash64() of its digest gives it."""
+    n = xxhash.xxh64_intdigest(digest, 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for the low BITS bits of each node, 2^BITS / 8 bytes whatever the input. Parts are united by segment."""
+    width, segments = 1 << (BITS - 3), 64
+
+    def mark(batches):
+        bits = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << BITS) - 1)] = True
+        rows = np.packbits(bits).reshape(segments, -1)
+        used = np.flatnonzero(rows.any(1)).tolist()
+        yield {"segment": used, "bits": [rows[i].tobytes() for i in used]}
+
+    def unite(batches):
+        found: dict = {}
+        for batch in batches:
+            for i, data in zip(*(c.to_pylist() for c in batch.columns)):
+                data = np.frombuffer(data, np.uint8)
+                found[i] = found[i] | data if i in found else data
+        yield {"segment": list(found), "bits": [x.tobytes() for x in found.values()]}
+
+    parts = common.arrow_map(nodes.select("node"), mark, "segment int, bits binary").repartition(segments, "segment")
+    out = np.zeros((segments, width // segments), np.uint8)
+    for r in common.arrow_map(parts, unite, "segment int, bits binary").toLocalIterator():
+        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out.ravel()).view(bool)
+
+
+def _lines(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
+    """(node, norm): the normalised lines whose node has a bit in `wanted`: those asked for and a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
         from lexspark.llm import line_dedup
 
+        bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            found = {x for t in batch.column(0).to_pylist() for x in line_dedup.normalised_lines(t) if x}
-            yield {"digest": [xxhash.xxh3_128_digest(x.encode()) for x in found], "norm": list(found)}
+            found = {}
+            for t in batch.column(0).to_pylist():
+                for words in line_dedup.line_words(t):
+                    if words:
+                        line = b" ".join(words)
+                        node = line_dedup.node_of(xxhash.xxh3_128_digest(line))
+                        if bits[node & ((1 << BITS) - 1)]:
+                            found[node] = line
+            yield {"node": list(found), "norm": [x.decode("utf-8") for x in found.values()]}
 
-    return common.arrow_map(docs.select(text_col), run, "digest binary, norm string")
+    return common.arrow_map(docs.select(text_col), run, "node long, norm string")
 
 
 def _grouped(batches, width: int):
@@ -306,7 +350,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     packed = common.arrow_map(distinct.select("node", "sim"), pack, "part int, mask int, data binary").repartition(partitions, "part")
     close = common.materialize(common.arrow_map(packed, near, "node long").distinct(), "close")
     some = common.materialize(distinct.join(close, "node", "left_semi").select("node", "digest", "sim"), "some")
-    texts = _lines(docs, text_col).join(some.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "norm")
+    texts = _lines(docs, text_col, bitmap(some)).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
     keys = F.array(*[F.xxhash64(F.lit(c), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for c, m in enumerate(MASKS)])
     cells = some.select("node", "sim", F.posexplode(keys).alias("mask", "key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
