@@ -1,16 +1,16 @@
 """Fuzzy line dedup (operator 2).
 
 Lines are normalised (lower case, ASCII signs and white space to single blanks, digits to 0), equal ones
-merged by a digest, and a 64-bit SimHash of their words taken. Two distinct lines are linked if
-their hashes differ in at most RADIUS bits and their edit similarity, 1 - distance / longer
-length, is at least SIMILARITY. Of each connected group the first occurrence, by document id and
-line number, is kept.
-
-Pigeonhole: with BLOCKS blocks of bits, at least BLOCKS - RADIUS agree in linked lines; each
-combination of that many blocks is a join key. A first pass finds lines that have a neighbour by
-hash at all: hashes travel packed, sixteen bytes a key, and buckets are compared in numpy; buckets of
-over HOT lines go on whole to the second pass. There the texts of the lines found are fetched (a bitmap of fixed size keeps nearly all others from being sent),
-each pair is verified in the first of its common buckets only, and just the links that
+merged by a digest, and a MinHash of their pairs of neighbouring words taken. Two distinct lines are linked if
+their edit similarity, 1 - distance / longer length, is at least SIMILARITY. Of each connected group
+the first occurrence, by document id and line number, is kept.
+
+Pairs to compare are those that agree in ROWS minima in one of BANDS bands: with a share x of common
+word pairs a link is missed with probability (1 - x^ROWS)^BANDS, 0.014 at 0.5 and 0.0004 at 0.6. So links are
+found by probability, not by proof: lines with a slip in nearly every word share no words and are not found.
+In a first pass band keys travel packed with counts of characters; the distance is at least the surplus of counts, which
+leaves out other pairs without loss; what buckets of over HOT lines hold goes on whole to the second pass. There the texts of the lines found are fetched
+(a bitmap of fixed size keeps nearly all others from being sent), each pair is verified in the first of its common buckets only, and just the links that
 join two components of a bucket are put out. Buckets of over CHUNK lines are dealt out as pairs of
 chunks, so that no task holds a whole hot bucket. Occurrences of hot lines are pre-aggregated.
 
@@ -23,7 +23,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
+import re
 
 import numpy as np
 import xxhash
@@ -32,14 +32,19 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-RADIUS, BLOCKS, SIMILARITY, MIN_WORDS, CHUNK, HOT = 3, 5, 0.85, 5, 800, 2048
+BANDS, ROWS, SIMILARITY, MIN_WORDS, CHUNK, HOT = 32, 3, 0.85, 5, 800, 2048
+#: Lines of fewer words are hashed by their words as well as by pairs of them.
+FEW_WORDS = 16
+#: Cells for counts of characters, each of at most 15; two to a byte.
+CELLS = 32
 #: Bits of a node by which texts are asked for.
 BITS = 24
 #: Signs to blanks, digits to 0; other bytes stay (fixed by ASCII).
 PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or 65 <= b <= 90 or b > 127 else 32 for b in range(256))
-#: Edges of the blocks, and for each combination of blocks the bits it looks at.
-EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-MASKS = [sum(((1 << EDGES[b + 1]) - (1 << EDGES[b])) for b in c) for c in combinations(range(BLOCKS), BLOCKS - RADIUS)]
+#: Odd multipliers, one for each minimum.
+MULTIPLIERS = common.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Scripts that are written without blanks; each of their characters is a word of its own when lines are hashed.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 
 
 def line_words(text: str | None) -> list[list[bytes]]:
@@ -55,31 +60,54 @@ def normalised_lines(text: str | None) -> list[str]:
     return [b" ".join(w).decode("utf-8") for w in line_words(text)]
 
 
-#: The bits of a byte, first the highest, each in a byte of an integer of its own.
-LANES = np.array([sum((v >> (7 - j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
-
+def tokens(words: list[bytes]) -> list[bytes]:
+    """The words, those of scripts without blanks cut into characters."""
+    if all(map(bytes.isascii, words)):
+        return words
+    out = []
+    for w in words:
+        if w.isascii():
+            out.append(w)
+        else:
+            out.extend(x.encode("utf-8") for x in UNSPACED.findall(w.decode("utf-8")))
+    return out
 
-def simhashes(lines: list[list[bytes]], cache: common.HashCache) -> np.ndarray:
-    """64-bit SimHash of each (nonempty) line by its words.
 
-    Votes for eight bits are added at once, a byte each, for up to 255 words at a time.
-    """
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = common.hash_words([w for ws in lines for w in ws], cache)
-    out, place = [], 0
+def signatures(lines: list[list[bytes]], cache: common.HashCache) -> np.ndarray:
+    """(line, band): 32-bit keys of each (nonempty) line."""
+    parts = [tokens(w) for w in lines]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    words = common.hash_words([w for ws in parts for w in ws], cache)
+    out, place = [np.empty((0, BANDS), np.uint32)], 0
     for a, b in _spans(size):
         n = size[a:b]
-        parts = -(-n // 255)
-        first = np.cumsum(parts) - parts
-        within = np.arange(parts.sum()) - np.repeat(first, parts)
-        heads = np.repeat(np.cumsum(n) - n, parts) + within * 255
-        lanes = LANES[h[place : place + n.sum()].view(np.uint8).reshape(-1, 8)]
-        votes = np.ascontiguousarray(np.add.reduceat(lanes, heads, axis=0)).view(np.uint8)
-        if len(heads) > len(n):
-            votes = np.add.reduceat(votes.astype(np.int64), first, axis=0)
-        out.append(np.packbits(votes * np.int64(2) > n[:, None], axis=1).view(np.uint64).ravel())
+        h = words[place : place + n.sum()]
         place += n.sum()
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        both = np.flatnonzero(owner[1:] == owner[:-1])
+        alone = np.flatnonzero((n < FEW_WORDS)[owner])
+        grams = np.concatenate([common.mix64(h[both] * common.PLACE[0] + common.mix64(h[both + 1])), common.mix64(h[alone])])
+        owner = np.concatenate([owner[both], owner[alone]])
+        order = np.argsort(owner, kind="stable")
+        grams, owner = grams[order], owner[order]
+        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        keys = np.zeros((len(n), BANDS), np.uint64)
+        for i, multiplier in enumerate(MULTIPLIERS):
+            least = np.minimum.reduceat((grams * multiplier) >> np.uint64(32), head)
+            keys[:, i // ROWS] = common.mix64(keys[:, i // ROWS] + least)
+        out.append((keys >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(out)
+
+
+#: The name by which brute force in tests asks for signatures.
+simhashes = signatures
+
+
+def cell_counts(line: bytes) -> bytes:
+    """Counts of characters by cell, 15 at most, two to a byte."""
+    points = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode("utf-8").encode("utf-32-le"), np.uint32)
+    n = np.minimum(np.bincount(points % CELLS, minlength=CELLS), 15).astype(np.uint8)
+    return (n[::2] | n[1::2] << 4).tobytes()
 
 
 def _spans(size: np.ndarray, most: int = 100_000):
@@ -134,20 +162,22 @@ def similar(a: str, b: str) -> bool:
     return min(len(a), len(b)) >= SIMILARITY * longest and edit_distance(a, b) <= (1 - SIMILARITY) * longest + 1e-9
 
 
-def neighbours(sims: np.ndarray, i: int) -> np.ndarray:
-    return np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= RADIUS) + i + 1
+def neighbours(keys: np.ndarray, i: int) -> np.ndarray:
+    """Later lines that share a band with line i."""
+    return np.flatnonzero((keys[i + 1 :] == keys[i]).any(1)) + i + 1
 
 
-def first_masks(difference: np.ndarray) -> np.ndarray:
-    """For each (close) difference of two hashes the first combination of blocks that it leaves alone."""
-    out = np.full(len(difference), -1)
-    for c in reversed(range(len(MASKS))):
-        out[(difference & np.uint64(MASKS[c])) == 0] = c
-    return out
+def possible(counts: np.ndarray, chars: np.ndarray, i: int) -> np.ndarray:
+    """Later lines that lengths and counts of characters (line, cell) do not tell apart from line i."""
+    longest = np.maximum(chars[i + 1 :], chars[i])
+    most = (1 - SIMILARITY) * longest + 1e-9
+    surplus = counts[i + 1 :] - counts[i]
+    worst = np.maximum(np.maximum(surplus, 0).sum(1), np.maximum(-surplus, 0).sum(1))
+    return np.flatnonzero((worst <= most) & (np.abs(chars[i + 1 :] - chars[i]) <= most)) + i + 1
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, digest, sim, chars) of every line that is not left alone."""
+    """(id, line, digest, sim, counts, chars) of every line that is not left alone; sim: band keys, null for lines of few words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -155,7 +185,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         cache = common.worker_cache()
         for batch in batches:
-            out = {k: [] for k in ("id", "line", "digest", "chars")}
+            out = {k: [] for k in ("id", "line")}
             kept = []
             for i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for n, words in enumerate(line_dedup.line_words(text)):
@@ -165,12 +195,15 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         out["line"].append(n)
             joined = [b" ".join(w) for w in kept]
             out["digest"] = [xxhash.xxh3_128_digest(x) for x in joined]
-            out["chars"] = [len(x) for x in joined]
-            out["sim"] = line_dedup.simhashes(kept, cache).view(np.int64)
+            out["chars"] = [len(x) if x.isascii() else len(x.decode("utf-8")) for x in joined]
+            long = [k for k, w in enumerate(kept) if len(w) >= MIN_WORDS or len(line_dedup.tokens(w)) >= MIN_WORDS]
+            out["sim"], out["counts"] = [None] * len(kept), [None] * len(kept)
+            for k, keys in zip(long, line_dedup.signatures([kept[k] for k in long], cache)):
+                out["sim"][k], out["counts"][k] = keys.tobytes(), line_dedup.cell_counts(joined[k])
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return common.arrow_map(rows, run, f"id {kind}, line int, digest binary, sim long, chars int")
+    return common.arrow_map(rows, run, f"id {kind}, line int, digest binary, sim binary, counts binary, chars int")
 
 
 def node_of(digest: bytes) -> int:
@@ -255,56 +288,64 @@ def _packed(groups, fn, names, most: int = 4096):
     yield out
 
 
+#: What the first pass sends of a line for each band.
+ROW = np.dtype([("key", np.uint32), ("node", np.int64), ("chars", np.int32), ("counts", np.uint8, CELLS // 2)])
+
+
 def _pack(batches, buckets: int):
-    """(part, data) of the hashes and nodes of distinct lines under each combination of blocks."""
+    """(part, band, data) of the lines under each band."""
     for batch in batches:
-        node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        sims = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for c, mask in enumerate(MASKS):
-            part = (common.mix64((sims & np.uint64(mask)) + np.uint64(c)) % np.uint64(buckets)).astype(np.int64)
+        node, sim, counts, chars = batch.columns
+        keys = np.frombuffer(b"".join(sim.to_pylist()), np.uint32).reshape(-1, BANDS)
+        rows = np.zeros(len(keys), ROW)
+        rows["node"], rows["chars"] = node.to_numpy(zero_copy_only=False), chars.to_numpy(zero_copy_only=False)
+        rows["counts"] = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(-1, CELLS // 2)
+        for band in range(BANDS):
+            rows["key"] = keys[:, band]
+            part = (common.mix64(rows["key"].astype(np.uint64) + np.uint64(band << 32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             at = np.searchsorted(part[order], np.arange(buckets + 1))
-            rows = np.stack([sims.view(np.int64), node], 1)[order]
-            used = np.flatnonzero(np.diff(at))
-            yield {"part": used.tolist(), "mask": [c] * len(used), "data": [rows[at[p] : at[p + 1]].tobytes() for p in used.tolist()]}
+            own = rows[order]
+            used = np.flatnonzero(np.diff(at)).tolist()
+            yield {"part": used, "band": [band] * len(used), "data": [own[at[p] : at[p + 1]].tobytes() for p in used]}
 
 
 def _near(batches):
-    """Nodes with a neighbour by hash in some bucket, and all of buckets of over HOT lines."""
+    """(key, node) of lines that have a possible neighbour in a bucket, and of all in buckets of over HOT lines."""
     found: dict[int, list] = {}
     for batch in batches:
-        for mask, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found.setdefault(mask, []).append(np.frombuffer(data, np.int64).reshape(-1, 2))
-    for mask in list(found):
-        rows = np.concatenate(found.pop(mask))
-        sims = rows[:, 0].copy().view(np.uint64)
-        key = sims & np.uint64(MASKS[mask])
-        order = np.argsort(key, kind="stable")
-        sims, node, key = sims[order], rows[order, 1], key[order]
+        for band, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found.setdefault(band, []).append(np.frombuffer(data, ROW))
+    for band in list(found):
+        rows = np.concatenate(found.pop(band))
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        key = rows["key"]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(head, len(key)))
-        hit = np.zeros(len(key), bool)
-        for a, n in zip(head[size > 1].tolist(), size[size > 1].tolist()):
+        rows = rows[np.repeat(size > 1, size)]
+        head, size = np.cumsum(size[size > 1]) - size[size > 1], size[size > 1]
+        counts = np.stack([rows["counts"] & 15, rows["counts"] >> 4], 2).reshape(-1, CELLS).astype(np.int16)
+        chars, hit = rows["chars"].astype(np.int64), np.zeros(len(rows), bool)
+        for a, n in zip(head.tolist(), size.tolist()):
             if n > HOT:
                 hit[a : a + n] = True
                 continue
-            own = sims[a : a + n]
-            for i in range(n - 1):
-                j = neighbours(own, i)
+            for i in range(a, a + n - 1):
+                j = possible(counts[: a + n], chars[: a + n], i)
                 if len(j):
-                    hit[a + i] = hit[a + j] = True
-        yield {"node": np.unique(node[hit])}
+                    hit[i] = hit[j] = True
+        yield {"key": rows["key"][hit].astype(np.int64) | band << 32, "node": rows["node"][hit]}
 
 
-def _verified(masks, nodes, sims, norms):
-    sims, uf, out, mask = np.array(sims, np.int64).view(np.uint64), common.UnionFind(), [], masks[0]
-    if len(nodes) == 2 and int(np.bitwise_count(sims[0] ^ sims[1])) > RADIUS:
-        return out
+def _verified(bands, nodes, sims, counts, norms):
+    uf, out, band = common.UnionFind(), [], bands[0]
+    sims = np.frombuffer(b"".join(sims), np.uint32).reshape(-1, BANDS)
+    cells = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, CELLS // 2)
+    cells = np.stack([cells & 15, cells >> 4], 2).reshape(-1, CELLS).astype(np.int16)
+    chars = np.fromiter(map(len, norms), np.int64, len(norms))
     for i in range(len(nodes) - 1):
-        j = neighbours(sims, i)
-        if not len(j):
-            continue
-        for j in j[first_masks(sims[j] ^ sims[i]) == mask].tolist():
+        j = possible(cells, chars, i)
+        for j in j[(sims[j] == sims[i]).argmax(1) == band].tolist():
             if uf.find(nodes[i]) != uf.find(nodes[j]) and similar(norms[i], norms[j]):
                 uf.union(nodes[i], nodes[j])
                 out.append((nodes[i], nodes[j]))
@@ -329,7 +370,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     common.prepare(spark)
     partitions = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = common.materialize(occurrences(docs, id_col, text_col), "lines")
-    distinct = found.groupBy("digest", "sim", "chars").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"))
+    distinct = found.groupBy("digest").agg(
+        F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("sim", "counts", "chars")]
+    )
     distinct = common.materialize(distinct.withColumn("node", F.xxhash64("digest")), "distinct")
 
     def pack(batches):
@@ -345,17 +388,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     def verified(batches):
         from lexspark.llm import line_dedup as own
 
-        yield from own._packed(own._grouped(batches, 6), own._verified, ["a", "b"])
+        yield from own._packed(own._grouped(batches, 7), own._verified, ["a", "b"])
 
-    packed = common.arrow_map(distinct.select("node", "sim"), pack, "part int, mask int, data binary").repartition(partitions, "part")
-    close = common.materialize(common.arrow_map(packed, near, "node long").distinct(), "close")
-    some = common.materialize(distinct.join(close, "node", "left_semi").select("node", "digest", "sim"), "some")
+    packed = common.arrow_map(distinct.where("sim is not null").select("node", "sim", "counts", "chars"), pack, "part int, band int, data binary").repartition(partitions, "part")
+    close = common.materialize(common.arrow_map(packed, near, "key long, node long"), "close")
+    some = common.materialize(distinct.join(close.select("node").distinct(), "node", "left_semi").select("node", "sim", "counts"), "some")
     texts = _lines(docs, text_col, bitmap(some)).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    keys = F.array(*[F.xxhash64(F.lit(c), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for c, m in enumerate(MASKS)])
-    cells = some.select("node", "sim", F.posexplode(keys).alias("mask", "key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = cells.join(shared, "key").join(texts, "node")
-    links = common.materialize(common.arrow_map(_dealt(cells, partitions, ["mask", "node", "sim", "norm"]), verified, "a long, b long"), "links")
+    shared = close.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    cells = close.join(shared, "key").withColumn("band", F.shiftright("key", 32).cast("int")).join(some.join(texts, "node"), "node")
+    links = common.materialize(common.arrow_map(_dealt(cells, partitions, ["band", "node", "sim", "counts", "norm"]), verified, "a long, b long"), "links")
     roots = common.components(links)
     all_ = distinct.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = all_.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("n")).where("n > 1").select("root", "first")

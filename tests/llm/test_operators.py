@@ -190,6 +190,28 @@ def test_line_dedup_equals_all_pairs(spark, odd, none):
     assert rows_of(line_dedup.summary(none)) == [] and rows_of(line_dedup.deduplicate(none)) == []
 
 
+def test_line_dedup_links_all_that_edit_similarity_links(spark):
+    rng = random.Random(61)
+    lines = []
+    for n in (8, 12, 20, 30):
+        for _ in range(15):
+            words = prose(rng, "en", n).split()
+            near = list(words)
+            k = max(range(n), key=lambda k: -abs(len(words[k]) - 4))
+            near[k] = "".join(rng.choices("abcdefgh", k=len(words[k])))
+            lines += [" ".join(words), " ".join(near)]
+    rng.shuffle(lines)
+    uf = common.UnionFind()
+    for i, a in enumerate(lines):
+        uf.find(i)
+        for j in range(i):
+            if line_dedup.similar(a, lines[j]):
+                uf.union(i, j)
+    got = {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.summary(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))}
+    want = {i: int(uf.find(i) != i) for i in range(len(lines))}
+    assert sum(want.values()) > 50 and got == want
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
