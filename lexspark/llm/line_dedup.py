@@ -14,7 +14,8 @@ leaves out other pairs without loss; what buckets of over HOT lines hold goes on
 join two components of a bucket are put out. Buckets of over CHUNK lines are dealt out as pairs of
 chunks, so that no task holds a whole hot bucket. Occurrences of hot lines are pre-aggregated.
 
-Lines of fewer than MIN_WORDS words, so empty ones too, are left alone. Nulls: a null text has
+Lines of fewer than MIN_WORDS words (characters, in scripts without blanks) are grouped with equal ones only. Lines that are
+empty once normalised (blank, or signs alone) are left alone. Nulls: a null text has
 no lines and stays null; a null id counts as smaller than any other. Rows that repeat an id
 and its text are treated alike (each keeps what the first occurrence keeps). Lines of
 any length and number are handled whole. Other columns pass through deduplicate() unchanged.
@@ -51,8 +52,7 @@ def line_words(text: str | None) -> list[list[bytes]]:
     """The normalised words of every line, in order; an empty list for lines that are left alone."""
     if text is None:
         return []
-    found = map(bytes.split, text.lower().encode("utf-8").translate(PLAIN).split(b"\n"))
-    return [w if len(w) >= MIN_WORDS else [] for w in found]
+    return list(map(bytes.split, text.lower().encode("utf-8").translate(PLAIN).split(b"\n")))
 
 
 def normalised_lines(text: str | None) -> list[str]:
@@ -196,7 +196,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             joined = [b" ".join(w) for w in kept]
             out["digest"] = [xxhash.xxh3_128_digest(x) for x in joined]
             out["chars"] = [len(x) if x.isascii() else len(x.decode("utf-8")) for x in joined]
-            long = [k for k, w in enumerate(kept) if len(w) >= MIN_WORDS or len(line_dedup.tokens(w)) >= MIN_WORDS]
+            long = [k for k, w in enumerate(kept) if len(line_dedup.tokens(w)) >= MIN_WORDS]
             out["sim"], out["counts"] = [None] * len(kept), [None] * len(kept)
             for k, keys in zip(long, line_dedup.signatures([kept[k] for k in long], cache)):
                 out["sim"][k], out["counts"][k] = keys.tobytes(), line_dedup.cell_counts(joined[k])

@@ -212,6 +212,13 @@ def test_line_dedup_links_all_that_edit_similarity_links(spark):
     assert sum(want.values()) > 50 and got == want
 
 
+def test_short_lines_and_scripts_without_blanks_are_merged(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看电影"
+    texts = ["Home\nclick here", "home\n\n" + chinese, "Click  here!\n" + chinese, chinese.replace("公", "花"), "click there"]
+    got = {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.summary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 0}
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
