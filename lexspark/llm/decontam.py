@@ -5,9 +5,9 @@ all documents document frequencies are counted, then the matrix A of their norma
 rows is decomposed by a randomised SVD in one pass: tasks add up their part of A'(A*Omega), whose
 sum gives the leading right singular vectors by the Nystroem formula. Documents are then searched: windows
 of about an item's length are projected and whitened (divided by singular values, which
-takes the weight from what all texts of a language share) and compared by cosine with the items that can
-be there at all: since a match misses at most 1 - LCS_LEAST of an item's words, some of its rarest ones have
-to occur in the piece of text, which postings of those words tell without loss. A candidate is confirmed by the longest common subsequence of words: LCS_SURE of the item's
+takes the weight from what all texts of a language share) and put in order by their cosine with the items that can
+be there at all, most alike first; none is left out for a low cosine. As to what can be there: since a match misses at most 1 - LCS_LEAST of an item's words, some of its rarest ones have
+to occur in the piece of text, which postings of those words tell without loss. A window is confirmed by the longest common subsequence of words: LCS_SURE of the item's
 words, or LCS_LEAST of them along with ANSWER_LEAST of the answer's (the `answer` column's if there is one,
 else the last ANSWER_SHARE of the item), so that paraphrases count if they give the answer away.
 
@@ -33,12 +33,11 @@ from lexspark.llm.toxicity import WordCache
 
 DIMS, RANK, EXTRA, PASSAGE = 8192, 24, 8, 64
 BLOCK_ITEMS, MIN_WORDS = 20_000, 5
-LEAST_COSINE = 0.4
 LCS_SURE, LCS_LEAST, ANSWER_LEAST, ANSWER_SHARE = 0.8, 0.6, 0.6, 0.25
 #: Words that are searched at a time, blocks of which windows are made, and bits by which words are looked up.
 PIECE, STEP, LOOKUP = 512, 8, 20
 #: Windows in words and the longest item for each.
-WINDOWS = ((32, 32), (64, PASSAGE))
+WINDOWS = tuple((n, n) for n in range(8, PASSAGE + 1, 8))
 
 
 def word_ids(text: str | None, cache: WordCache) -> np.ndarray:
@@ -286,20 +285,22 @@ class Items:
                 first = np.arange(max(1, len(heads) - span + 1))
                 z = unit((total[np.minimum(first + span, len(heads))] - total[first]).astype(np.float32))
                 cosine = z @ vectors[some].T
-                at, of = np.nonzero(cosine >= LEAST_COSINE)
-                score = cosine[at, of]
+                whole = piece.tolist()
                 regions: dict[int, tuple] = {}
-                for j in np.argsort(-score, kind="stable").tolist():
-                    part = parts[some[of[j]]]
-                    if part[0] in found:
+                for k, part in enumerate(parts[p] for p in some.tolist()):
+                    masks, n, _, _ = self.check(part)
+                    # What no window of the piece can hold, as the piece itself doesn't.
+                    if part[0] in found or lcs(masks, n, whole) < LCS_LEAST * n - 1e-9:
                         continue
-                    a = int(first[at[j]]) * STEP
-                    if a not in regions:
-                        region = piece[max(0, a - window // 2) : a + window + window // 2].tolist()
-                        regions[a] = (region, set(region))
-                    ok = self.confirm(part, *regions[a])
-                    if ok:
-                        found[part[0]] = (float(score[j]), *ok)
+                    for at in np.argsort(-cosine[:, k], kind="stable").tolist():
+                        a = int(first[at]) * STEP
+                        if a not in regions:
+                            region = piece[max(0, a - window // 2) : a + window + window // 2].tolist()
+                            regions[a] = (region, set(region))
+                        ok = self.confirm(part, *regions[a])
+                        if ok:
+                            found[part[0]] = (float(cosine[at, k]), *ok)
+                            break
         return out
 
 

@@ -332,6 +332,21 @@ def test_lm_scoring_baseline(odd, none):
     assert rows_of(ppm.score(none, learn)) == []
 
 
+def test_items_of_every_length_are_found_in_long_texts(spark):
+    rng = random.Random(62)
+    items, rows = [], []
+    for k, n in enumerate((5, 6, 8, 10, 12, 16, 20, 25, 32, 40, 50, 60) * 5):
+        words = prose(rng, "en", n).split()
+        items.append((k, " ".join(words)))
+        if n >= 10 and k % 2:
+            words[n // 3] = words[n // 2] = "other"
+        host = prose(rng, "en", 300).split()
+        at = rng.randrange(300)
+        rows.append((k, " ".join(host[:at] + words + host[at:])))
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in rows_of(found) if r["doc_id"] == r["item_id"]} == set(range(len(items)))
+
+
 def test_warc_round_trip(spark, tmp_path, none):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "same"), (9, "http://c\r\nX: y", "same"), (5, None, "same"), (6, "u", None), (7, "u", ""), (None, "n", "same"), (8, "u", "x" * 400_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).repartition(3)
