@@ -8,8 +8,9 @@ of about an item's length are projected and whitened (divided by singular values
 takes the weight from what all texts of a language share) and put in order by their cosine with the items that can
 be there at all, most alike first; none is left out for a low cosine. As to what can be there: since a match misses at most 1 - LCS_LEAST of an item's words, some of its rarest ones have
 to occur in the piece of text, which postings of those words tell without loss. A window is confirmed by the longest common subsequence of words: LCS_SURE of the item's
-words, or LCS_LEAST of them along with ANSWER_LEAST of the answer's (the `answer` column's if there is one,
-else the last ANSWER_SHARE of the item), so that paraphrases count if they give the answer away.
+words, or LCS_LEAST of them along with ANSWER_LEAST of the answer's, so that paraphrases count if they give the answer away. For items
+without an answer the last ANSWER_SHARE of the item stands for it, or else RUN of the item's words in an unbroken run, wherever
+they are in it: LCS_LEAST alone is met by chance in texts of few different words.
 
 Items are taken in blocks of BLOCK_ITEMS, each with its own map pass, so that what is
 broadcast is bounded: DIMS x RANK floats, and a block's vectors and words. Items of over PASSAGE words are
@@ -34,6 +35,7 @@ from lexspark.llm.toxicity import WordCache
 DIMS, RANK, EXTRA, PASSAGE = 8192, 24, 8, 64
 BLOCK_ITEMS, MIN_WORDS = 20_000, 5
 LCS_SURE, LCS_LEAST, ANSWER_LEAST, ANSWER_SHARE = 0.8, 0.6, 0.6, 0.25
+RUN = 5
 #: Words that are searched at a time, blocks of which windows are made, and bits by which words are looked up.
 PIECE, STEP, LOOKUP = 512, 8, 20
 #: Windows in words and the longest item for each.
@@ -170,6 +172,17 @@ def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
     return length - v.bit_count()
 
 
+def has_run(masks: dict[int, int], words: list[int], least: int = RUN) -> bool:
+    """Whether as many words in a row are in a sequence given by its bit masks too."""
+    ends = [0] * least
+    for w in words:
+        m = masks.get(w, 0)
+        ends = [m, *[(e << 1) & m for e in ends[:-1]]]
+        if ends[-1]:
+            return True
+    return False
+
+
 def bit_masks(words: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words):
@@ -244,15 +257,16 @@ class Items:
         if id(part) not in self.checks:
             _, words, answer, whole = part
             words = words.tolist()
-            if answer is None or len(answer) == 0:
+            given = answer is not None and len(answer) > 0
+            if not given:
                 answer = whole[-max(1, round(len(whole) * ANSWER_SHARE)) :]
             answer = [int(x) for x in answer]
-            self.checks[id(part)] = (bit_masks(words), len(words), bit_masks(answer), len(answer))
+            self.checks[id(part)] = (bit_masks(words), len(words), bit_masks(answer), len(answer), given)
         return self.checks[id(part)]
 
     def confirm(self, part: tuple, region: list[int], there: set) -> tuple[float, float] | None:
         """Shares of item and answer that the region holds in order, if they are enough; there: the region as a set."""
-        masks, n, answer_masks, m = self.check(part)
+        masks, n, answer_masks, m, given = self.check(part)
         # Of a subsequence of LCS_LEAST * n words at most n - len(masks) repeat one that is in it.
         if len(masks.keys() & there) < LCS_LEAST * n - (n - len(masks)):
             return None
@@ -260,7 +274,7 @@ class Items:
         if share < LCS_LEAST:
             return None
         answer = lcs(answer_masks, m, region) / m
-        return (share, answer) if share >= LCS_SURE or answer >= ANSWER_LEAST else None
+        return (share, answer) if share >= LCS_SURE or answer >= ANSWER_LEAST or not given and has_run(masks, region) else None
 
     def search(self, docs: list[np.ndarray], projection: np.ndarray) -> list[dict]:
         """For each document, item_id -> (cosine, share of the item, share of the answer) of a confirmed window."""
@@ -288,7 +302,7 @@ class Items:
                 whole = piece.tolist()
                 regions: dict[int, tuple] = {}
                 for k, part in enumerate(parts[p] for p in some.tolist()):
-                    masks, n, _, _ = self.check(part)
+                    masks, n, *_ = self.check(part)
                     # What no window of the piece can hold, as the piece itself doesn't.
                     if part[0] in found or lcs(masks, n, whole) < LCS_LEAST * n - 1e-9:
                         continue

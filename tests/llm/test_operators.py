@@ -347,6 +347,16 @@ def test_items_of_every_length_are_found_in_long_texts(spark):
     assert {r["doc_id"] for r in rows_of(found) if r["doc_id"] == r["item_id"]} == set(range(len(items)))
 
 
+def test_items_cut_off_at_their_end_are_found(spark):
+    rng = random.Random(63)
+    items = [(k, prose(rng, "en", 40)) for k in range(8)]
+    rows = [(k, prose(rng, "fr", 200) + " " + " ".join(t.split()[:30] if k % 2 else t.split()[10:]) + " " + prose(rng, "fr", 100)) for k, t in items]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in rows_of(decontam.leaks(docs, benchmark))} == {(k, k) for k in range(8)}
+    told = benchmark.withColumn("answer", F.expr("array_join(slice(split(text, ' '), -10, 10), ' ')"))
+    assert {r["doc_id"] for r in rows_of(decontam.leaks(docs, told, answer_col="answer"))} == {0, 2, 4, 6}
+
+
 def test_warc_round_trip(spark, tmp_path, none):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "same"), (9, "http://c\r\nX: y", "same"), (5, None, "same"), (6, "u", None), (7, "u", ""), (None, "n", "same"), (8, "u", "x" * 400_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).repartition(3)
