@@ -97,11 +97,21 @@ def test_exact_dedup_equals_grouping(spark, odd, none):
     assert rows_of(exact_dedup.exact_dedup(none)) == []
 
 
-def test_block_names_tell_colliding_cells_apart(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "i int, value string").withColumn("cell", F.lit(7))
-    ranks = spark.createDataFrame([(7, 1, "a"), (7, 2, "b")], "_cell int, _rank int, _value string")
-    got = {r["i"]: r["name"]["rank"] for r in rows_of(exact_dedup._rank(rows, ranks, "value", ["i"]))}
-    assert got == {1: 1, 2: 2, 3: 1}
+def test_block_names_tell_colliding_cells_apart(spark, monkeypatch):
+    """With a hash of two values only, all cells are crowded; ranks alone have to tell texts apart."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("ab", k=n)) for n in (1, 2, 3, 16, 16, 17, 40, 40, 64) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:9], "", None])), "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "BLOCK", 8)
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    real = F.xxhash64
+    want = sorted(rows_of(exact_dedup.exact_dedup(docs)))
+    monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c) % 2)
+    assert sorted(rows_of(exact_dedup.exact_dedup(docs))) == want
+    by = defaultdict(set)
+    for r in want:
+        by[r["text_sha256"]].add((r["keep_id"], r["group_size"]))
+    assert len({k for x in by.values() for k, _ in x}) == len(by) == len({x for x in texts} | {""})
 
 
 def near_copies(rng, base, n, changes):
