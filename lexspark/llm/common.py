@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
@@ -18,8 +17,7 @@ MASK64 = (1 << 64) - 1
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, and send this package to Python workers once a session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Send this package to Python workers once a session."""
     jvm = spark.sparkContext._jvm
     if jvm.System.getProperty("lexspark.shipped") == spark.sparkContext.applicationId:
         return
@@ -36,11 +34,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is absent."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one, which only a local master may use."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lexspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        jvm, name = spark.sparkContext._jvm, "lexspark.folder." + spark.sparkContext.applicationId
+        at = jvm.System.getProperty(name)
+        if not at:
+            at = "file://" + tempfile.mkdtemp(prefix="lexspark-")
+            jvm.System.setProperty(name, at)
     return at.rstrip("/")
 
 
@@ -71,6 +74,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with at least one in HOT of all rows is broadcast.
+HOT = 2000
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, key: list[str], size: str, total: int, how: str) -> DataFrame:
+    """rows joined (inner or left_semi) with keyed(*key, size, ...), a row for each key, of which `size` are in rows.
+
+    Hot keys, never more than HOT, meet their rows by broadcast; the others by a shuffle. total: number of rows.
+    """
+    hot = F.broadcast(keyed.where(F.col(size) * HOT >= total))
+    few = keyed.where(F.col(size) * HOT < total)
+    return rows.join(hot, key, how).unionByName(rows.join(hot, key, "left_anti").join(few, key, how))
+
+
 def held_out(column: str, mod: int, rest: int):
     """crc32 of the id's decimal text, modulo mod, equals rest. A null id counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod == rest
@@ -136,6 +165,16 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+#: Rows that a function over Arrow batches gets at a time, whatever the session's batches.
+BATCH_ROWS = 512
+
+
+def sliced(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(i, BATCH_ROWS)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow over row dicts of lists: fn(iterator of RecordBatch) yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -146,7 +185,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches):
         target = pa.ipc.read_schema(pa.py_buffer(packed))
-        for columns in fn(batches):
+        for columns in fn(sliced(batches)):
             arrays = [pa.array(columns[f.name], type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
@@ -210,17 +249,18 @@ FEW_EDGES = 200_000
 
 
 def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
-    """Connected components of edges(a, b: long): rows (a, b) give each linked node but the smallest its smallest member.
+    """Connected components of edges(a, b), long or binary: rows (a, b) give each linked node but the smallest its smallest member.
 
     Union-find shrinks each task's edges to a forest. If no more than `few` are left, one task ends the
     work by union-find. Otherwise alternating large-star and small-star rounds merge across tasks until
     there are only stars. A round pre-aggregates minima before its shuffle and joins edges to
     them (which adaptive execution can split), so that a hub is never gathered in one task.
     """
+    schema = "a {0}, b {0}".format(edges.schema["a"].dataType.simpleString())
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = materialize(arrow_map(e, _forest, "a long, b long"), "edges")
+    e = materialize(arrow_map(e, _forest, schema), "edges")
     if e.count() <= few:
-        out = materialize(arrow_map(e.coalesce(1), _whole_forest, "a long, b long"), "roots")
+        out = materialize(arrow_map(e.coalesce(1), _whole_forest, schema), "roots")
         discard(e)
         return out
     while True:
@@ -236,21 +276,3 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         inner = e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi")
         if inner.isEmpty() and e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return e
-
-
-def pack_u64(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, np.uint64).tobytes()
-
-
-def unpack_u64(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
-
-
-def npy_bytes(array: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.save(out, array, allow_pickle=False)
-    return out.getvalue()
-
-
-def npy_array(data: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(data), allow_pickle=False)

@@ -14,8 +14,8 @@ aggregated before the shuffle, so that a block held by a third of all rows costs
 task. Where these differ, rows get their rank by a join on the value. Pairs are four integers, so
 their extremes are taken by column and need no second pass.
 
-What joins by a key that many rows may share is split: keys with at least one in HOT of all rows (so never more
-than HOT of them) are broadcast, the others are joined by a shuffle.
+What joins by a key that many rows may share is split: hot keys are broadcast, the others are joined by a shuffle
+(common.split_join).
 
 Rows are told apart by their id and the digest of their text, so repeated rows and null ids
 are no problem: null ids are kept, equal to each other and smaller than any other id; of
@@ -32,8 +32,6 @@ from lexspark.llm import common
 
 BLOCK = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A key with at least one in HOT of all rows is broadcast.
-HOT = 2000
 PAIR = ["lc", "lr", "rc", "rr"]
 
 
@@ -51,19 +49,12 @@ def cut(docs: DataFrame, text_col: str, *keep) -> DataFrame:
     return rows.select("*", F.ceil(size / BLOCK).cast("int").alias("blocks"), F.posexplode(pieces).alias("at", "value"))
 
 
-def split_join(rows: DataFrame, keyed: DataFrame, key: list[str], size: str, total: int, how: str) -> DataFrame:
-    """rows joined with keyed(*key, size, ...), which has a row for each key: hot keys by broadcast, others by a shuffle."""
-    hot = F.broadcast(keyed.where(F.col(size) * HOT >= total))
-    few = keyed.where(F.col(size) * HOT < total)
-    return rows.join(hot, key, "left_semi" if how == "left_semi" else "inner").unionByName(rows.join(hot, key, "left_anti").join(few, key, how), allowMissingColumns=True)
-
-
 def crowded_blocks(docs: DataFrame, level: DataFrame, text_col: str) -> DataFrame:
     """(cell, value, rank) of the blocks in cells that hold several values, from level(cell, ...)."""
     counts = level.where("blocks > 0").groupBy("cell").agg(F.count("*").alias("n"))
     shared = common.materialize(counts.where("n > 1"), "shared")
     values = cut(docs, text_col).where("blocks > 0").select("value", F.xxhash64("value").alias("cell"))
-    same = split_join(values, shared, ["cell"], "n", level.count(), "left_semi")
+    same = common.split_join(values, shared, ["cell"], "n", level.count(), "left_semi")
     uneven = same.groupBy("cell").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo != hi").select("cell")
     uneven = common.materialize(uneven, "uneven")
     common.discard(shared)
@@ -136,7 +127,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = ["blocks", "cell", "rank"]
     groups = names.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("n"))
     groups = common.materialize(groups, "groups")
-    out = split_join(names, groups, key, "n", names.count(), "inner")
+    out = common.split_join(names, groups, key, "n", names.count(), "inner")
     if not names.where("copies > 1").isEmpty():
         out = out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -1,29 +1,33 @@
 """Fuzzy line dedup (operator 2).
 
-Lines are normalised (lower case, ASCII signs and white space to single blanks, digits to 0), equal ones
-merged by a digest, and a MinHash of their pairs of neighbouring words taken. Two distinct lines are linked if
-their edit similarity, 1 - distance / longer length, is at least SIMILARITY. Of each connected group
-the first occurrence, by document id and line number, is kept.
-
-Pairs to compare are those that agree in ROWS minima in one of BANDS bands: with a share x of common
-word pairs a link is missed with probability (1 - x^ROWS)^BANDS, 0.014 at 0.5 and 0.0004 at 0.6. So links are
-found by probability, not by proof: lines with a slip in nearly every word share no words and are not found.
-In a first pass band keys travel packed with counts of characters; the distance is at least the surplus of counts, which
-leaves out other pairs without loss; what buckets of over HOT lines hold goes on whole to the second pass. There the texts of the lines found are fetched
-(a bitmap of fixed size keeps nearly all others from being sent), each pair is verified in the first of its common buckets only, and just the links that
-join two components of a bucket are put out. Buckets of over CHUNK lines are dealt out as pairs of
-chunks, so that no task holds a whole hot bucket. Occurrences of hot lines are pre-aggregated.
-
-Lines of fewer than MIN_WORDS words (characters, in scripts without blanks) are grouped with equal ones only. Lines that are
-empty once normalised (blank, or signs alone) are left alone. Nulls: a null text has
-no lines and stays null; a null id counts as smaller than any other. Rows that repeat an id
-and its text are treated alike (each keeps what the first occurrence keeps). Lines of
-any length and number are handled whole. Other columns pass through deduplicate() unchanged.
-An empty table gives an empty result.
+Lines are normalised (lower case, ASCII signs and white space to single blanks, digits to 0) and known by a 128-bit
+digest. Two distinct lines are linked if their edit similarity, 1 - distance / longer length, is at least
+SIMILARITY. Of each connected group the first occurrence, by document id and line number, is kept.
+
+Pairs to compare are those that agree in ROWS minima of their features in one of BANDS bands (MinHash): with a share x of
+common features a link is missed with probability (1 - x^ROWS)^BANDS, 0.03 at 0.54 and 0.001 at 0.67. This stands in
+for blocks of a SimHash: of pairs with edit similarity 0.85 or more only a quarter to a half lie within 3 of 64 bits, and at the 8
+to 10 bits that would be needed pigeonhole blocks have six bits, which select nothing. Features are pairs of
+neighbouring words (characters, in scripts without blanks); a line of few words is taken as its runs of three bytes instead.
+Links are found by probability, not by proof: a line with a slip in nearly every word shares no pair and is not found.
+
+Band keys travel packed, 12 bytes a line and band; a task holds whole buckets and puts out those of over one line. The texts
+of the lines in them are fetched (a bitmap of bounded size keeps other lines from being sent), and buckets
+are worked off in rounds of a few bands: one whose lines are already in one group is done, and of the
+others just the links that join two groups are put out. Buckets of over CHUNK lines are first dealt out into chunks, in two
+ways, which groups near copies without replicating a line; what then still is of several groups
+goes out as pairs of chunks, so that no task holds a whole hot bucket and no pair is left out. Copies of a line are one node.
+
+Lines that are empty once normalised (blank, or signs alone) are left alone. Nulls: a null text has
+no lines and stays null; a null id counts as smaller than any other. Rows are known by their id and the
+hash of their text; those that repeat both are treated alike (each keeps what the first keeps). Lines of
+any length and number are handled whole. Other columns pass through deduplicate() unchanged, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 
 import numpy as np
@@ -33,19 +37,22 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-BANDS, ROWS, SIMILARITY, MIN_WORDS, CHUNK, HOT = 32, 3, 0.85, 5, 800, 2048
-#: Lines of fewer words are hashed by their words as well as by pairs of them.
-FEW_WORDS = 16
-#: Cells for counts of characters, each of at most 15; two to a byte.
+BANDS, ROWS, SIMILARITY, CHUNK = 20, 3, 0.85, 800
+#: Lines of fewer words are taken as runs of three bytes, those of fewer than FEW_WORDS by their words as well as by pairs.
+MIN_WORDS, FEW_WORDS = 5, 16
+#: Cells for counts of characters.
 CELLS = 32
-#: Bits of a node by which texts are asked for.
-BITS = 24
+#: Lines that a task gathers before it deals out their band keys, and the most bits of a node by which texts are asked for.
+GATHER, MOST_BITS = 1 << 16, 26
+#: Bands of each round; the first ones leave buckets of over CHUNK lines in chunks, the last takes what is left of any band.
+ROUNDS = ((0, 2, True), (2, 5, True), (0, BANDS, False))
 #: Signs to blanks, digits to 0; other bytes stay (fixed by ASCII).
 PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or 65 <= b <= 90 or b > 127 else 32 for b in range(256))
 #: Odd multipliers, one for each minimum.
-MULTIPLIERS = common.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-#: Scripts that are written without blanks; each of their characters is a word of its own when lines are hashed.
+MULTIPLIERS = (common.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Scripts that are written without blanks (from U+0E00 on); each of their characters is a word of its own when lines are hashed.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+HIGH = re.compile(rb"[\xe0-\xef]")
 
 
 def line_words(text: str | None) -> list[list[bytes]]:
@@ -60,24 +67,17 @@ def normalised_lines(text: str | None) -> list[str]:
     return [b" ".join(w).decode("utf-8") for w in line_words(text)]
 
 
-def tokens(words: list[bytes]) -> list[bytes]:
-    """The words, those of scripts without blanks cut into characters."""
-    if all(map(bytes.isascii, words)):
-        return words
-    out = []
-    for w in words:
-        if w.isascii():
-            out.append(w)
-        else:
-            out.extend(x.encode("utf-8") for x in UNSPACED.findall(w.decode("utf-8")))
-    return out
+def tokens(line: bytes, words: list[bytes]) -> list[bytes]:
+    """What a line is hashed by: its words, those of scripts without blanks cut into characters; runs of bytes if they are few."""
+    if HIGH.search(line):
+        words = [x.encode("utf-8") for w in words for x in ([w.decode("utf-8")] if w.isascii() else UNSPACED.findall(w.decode("utf-8")))]
+    return words if len(words) >= MIN_WORDS else [line[i : i + 3] for i in range(max(1, len(line) - 2))]
 
 
 def signatures(lines: list[list[bytes]], cache: common.HashCache) -> np.ndarray:
-    """(line, band): 32-bit keys of each (nonempty) line."""
-    parts = [tokens(w) for w in lines]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    words = common.hash_words([w for ws in parts for w in ws], cache)
+    """(line, band): 32-bit keys of (nonempty) lines, given by their tokens."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    words = common.hash_words([w for ws in lines for w in ws], cache)
     out, place = [np.empty((0, BANDS), np.uint32)], 0
     for a, b in _spans(size):
         n = size[a:b]
@@ -89,28 +89,16 @@ def signatures(lines: list[list[bytes]], cache: common.HashCache) -> np.ndarray:
         grams = np.concatenate([common.mix64(h[both] * common.PLACE[0] + common.mix64(h[both + 1])), common.mix64(h[alone])])
         owner = np.concatenate([owner[both], owner[alone]])
         order = np.argsort(owner, kind="stable")
-        grams, owner = grams[order], owner[order]
+        grams, owner = (grams[order] >> np.uint64(32)).astype(np.uint32), owner[order]
         head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         keys = np.zeros((len(n), BANDS), np.uint64)
         for i, multiplier in enumerate(MULTIPLIERS):
-            least = np.minimum.reduceat((grams * multiplier) >> np.uint64(32), head)
-            keys[:, i // ROWS] = common.mix64(keys[:, i // ROWS] + least)
+            keys[:, i // ROWS] = common.mix64(keys[:, i // ROWS] + np.minimum.reduceat(grams * multiplier, head))
         out.append((keys >> np.uint64(32)).astype(np.uint32))
     return np.concatenate(out)
 
 
-#: The name by which brute force in tests asks for signatures.
-simhashes = signatures
-
-
-def cell_counts(line: bytes) -> bytes:
-    """Counts of characters by cell, 15 at most, two to a byte."""
-    points = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode("utf-8").encode("utf-32-le"), np.uint32)
-    n = np.minimum(np.bincount(points % CELLS, minlength=CELLS), 15).astype(np.uint8)
-    return (n[::2] | n[1::2] << 4).tobytes()
-
-
-def _spans(size: np.ndarray, most: int = 100_000):
+def _spans(size: np.ndarray, most: int = 60_000):
     """Ranges of lines of together at most as many words (or a single line)."""
     a, total = 0, 0
     for i, n in enumerate(size.tolist()):
@@ -134,12 +122,17 @@ def _same(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns in Python integers, after equal ends are cut off."""
+def _unlike(a: str, b: str) -> tuple[str, str]:
+    """What is between equal beginnings and equal ends."""
     i = _same(a, b)
     a, b = a[i:], b[i:]
     j = _same(a[::-1], b[::-1])
-    a, b = a[: len(a) - j], b[: len(b) - j]
+    return a[: len(a) - j], b[: len(b) - j]
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit-parallel columns in Python integers, after equal ends are cut off."""
+    a, b = _unlike(a, b)
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -158,69 +151,143 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str) -> bool:
+    """Whether the edit similarity is at least SIMILARITY; bounds settle most pairs."""
     longest = max(len(a), len(b))
-    return min(len(a), len(b)) >= SIMILARITY * longest and edit_distance(a, b) <= (1 - SIMILARITY) * longest + 1e-9
+    most = int((1 - SIMILARITY) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = _unlike(a, b)
+    if max(len(a), len(b)) <= most or len(a) == len(b) and sum(map(operator.ne, a, b)) <= most:
+        return True
+    return edit_distance(a, b) <= most
 
 
-def neighbours(keys: np.ndarray, i: int) -> np.ndarray:
-    """Later lines that share a band with line i."""
-    return np.flatnonzero((keys[i + 1 :] == keys[i]).any(1)) + i + 1
+def cell_counts(line: str) -> np.ndarray:
+    """Counts of characters by cell."""
+    points = np.frombuffer(line.encode("utf-8"), np.uint8) if line.isascii() else np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    return np.bincount(points % CELLS, minlength=CELLS)
 
 
 def possible(counts: np.ndarray, chars: np.ndarray, i: int) -> np.ndarray:
     """Later lines that lengths and counts of characters (line, cell) do not tell apart from line i."""
-    longest = np.maximum(chars[i + 1 :], chars[i])
-    most = (1 - SIMILARITY) * longest + 1e-9
+    most = (1 - SIMILARITY) * np.maximum(chars[i + 1 :], chars[i]) + 1e-9
     surplus = counts[i + 1 :] - counts[i]
     worst = np.maximum(np.maximum(surplus, 0).sum(1), np.maximum(-surplus, 0).sum(1))
     return np.flatnonzero((worst <= most) & (np.abs(chars[i + 1 :] - chars[i]) <= most)) + i + 1
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, digest, sim, counts, chars) of every line that is not left alone; sim: band keys, null for lines of few words."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def links(digests: list, groups: list, norms: list) -> list[tuple]:
+    """Links between lines of different groups; fewer than lines."""
+    uf, out, n = common.UnionFind(), [], len(norms)
+    left = len(set(groups)) - 1
+    if n > 8:
+        counts, chars = np.stack([cell_counts(x) for x in norms]), np.fromiter(map(len, norms), np.int64, n)
+    for i in range(n - 1):
+        for j in range(i + 1, n) if n <= 8 else possible(counts, chars, i).tolist():
+            if left and uf.find(groups[i]) != uf.find(groups[j]) and similar(norms[i], norms[j]):
+                uf.union(groups[i], groups[j])
+                out.append((digests[i], digests[j]))
+                left -= 1
+    return out
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """rows(id, h, text) -> (id, h, line, digest, sim) of every line that is not left alone; sim: its band keys."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        from lexspark.llm import line_dedup
+        from lexspark.llm import line_dedup as own
 
         cache = common.worker_cache()
         for batch in batches:
-            out = {k: [] for k in ("id", "line")}
-            kept = []
-            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for n, words in enumerate(line_dedup.line_words(text)):
+            out = {k: [] for k in ("id", "h", "line", "digest")}
+            new, hashed = {}, []
+            for i, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for n, words in enumerate(own.line_words(text)):
                     if words:
-                        kept.append(words)
+                        line = b" ".join(words)
+                        digest = xxhash.xxh3_128_digest(line)
                         out["id"].append(i)
+                        out["h"].append(h)
                         out["line"].append(n)
-            joined = [b" ".join(w) for w in kept]
-            out["digest"] = [xxhash.xxh3_128_digest(x) for x in joined]
-            out["chars"] = [len(x) if x.isascii() else len(x.decode("utf-8")) for x in joined]
-            long = [k for k, w in enumerate(kept) if len(line_dedup.tokens(w)) >= MIN_WORDS]
-            out["sim"], out["counts"] = [None] * len(kept), [None] * len(kept)
-            for k, keys in zip(long, line_dedup.signatures([kept[k] for k in long], cache)):
-                out["sim"][k], out["counts"][k] = keys.tobytes(), line_dedup.cell_counts(joined[k])
-            yield out
+                        out["digest"].append(digest)
+                        if digest not in new:
+                            new[digest] = len(hashed)
+                            hashed.append(own.tokens(line, words))
+            keys = [k.tobytes() for k in own.signatures(hashed, cache)]
+            yield {**out, "sim": [keys[new[d]] for d in out["digest"]]}
+
+    return common.arrow_map(rows, run, f"id {kind}, h long, line int, digest binary, sim binary")
+
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return common.arrow_map(rows, run, f"id {kind}, line int, digest binary, sim binary, counts binary, chars int")
+#: What is sent of a line for each band. The node is the first half of the digest.
+ROW = np.dtype([("key", np.uint32), ("node", np.int64)])
 
 
 def node_of(digest: bytes) -> int:
-    """A line's 64-bit number, as xxhash64() of its digest gives it."""
-    n = xxhash.xxh64_intdigest(digest, 42)
-    return n - (1 << 64) if n >> 63 else n
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bit for the low BITS bits of each node, 2^BITS / 8 bytes whatever the input. Parts are united by segment."""
-    width, segments = 1 << (BITS - 3), 64
+def _pack(batches, buckets: int):
+    """(part, band, data) of the lines under each band."""
+    digests, sims = [], []
+
+    def out():
+        node = np.frombuffer(b"".join(digests), np.int64)[::2]
+        node, first = np.unique(node, return_index=True)
+        keys = np.frombuffer(b"".join(sims), np.uint32).reshape(-1, BANDS)[first]
+        rows = np.empty(len(node), ROW)
+        rows["node"] = node
+        for band in range(BANDS):
+            rows["key"] = keys[:, band]
+            part = (common.mix64(rows["key"].astype(np.uint64) + np.uint64(band << 32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(buckets + 1))
+            own = rows[order]
+            used = np.flatnonzero(np.diff(at)).tolist()
+            yield {"part": used, "band": [band] * len(used), "data": [own[at[p] : at[p + 1]].tobytes() for p in used]}
+
+    for batch in batches:
+        digests += batch.column(0).to_pylist()
+        sims += batch.column(1).to_pylist()
+        if len(digests) >= GATHER:
+            yield from out()
+            digests, sims = [], []
+    if digests:
+        yield from out()
+
+
+def _near(batches):
+    """(key, n, node) of the n > 1 nodes that share a key."""
+    found: dict[int, list] = {}
+    for batch in batches:
+        for band, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found.setdefault(band, []).append(np.frombuffer(data, ROW))
+    for band in list(found):
+        rows = np.concatenate(found.pop(band))
+        key = rows["key"]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        twin = np.append(key[1:] == key[:-1], False)
+        twin[1:] |= twin[:-1].copy()
+        rows = rows[order[twin]]
+        rows = np.unique(rows)  # copies of a line meet here once a task
+        head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1])[: len(rows)])
+        size = np.diff(np.append(head, len(rows)))
+        n = np.repeat(size, size)
+        rows, n = rows[n > 1], n[n > 1]
+        yield {"key": rows["key"].astype(np.int64) | band << 32, "n": n, "node": rows["node"]}
+
+
+def bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low bits of each node, packed: 2^bits / 8 bytes. Parts are united by segment."""
+    segments = 64
 
     def mark(batches):
-        bits = np.zeros(1 << BITS, bool)
+        there = np.zeros(1 << bits, bool)
         for batch in batches:
-            bits[batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << BITS) - 1)] = True
-        rows = np.packbits(bits).reshape(segments, -1)
+            there[batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << bits) - 1)] = True
+        rows = np.packbits(there).reshape(segments, -1)
         used = np.flatnonzero(rows.any(1)).tolist()
         yield {"segment": used, "bits": [rows[i].tobytes() for i in used]}
 
@@ -233,209 +300,168 @@ def bitmap(nodes: DataFrame) -> np.ndarray:
         yield {"segment": list(found), "bits": [x.tobytes() for x in found.values()]}
 
     parts = common.arrow_map(nodes.select("node"), mark, "segment int, bits binary").repartition(segments, "segment")
-    out = np.zeros((segments, width // segments), np.uint8)
+    out = np.zeros((segments, (1 << (bits - 3)) // segments), np.uint8)
     for r in common.arrow_map(parts, unite, "segment int, bits binary").toLocalIterator():
         out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out.ravel()).view(bool)
+    return out.ravel()
 
 
-def _lines(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
-    """(node, norm): the normalised lines whose node has a bit in `wanted`: those asked for and a few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+def _texts(rows: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
+    """(node, digest, norm): the distinct lines whose node has a bit in `wanted`: those asked for and a few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        from lexspark.llm import line_dedup
+        from lexspark.llm import line_dedup as own
 
-        bits = np.unpackbits(shared.value).view(bool)
+        there, mask, seen = shared.value, (1 << bits) - 1, set()
         for batch in batches:
             found = {}
             for t in batch.column(0).to_pylist():
-                for words in line_dedup.line_words(t):
+                for words in own.line_words(t):
                     if words:
                         line = b" ".join(words)
-                        node = line_dedup.node_of(xxhash.xxh3_128_digest(line))
-                        if bits[node & ((1 << BITS) - 1)]:
-                            found[node] = line
-            yield {"node": list(found), "norm": [x.decode("utf-8") for x in found.values()]}
+                        digest = xxhash.xxh3_128_digest(line)
+                        low = own.node_of(digest) & mask
+                        if there[low >> 3] >> (7 - (low & 7)) & 1 and digest not in seen:
+                            found[digest] = line
+                            seen.add(digest)
+            if len(seen) > 300_000:
+                seen = set()
+            yield {"node": [own.node_of(d) for d in found], "digest": list(found), "norm": [x.decode("utf-8") for x in found.values()]}
 
-    return common.arrow_map(docs.select(text_col), run, "node long, norm string")
+    return common.arrow_map(rows.select("text"), run, "node long, digest binary, norm string").dropDuplicates(["digest"])
 
 
-def _grouped(batches, width: int):
-    """Consecutive rows of equal first two columns, as lists of the other columns; whole at the batch's edge."""
-    now, part = None, [[] for _ in range(width - 2)]
+def _verify(batches):
+    """rows(key, pair, digest, root, norm) sorted by key and pair -> links (a, b)."""
+    now, part = None, ([], [], [])
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:2] != now:
-                if now is not None:
-                    yield part
-                now, part = row[:2], [[] for _ in range(width - 2)]
-            for column, value in zip(part, row[2:]):
+        out = []
+        for key, pair, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, pair) != now:
+                out += links(*part)
+                now, part = (key, pair), ([], [], [])
+            for column, value in zip(part, row):
                 column.append(value)
-    if now is not None:
-        yield part
-
-
-def _packed(groups, fn, names, most: int = 4096):
-    out = {k: [] for k in names}
-    for group in groups:
-        for row in fn(*group):
-            for k, v in zip(names, row):
-                out[k].append(v)
-        if len(out[names[0]]) >= most:
-            yield out
-            out = {k: [] for k in names}
-    yield out
-
-
-#: What the first pass sends of a line for each band.
-ROW = np.dtype([("key", np.uint32), ("node", np.int64), ("chars", np.int32), ("counts", np.uint8, CELLS // 2)])
-
-
-def _pack(batches, buckets: int):
-    """(part, band, data) of the lines under each band."""
-    for batch in batches:
-        node, sim, counts, chars = batch.columns
-        keys = np.frombuffer(b"".join(sim.to_pylist()), np.uint32).reshape(-1, BANDS)
-        rows = np.zeros(len(keys), ROW)
-        rows["node"], rows["chars"] = node.to_numpy(zero_copy_only=False), chars.to_numpy(zero_copy_only=False)
-        rows["counts"] = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(-1, CELLS // 2)
-        for band in range(BANDS):
-            rows["key"] = keys[:, band]
-            part = (common.mix64(rows["key"].astype(np.uint64) + np.uint64(band << 32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(buckets + 1))
-            own = rows[order]
-            used = np.flatnonzero(np.diff(at)).tolist()
-            yield {"part": used, "band": [band] * len(used), "data": [own[at[p] : at[p + 1]].tobytes() for p in used]}
+        yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+    out = links(*part)
+    yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+
+
+def _round(cells: DataFrame, texts: DataFrame, roots: DataFrame | None, partitions: int, first: int, last: int, inside: bool) -> DataFrame:
+    """Links (a, b) between groups that the buckets of bands first to last hold."""
+    band = F.shiftright("key", 32)
+    done = max([stop for _, stop, part in ROUNDS if part], default=0)
+    part = cells.where((band >= first) & (band < last) if inside else (band >= done) | (F.col("n") > CHUNK))
+    if roots is None:
+        todo = part.withColumn("root", F.col("digest"))
+    else:
+        part = part.join(roots.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        part = common.materialize(part, "part")
+        open_ = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        todo = part.join(open_, "key", "left_semi")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("digest", F.lit(first)), chunks).cast("int")
+    if inside:
+        todo = todo.withColumn("pair", own.cast("long"))
+    else:
+        todo = todo.withColumn("other", F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
+        todo = todo.withColumn("pair", F.least(own, "other").cast("long") * (1 << 31) + F.greatest(own, F.col("other")))
+    todo = todo.join(texts.select("digest", "norm"), "digest").select("key", "pair", "digest", "root", "norm")
+    todo = todo.repartition(partitions, "key", "pair").sortWithinPartitions("key", "pair", "digest")
+
+    def verify(batches):
+        from lexspark.llm import line_dedup
 
+        yield from line_dedup._verify(batches)
 
-def _near(batches):
-    """(key, node) of lines that have a possible neighbour in a bucket, and of all in buckets of over HOT lines."""
-    found: dict[int, list] = {}
-    for batch in batches:
-        for band, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found.setdefault(band, []).append(np.frombuffer(data, ROW))
-    for band in list(found):
-        rows = np.concatenate(found.pop(band))
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        key = rows["key"]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(head, len(key)))
-        rows = rows[np.repeat(size > 1, size)]
-        head, size = np.cumsum(size[size > 1]) - size[size > 1], size[size > 1]
-        counts = np.stack([rows["counts"] & 15, rows["counts"] >> 4], 2).reshape(-1, CELLS).astype(np.int16)
-        chars, hit = rows["chars"].astype(np.int64), np.zeros(len(rows), bool)
-        for a, n in zip(head.tolist(), size.tolist()):
-            if n > HOT:
-                hit[a : a + n] = True
-                continue
-            for i in range(a, a + n - 1):
-                j = possible(counts[: a + n], chars[: a + n], i)
-                if len(j):
-                    hit[i] = hit[j] = True
-        yield {"key": rows["key"][hit].astype(np.int64) | band << 32, "node": rows["node"][hit]}
-
-
-def _verified(bands, nodes, sims, counts, norms):
-    uf, out, band = common.UnionFind(), [], bands[0]
-    sims = np.frombuffer(b"".join(sims), np.uint32).reshape(-1, BANDS)
-    cells = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, CELLS // 2)
-    cells = np.stack([cells & 15, cells >> 4], 2).reshape(-1, CELLS).astype(np.int16)
-    chars = np.fromiter(map(len, norms), np.int64, len(norms))
-    for i in range(len(nodes) - 1):
-        j = possible(cells, chars, i)
-        for j in j[(sims[j] == sims[i]).argmax(1) == band].tolist():
-            if uf.find(nodes[i]) != uf.find(nodes[j]) and similar(norms[i], norms[j]):
-                uf.union(nodes[i], nodes[j])
-                out.append((nodes[i], nodes[j]))
+    out = common.materialize(common.arrow_map(todo, verify, "a binary, b binary"), "links")
+    if roots is not None:
+        common.discard(part)
     return out
 
 
-def _dealt(cells: DataFrame, partitions: int, columns: list[str]) -> DataFrame:
-    """cells(key, n, node, ...) with large buckets as pairs of chunks, sorted by bucket."""
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    out = cells.withColumn("other", F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
-    out = out.withColumn("pair", F.least(own, "other") * 100_000 + F.greatest(own, F.col("other"))).select("key", "pair", *columns)
-    return out.repartition(partitions, "key", "pair").sortWithinPartitions("key", "pair", "node")
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Occurrences (id, line, digest, ...), and (digest, root, first) of lines in groups of over one occurrence.
+    """Occurrences (id, h, line, digest), and (digest, copies, root, first) of lines in groups of over one occurrence.
 
-    root: a number of the group; first: the (id, line) that is kept.
+    h: the hash of the row's text; root: the smallest digest of the group; first: the (id, h, line) that is kept.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    partitions = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = common.materialize(occurrences(docs, id_col, text_col), "lines")
-    distinct = found.groupBy("digest").agg(
-        F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("sim", "counts", "chars")]
-    )
-    distinct = common.materialize(distinct.withColumn("node", F.xxhash64("digest")), "distinct")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    if not rows.groupBy("id", "h").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "h"])
+    found = common.materialize(occurrences(rows), "lines")
+    partitions = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() * BANDS * ROW.itemsize >> 26)
 
     def pack(batches):
-        from lexspark.llm import line_dedup as own
+        from lexspark.llm import line_dedup
 
-        yield from own._pack(batches, partitions)
+        yield from line_dedup._pack(batches, partitions)
 
     def near(batches):
-        from lexspark.llm import line_dedup as own
-
-        yield from own._near(batches)
-
-    def verified(batches):
-        from lexspark.llm import line_dedup as own
-
-        yield from own._packed(own._grouped(batches, 7), own._verified, ["a", "b"])
+        from lexspark.llm import line_dedup
 
-    packed = common.arrow_map(distinct.where("sim is not null").select("node", "sim", "counts", "chars"), pack, "part int, band int, data binary").repartition(partitions, "part")
-    close = common.materialize(common.arrow_map(packed, near, "key long, node long"), "close")
-    some = common.materialize(distinct.join(close.select("node").distinct(), "node", "left_semi").select("node", "sim", "counts"), "some")
-    texts = _lines(docs, text_col, bitmap(some)).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    shared = close.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = close.join(shared, "key").withColumn("band", F.shiftright("key", 32).cast("int")).join(some.join(texts, "node"), "node")
-    links = common.materialize(common.arrow_map(_dealt(cells, partitions, ["band", "node", "sim", "counts", "norm"]), verified, "a long, b long"), "links")
-    roots = common.components(links)
-    all_ = distinct.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = all_.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("n")).where("n > 1").select("root", "first")
-    return found, common.materialize(all_.select("digest", "root").join(per, "root"), "groups")
+        yield from line_dedup._near(batches)
+
+    packed = common.arrow_map(found.select("digest", "sim"), pack, "part int, band int, data binary").repartition(partitions, "part")
+    close = common.materialize(common.arrow_map(packed, near, "key long, n long, node long"), "close")
+    bits = min(MOST_BITS, max(16, int(2 * close.count()).bit_length()))
+    texts = common.materialize(_texts(rows, bitmap(close, bits), bits), "texts")
+    cells = common.materialize(close.join(texts.select("node", "digest"), "node").select("key", "n", "digest"), "cells")
+    common.discard(close)
+    edges = roots = None
+    for round_ in ROUNDS:
+        new = _round(cells, texts, roots, partitions, *round_)
+        edges = new if edges is None else edges.unionByName(new)
+        roots = common.components(edges)
+    common.discard(cells)
+    common.discard(texts)
+    lines = found.select("id", "h", "line", "digest")
+    each = lines.groupBy("digest").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("copies"))
+    each = each.join(roots.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    each = common.materialize(each.select("digest", "copies", "root", "first"), "each")
+    linked = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("n")).where("n > 1").select("root", "first")
+    grouped = common.materialize(each.drop("first").join(linked, "root"), "groups")
+    common.discard(each)
+    return lines, grouped
+
+
+def marked(lines: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(id, h, line, root, gone) of the lines in groups; gone: whether the line is dropped."""
+    first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")) & (F.col("first.line") == F.col("line"))
+    return common.split_join(lines, grouped, ["digest"], "copies", lines.count(), "inner").select("id", "h", "line", "root", (~first).alias("gone"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lines): numbers of the lines that each document loses; only documents that lose some."""
-    found, grouped = groups(docs, id_col, text_col)
-    out = found.select("id", "line", "digest").join(grouped, "digest")
-    out = out.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
-    return common.materialize(out.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "dropped")
+    """(id, h, lines): numbers of the lines that each row loses; only rows that lose some."""
+    out = marked(*groups(docs, id_col, text_col)).where("gone")
+    return common.materialize(out.groupBy("id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines")), "dropped")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their columns, the text without its dropped lines."""
-    gone = dropped(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("lines").alias("_lines"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_lines", s["i"]))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    i, h, gone, key = common.free_names(docs, "id", "h", "lines", "key")
+    lost = dropped(docs, id_col, text_col).select(F.col("id").alias(i), F.col("h").alias(h), F.col("lines").alias(gone))
+    joined = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    joined = joined.join(lost, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, n: ~F.array_contains(gone, n))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_groups, n_dropped, class_ids), a row for each row of docs.
 
     n_lines: lines that count; n_groups: those in groups of over one occurrence; class_ids:
-    the distinct groups; n_dropped: lines that go.
+    the distinct groups, each by the digest of its smallest line; n_dropped: lines that go.
     """
-    found, grouped = groups(docs, id_col, text_col)
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    if not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        found = found.dropDuplicates(["id", "line", "digest"])
-    marked = found.select("id", "line", "digest").join(grouped, "digest", "left")
-    gone = F.col("root").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
-    per = marked.groupBy("id").agg(
-        F.count("*").alias("n_lines"), F.count("root").alias("n_groups"), F.count_if(gone).alias("n_dropped"), F.sort_array(F.collect_set("root")).alias("class_ids")
-    )
-    out = ids.join(per, ids["doc_id"].eqNullSafe(per["id"]), "left")
+    lines, grouped = groups(docs, id_col, text_col)
+    per = marked(lines, grouped).groupBy("id", "h").agg(F.count("*").alias("n_groups"), F.count_if("gone").alias("n_dropped"), F.sort_array(F.collect_set(F.lower(F.hex("root")))).alias("class_ids"))
+    all_ = lines.groupBy("id", "h").agg(F.count("*").alias("n_lines"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"))
+    for i, part in enumerate((all_, per)):
+        part = part.withColumnsRenamed({"id": f"id{i}", "h": f"h{i}"})
+        out = out.join(part, F.col("doc_id").eqNullSafe(F.col(f"id{i}")) & (F.col("key") == F.col(f"h{i}")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", zero("n_lines"), zero("n_groups"), zero("n_dropped"), F.coalesce("class_ids", F.array().cast("array<long>")).alias("class_ids"))
+    return out.select("doc_id", zero("n_lines"), zero("n_groups"), zero("n_dropped"), F.coalesce("class_ids", F.array().cast("array<string>")).alias("class_ids"))

@@ -168,7 +168,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
         from lexspark.llm import toxicity
 
         scorer = toxicity.Scorer(shared.value)
-        for batch in batches:
+        for batch in common.sliced(batches):
             scores = pa.array([scorer.score(t) for t in batch.column(width).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], scores], names=[*batch.schema.names[:width], name])
 
