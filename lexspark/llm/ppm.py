@@ -1,17 +1,19 @@
 """LM scoring by prediction by partial matching (operator 7).
 
-The model is a trie of byte contexts up to ORDER bytes, stored as hash tables of its nodes and
-edges. A symbol (a byte, or 0xFF, which no UTF-8 text holds, for both ends of a text) is predicted
+The model is a trie of byte contexts up to ORDER bytes over all training documents; nothing is pruned, so it grows with them.
+A symbol (a byte, or 0xFF, which no UTF-8 text holds, for both ends of a text) is predicted
 in the longest context known; if it is unknown there, an escape leads to the context without its first
-byte, where symbols of the longer context are excluded. Escapes of a node are estimated by its
-number of distinct symbols plus the occurrences that pruning took from it.
-
-Counts cover all training documents: each task counts n-grams of its texts in numpy and sends
-them, sorted and packed, to as many buckets as there are shuffle partitions, where they are
-added up. A gram stays in the trie if it holds at least one in 2^SHARE of all training positions.
-So at most 2^SHARE grams of each length stay, which bounds the broadcast (20 bytes an edge), and the rule is
-the same at every size. Since a gram is no more frequent than its parts, every context of a
-kept gram is kept. Exclusions need no walk: what a node leaves to its parent is stored with it.
+byte, where symbols of the longer context are excluded. Escapes of a node are estimated by its number of distinct symbols.
+
+How a symbol is predicted depends only on the gram of ORDER + 1 bytes that ends with it. So each distinct gram is worked out once:
+1. Documents are written with the number of the task that wrote them, its part.
+2. For each part its distinct grams and their training counts are dealt out, packed, by the GROUP bytes before the symbol. All symbols
+   of a context of GROUP bytes or more, and their suffixes in contexts of GROUP bytes or more, are thereby in one task.
+3. That task adds up counts and walks the trie level by level, from the levels below GROUP, which
+   are those of a table of grams of GROUP bytes (at most 2^(8 GROUP) entries, 16 bytes each), to the longest context, and sends every part the
+   logarithms of its own grams.
+4. Parts meet their answers, which come before their documents, and documents are sums of them.
+Neither the driver nor a task ever holds more of the trie than the low levels and one deal; a part's answers are bounded by its own text.
 
 The unigram baseline counts words exactly. The FREQUENT most frequent words are broadcast; the
 others of each text are joined with the counts.
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-ORDER, SHARE, FREQUENT, CHUNK = 5, 22, 1 << 18, 1 << 19
+ORDER, FREQUENT, CHUNK = 5, 1 << 18, 1 << 19
+#: Bytes before the symbol by which grams are dealt out; levels of shorter contexts are broadcast.
+GROUP = 3
 END = 0xFF
 #: Distinct words that a task counts before it puts them out.
 WORDS = 400_000
@@ -52,19 +56,21 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, skip + np.arange(size.sum()), size
 
 
-def gram_codes(data: np.ndarray, at: np.ndarray):
-    """For lengths 1, 2, ..., ORDER + 1 the tagged code of the gram that ends at each position."""
-    wide = data.astype(np.uint64)
-    code = np.zeros(len(at), np.uint64)
-    for k in range(ORDER + 1):
-        code = code | wide[at - k] << np.uint64(8 * k)
-        yield code | np.uint64((k + 1) << 56)
+def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ORDER + 1 = 6 bytes that end at each position, as a number: pairs, of those fours, and sixes."""
+    one = data.astype(np.uint64)
+    two = one.copy()
+    two[1:] |= one[:-1] << np.uint64(8)
+    six = two.copy()
+    six[2:] |= two[:-2] << np.uint64(16)
+    six[4:] |= two[:-4] << np.uint64(32)
+    return six[at]
 
 
 def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and their counts."""
     data, at, _ = join_texts(texts)
-    found = [np.unique(c, return_counts=True) for c in gram_codes(data, at)]
-    return np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found])
+    return np.unique(grams(data, at), return_counts=True)
 
 
 def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,185 +84,230 @@ def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes[head], np.add.reduceat(counts[order], head)
 
 
+class Level:
+    """All contexts of one length: grams (context and symbol, ascending) with counts, and logarithms of what the trie predicts.
+
+    plain: of the symbol, if no longer context is known; escaped: of the symbol in the context
+    without its first byte, after an escape from this one.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, below: Level | None):
+        self.order = order
+        context = codes >> np.uint64(8)
+        head = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(codes)])
+        self.codes, self.counts, self.node = codes, counts, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(codes))))
+        self.total = np.add.reduceat(counts, head) if len(head) else np.zeros(0, np.int64)
+        self.kinds = np.add.reduceat((counts > 0).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+        log = lambda x: np.log10(np.maximum(x, 1e-300))
+        if below is None:
+            unseen = 256 - (self.kinds[0] if len(head) else 0)
+            lower = self.escaped = np.full(len(codes), -np.log10(unseen) if unseen else 0.0)
+        else:
+            at = np.searchsorted(below.codes, codes & np.uint64((1 << (8 * order)) - 1))
+            seen, up = below.counts[at], below.node[at[head]]
+            taken = np.add.reduceat(np.where(counts > 0, seen, 0), head) if len(head) else self.total
+            escape = below.kinds[up] - self.kinds  # of the symbols left, once those of this context are excluded
+            rest, escape = np.where(escape > 0, log(below.total[up] - taken + escape), 0)[self.node], np.where(escape > 0, log(escape), 0)[self.node]
+            self.escaped = np.where(seen > 0, log(seen) - rest, escape - rest + below.escaped[at])
+            lower = below.plain[at]
+        whole, leave = log(self.total + self.kinds)[self.node], log(self.kinds)[self.node]
+        known = (self.total > 0)[self.node]
+        self.plain = np.where(counts > 0, log(counts) - whole, np.where(known, leave - whole + self.escaped, lower))
+
+
+def levels(codes: np.ndarray, counts: np.ndarray, top: int, below: Level | None) -> Level:
+    """The level of contexts of `top` bytes, and on the way those between it and the one below."""
+    first = 0 if below is None else below.order + 1
+    stack = [(codes, counts)]
+    for order in range(top - 1, first - 1, -1):
+        stack.append(add_up([(stack[-1][0] & np.uint64((1 << (8 * (order + 1))) - 1), stack[-1][1])]))
+    for order, (c, n) in zip(range(first, top + 1), reversed(stack)):
+        below = Level(c, n, order, below)
+    return below
+
+
 class Table:
-    """uint64 (not 0) -> its place in the array given, by open addressing; -1 if it isn't there."""
+    """Sorted codes -> values, by open addressing."""
 
-    MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+    MULTIPLIER, FREE = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.zeros(1 << bits)
+        left, slot = np.arange(len(keys)), ((keys * self.MULTIPLIER) >> self.shift).astype(np.int64)
         while len(left):
-            free = self.keys[slot] == 0
+            free = self.keys[slot] == self.FREE
             _, one = np.unique(slot, return_index=True)
             one = one[free[one]]
-            self.keys[slot[one]], self.at[slot[one]] = keys[left[one]], left[one]
+            self.keys[slot[one]], self.values[slot[one]] = keys[left[one]], values[left[one]]
             stay = np.ones(len(left), bool)
             stay[one] = False
             left, slot = left[stay], (slot[stay] + 1) & self.mask
 
-    def _slot(self, keys):
-        return ((keys * self.MULTIPLIER) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        out = np.where(there == keys, self.at[slot], -1)
-        left = np.flatnonzero((there != keys) & (there != 0))
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, all of which have to be there."""
+        slot = ((keys * self.MULTIPLIER) >> self.shift).astype(np.int64)
+        out = self.values[slot]
+        left = np.flatnonzero(self.keys[slot] != keys)
         slot = slot[left]
         while len(left):
             slot = (slot + 1) & self.mask
             there = self.keys[slot]
+            if (there == self.FREE).any():
+                raise KeyError("a gram without an answer")
             hit = there == keys[left]
-            out[left[hit]] = self.at[slot[hit]]
-            on = ~hit & (there != 0)
-            left, slot = left[on], slot[on]
+            out[left[hit]] = self.values[slot[hit]]
+            left, slot = left[~hit], slot[~hit]
         return out
 
-
-class Model:
-    """Tables from kept grams: codes as of gram_codes, ascending, and their counts."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, texts: int):
-        length = (codes >> np.uint64(56)).astype(np.int64)
-        counts = counts.astype(np.float64)
-        body = codes & np.uint64((1 << 56) - 1)
-        # A gram's context: all but its last byte; its suffix: all but its first.
-        context = body >> np.uint64(8) | (length - 1).astype(np.uint64) << np.uint64(56) | np.uint64(1 << 63)
-        nodes, node = np.unique(context, return_inverse=True)
-        edge_of = Table(codes)
-        self.edges, self.nodes = edge_of, Table(nodes)
-        kept = np.bincount(node, counts, len(nodes))
-        kinds = np.bincount(node, minlength=len(nodes)).astype(np.float64)
-        plain = nodes & np.uint64((1 << 63) - 1)
-        depth = (plain >> np.uint64(56)).astype(np.int64)
-        total = np.zeros(len(nodes))
-        seen = edge_of.find(plain) if len(nodes) else np.empty(0, np.int32)
-        total[seen >= 0] = counts[seen[seen >= 0]]
-        if len(nodes):
-            total[depth == 0] = kept[depth == 0] if not len(codes) else max(kept[depth == 0].sum(), 0)
-            heads = plain & np.uint64((1 << 56) - 1)
-            for d in range(1, ORDER + 1):
-                total[(depth == d) & (heads == np.uint64((1 << (8 * d)) - 1))] = texts
-        pruned = np.maximum(total - kept, 0)
-        escape = kinds + pruned
-        # What a node leaves to the node of its context without the first byte, its symbols excluded.
-        cut = lambda tagged, n, flag: tagged & ((np.uint64(1) << (8 * np.maximum(n - 1, 0)).astype(np.uint64)) - np.uint64(1)) | np.maximum(n - 1, 0).astype(np.uint64) << np.uint64(56) | flag
-        up = self.nodes.find(cut(plain & np.uint64((1 << 56) - 1), depth, np.uint64(1 << 63)))
-        suffix = edge_of.find(cut(body, length, np.uint64(0)))
-        taken = np.bincount(node, np.where(length > 1, counts[suffix], 0), len(nodes))
-        rest_escape = kinds[up] - kinds + pruned[up]
-        rest = kept[up] - taken + rest_escape
-        none = (rest_escape <= 0) | (depth == 0)
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        self.log_count, self.node = log(counts), node.astype(np.int32)
-        self.log_all, self.log_escape = log(kept + escape), log(escape)
-        self.log_rest, self.log_rest_escape = np.where(none, 0, log(rest)), np.where(none, 0, log(rest_escape))
-        root = np.flatnonzero(depth == 0)
-        self.last = -np.log10(256 - (kinds[root[0]] if len(root) else 0)) if not len(root) or kinds[root[0]] < 256 else 0.0
-
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the probability of each text, its end included."""
         data, at, size = join_texts(texts)
-        codes = list(gram_codes(data, at))
-        out = np.zeros(len(at))
-        left, child = np.arange(len(at)), np.full(len(at), -1, np.int32)
-        for k in range(ORDER, -1, -1):
-            if not len(left):
-                break
-            gram = codes.pop()[left] if len(left) < len(at) else codes.pop()
-            edge = self.edges.find(gram)
-            hit = edge >= 0
-            e, c = edge[hit], child[hit]
-            out[left[hit]] += self.log_count[e] - np.where(c >= 0, self.log_rest[c], self.log_all[self.node[e]])
-            left, child, gram = left[~hit], child[~hit], gram[~hit]
-            context = (gram & np.uint64((1 << 56) - 1)) >> np.uint64(8) | np.uint64(k << 56 | 1 << 63)
-            node = self.nodes.find(context)
-            there = node >= 0
-            v, c = node[there], child[there]
-            out[left[there]] += np.where(c >= 0, self.log_rest_escape[c] - self.log_rest[c], self.log_escape[v] - self.log_all[v])
-            child[there] = v
-        out[left] += self.last
-        return np.add.reduceat(out, np.cumsum(size) - size) if len(size) else np.zeros(0)
-
-
-def chunks(texts: list[bytes], most: int = CHUNK):
-    part, size = [], 0
+        return np.add.reduceat(self.get(grams(data, at)), np.cumsum(size) - size) if len(size) else np.zeros(0)
+
+
+def chunks(texts: list, most: int = CHUNK, size=len):
+    part, total = [], 0
     for t in texts:
         part.append(t)
-        size += len(t)
-        if size >= most:
+        total += size(t)
+        if total >= most:
             yield part
-            part, size = [], 0
+            part, total = [], 0
     if part:
         yield part
 
 
-def train(docs: DataFrame, learn, text_col: str = "text") -> Model:
-    """Counts over all rows for which the column `learn` is true."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    rows = docs.where(learn).select(F.col(text_col).alias("text"))
-    size = rows.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    least = max(1, (size["texts"] + size["bytes"]) >> SHARE)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def written(docs: DataFrame, learn, id_col: str, text_col: str) -> DataFrame:
+    """(part, row, doc_id, text, learn): all rows, in files of which each holds one part, or the first of several."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return common.materialize(rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "*"), "parts")
+
 
-    def count(batches):
+def _by_part(batches):
+    """(part, rows of the other columns) of consecutive rows, never more than a few of a part at once."""
+    for batch in batches:
+        now, out = None, []
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now and out:
+                yield now, out
+                out = []
+            now = part
+            out.append(row)
+        if out:
+            yield now, out
+
+
+def counted(parts: DataFrame, deals: int) -> DataFrame:
+    """(deal, part, codes, counts) of the distinct grams of each part (those of one part may come in several rows)."""
+
+    def run(batches):
         from lexspark.llm import ppm
 
-        parts, texts, waiting = [], [], 0
+        now, found, texts, waiting = None, [], {True: [], False: []}, 0
+
+        def count():
+            nonlocal found, waiting
+            for learn, own in texts.items():
+                if own:
+                    codes, counts = ppm.count_grams(own)
+                    found.append((codes, counts * learn))
+                    own.clear()
+            waiting = 0
+            if len(found) > 24:
+                found = [ppm.add_up(found)]
+
+        def out():
+            nonlocal found
+            count()
+            if found:
+                codes, counts = ppm.add_up(found)
+                found = []
+                of = common.mix64((codes >> np.uint64(8)) & np.uint64((1 << (8 * GROUP)) - 1)) % np.uint64(deals)
+                order = np.argsort(of.astype(np.int32), kind="stable")
+                at = np.searchsorted(of[order], np.arange(deals + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(at)).tolist()
+                for some in chunks(used, 1 << 20, lambda d: int(at[d + 1] - at[d])):
+                    own = [order[at[d] : at[d + 1]] for d in some]
+                    yield {"deal": some, "part": [now] * len(some), "codes": [codes[o].tobytes() for o in own], "counts": [counts[o].astype(np.int64).tobytes() for o in own]}
+
+        for part, rows in ppm._by_part(batches):
+            if part != now:
+                yield from out()
+                now = part
+            for text, learn in rows:
+                data = ppm.low(text)
+                texts[learn].append(data)
+                waiting += len(data) + 1
+                if waiting >= ppm.CHUNK:
+                    count()
+        yield from out()
+
+    return common.arrow_map(parts.select("part", "text", "learn"), run, "deal int, part int, codes binary, counts binary")
+
 
-        def flush():
-            nonlocal parts, texts, waiting
-            if texts:
-                parts.append(ppm.count_grams(texts))
-                texts, waiting = [], 0
-            if len(parts) > 24:
-                parts = [ppm.add_up(parts)]
+def low_levels(dealt: DataFrame) -> Level:
+    """The level of contexts of GROUP - 1 bytes: grams of GROUP bytes are added up by task, then in a few tasks by their hash."""
+    few = 64
+
+    def fold(batches):
+        from lexspark.llm import ppm
 
+        found = []
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                texts.append(ppm.low(t))
-                waiting += len(texts[-1])
-                if waiting >= ppm.CHUNK:
-                    flush()
-        flush()
-        if parts:
-            codes, counts = ppm.add_up(parts)
-            of = common.mix64(codes) % np.uint64(buckets)
-            order = np.argsort(of, kind="stable")
-            edges = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                own = order[edges[b] : edges[b + 1]]
-                for k in range(0, len(own), 1 << 17):
-                    some = own[k : k + (1 << 17)]
-                    yield {"bucket": [b], "codes": [codes[some].tobytes()], "counts": [counts[some].astype(np.int64).tobytes()]}
-
-    def merge(batches):
+            for codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                found.append((np.frombuffer(codes, np.uint64) & np.uint64((1 << (8 * GROUP)) - 1), np.frombuffer(counts, np.int64)))
+                if len(found) > 64:
+                    found = [ppm.add_up(found)]
+        if found:
+            codes, counts = ppm.add_up(found)
+            of = common.mix64(codes) % np.uint64(few)
+            used = np.unique(of).tolist()
+            yield {"f": used, "codes": [codes[of == f].tobytes() for f in used], "counts": [counts[of == f].tobytes() for f in used]}
+
+    def add(batches):
         from lexspark.llm import ppm
 
-        parts = {}
+        found: dict = {}
         for batch in batches:
-            for b, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                own = parts.setdefault(b, [])
-                own.append((np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64)))
-                if sum(len(c) for c, _ in own[1:]) > 1_000_000:
-                    parts[b] = [ppm.add_up(own)]
-        for own in parts.values():
-            codes, counts = ppm.add_up(own)
-            keep = counts >= least
-            yield {"codes": [codes[keep].tobytes()], "counts": [counts[keep].tobytes()]}
+            for f, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                part = (np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64))
+                found[f] = ppm.add_up([found[f], part]) if f in found else part
+        yield {"f": list(found), "codes": [c.tobytes() for c, _ in found.values()], "counts": [n.tobytes() for _, n in found.values()]}
+
+    sums = common.arrow_map(dealt.select("codes", "counts"), fold, "f int, codes binary, counts binary").repartition(few, "f")
+    got = [(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in common.arrow_map(sums, add, "f int, codes binary, counts binary").toLocalIterator()]
+    return levels(*add_up([(np.empty(0, np.uint64), np.empty(0, np.int64)), *got]), GROUP - 1, None)
 
-    packed = common.arrow_map(rows, count, "bucket int, codes binary, counts binary").repartition(buckets, "bucket")
-    found = [(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in common.arrow_map(packed, merge, "codes binary, counts binary").toLocalIterator()]
-    empty = (np.empty(0, np.uint64), np.empty(0, np.int64))
-    return Model(*add_up([empty, *found]), size["texts"])
 
+def solve(asked: list[tuple[np.ndarray, np.ndarray]], below: Level) -> list[np.ndarray]:
+    """log10 of the probability of each gram of each list of grams and counts, which are all there are of their contexts."""
+    top = levels(*add_up(asked), ORDER, below)
+    return [top.plain[np.searchsorted(top.codes, codes)] for codes, _ in asked]
 
-def word_counts(docs: DataFrame, learn, text_col: str = "text") -> DataFrame:
-    """(word, c) over all rows for which `learn` is true, without ends; written out."""
+
+def answers(dealt: DataFrame, deals: int) -> DataFrame:
+    """(part, codes, logs) from counted(): what the trie of all counts predicts."""
+    below = dealt.sparkSession.sparkContext.broadcast(low_levels(dealt))
+
+    def run(batches):
+        from lexspark.llm import ppm
+
+        parts, asked = [], []
+        for batch in batches:
+            for part, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                parts.append(part)
+                asked.append((np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64)))
+        if asked:
+            for i, logs in enumerate(ppm.solve(asked, below.value)):
+                yield {"part": [parts[i]], "codes": [asked[i][0].tobytes()], "logs": [logs.tobytes()]}
+
+    return common.arrow_map(dealt.repartition(deals, "deal").select("part", "codes", "counts"), run, "part int, codes binary, logs binary")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, c) over rows(text), without ends; written out."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -268,17 +319,23 @@ def word_counts(docs: DataFrame, learn, text_col: str = "text") -> DataFrame:
                 seen = Counter()
         yield {"word": list(seen), "c": list(seen.values())}
 
-    parts = common.arrow_map(docs.where(learn).select(text_col), run, "word binary, c long")
-    return common.materialize(parts.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    return common.materialize(common.arrow_map(rows, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
 def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
     spark = docs.sparkSession
     common.prepare(spark)
-    model = spark.sparkContext.broadcast(train(docs, learn, text_col))
-    counts = word_counts(docs, learn, text_col)
-    texts = docs.where(learn).count()
+    parts = written(docs, learn, id_col, text_col)
+    bytes_ = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    # A deal takes grams of about 64 MB of text, however many parts there are.
+    deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ >> 26)
+    dealt = common.materialize(counted(parts, deals), "dealt")
+    solved = common.materialize(answers(dealt, deals), "answers")
+    common.discard(dealt)
+
+    counts = word_counts(parts.where("learn").select("text"))
+    texts = parts.where("learn").count()
     size = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = size["n"] + texts, size["v"] + (texts > 0)
     frequent = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toLocalIterator()}
@@ -290,25 +347,40 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         from lexspark.llm import ppm
 
-        table = {w: float(np.log10(c + 0.1)) - bottom for w, c in known.value.items()}
-        for batch in batches:
-            texts = [ppm.low(t) for t in batch.column(1).to_pylist()]
+        words_of = {w: float(np.log10(c + 0.1)) - bottom for w, c in known.value.items()}
+        now, waiting, table = None, [], None
+        for part, rows in ppm._by_part(batches):
+            if part != now:
+                now, waiting, table = part, [], None
+            waiting += [(np.frombuffer(c, np.uint64), np.frombuffer(x, np.float64)) for _, _, _, c, x in rows if c is not None]
+            rows = [r for r in rows if r[0] is not None]
+            if not rows:
+                continue
+            if table is None:  # all answers of a part come before its rows
+                table, waiting = ppm.Table(np.concatenate([c for c, _ in waiting]), np.concatenate([x for _, x in waiting])), []
+            texts = [ppm.low(r[2]) for r in rows]
             tokens, base, hits, missing = [], [], [], []
             for t in texts:
                 words = t.split()
-                logs = list(map(table.get, words))
+                logs = list(map(words_of.get, words))
                 gone = [w for w, x in zip(words, logs) if x is None]
                 found = [x for x in logs if x is not None] if gone else logs
                 tokens.append(len(words) + 1)
                 base.append(sum(found) + end[0])
                 hits.append(len(found) + end[1])
                 missing.append(gone)
-            scores = np.concatenate([model.value.score(p) for p in ppm.chunks(texts)]) if texts else []
-            yield {"doc_id": batch.column(0).to_pylist(), "n_tokens": tokens, "base": base, "known": hits, "missing": missing, "score": scores}
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = common.arrow_map(rows, run, f"doc_id {kind}, n_tokens long, base double, known long, missing array<binary>, score double")
-    scored = common.materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # numbers are fixed by writing
+            scores = np.concatenate([table.score(p) for p in ppm.chunks(texts)])
+            yield {"row": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "n_tokens": tokens, "base": base, "known": hits, "missing": missing, "score": scores}
+
+    nothing = lambda t: F.lit(None).cast(t)
+    asked = parts.select("part", "row", "doc_id", "text", nothing("binary").alias("codes"), nothing("binary").alias("logs"))
+    told = solved.select("part", nothing("long").alias("row"), nothing(kind).alias("doc_id"), nothing("string").alias("text"), "codes", "logs")
+    places = 2 * parts.select("part").distinct().count() + int(spark.conf.get("spark.sql.shuffle.partitions"))  # so that few parts meet
+    both = told.unionByName(asked).repartition(places, "part").sortWithinPartitions("part", F.col("row").asc_nulls_first())
+    scored = common.arrow_map(both, run, f"row long, doc_id {kind}, n_tokens long, base double, known long, missing array<binary>, score double")
+    scored = common.materialize(scored, "scored")
+    common.discard(parts)
+    common.discard(solved)
     rare = scored.select("row", F.explode("missing").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1) - bottom).alias("more"), F.count("c").alias("more_known"))
     out = scored.select("row", "doc_id", "n_tokens", "base", "known", "score").join(rare, "row", "left")

@@ -103,7 +103,7 @@ def test_block_names_tell_colliding_cells_apart(spark, monkeypatch):
     texts = ["".join(rng.choices("ab", k=n)) for n in (1, 2, 3, 16, 16, 17, 40, 40, 64) for _ in range(6)]
     docs = spark.createDataFrame(list(enumerate([*texts, *texts[:9], "", None])), "doc_id long, text string")
     monkeypatch.setattr(exact_dedup, "BLOCK", 8)
-    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    monkeypatch.setattr(common, "HOT", 4)
     real = F.xxhash64
     want = sorted(rows_of(exact_dedup.exact_dedup(docs)))
     monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c) % 2)
@@ -164,24 +164,42 @@ def test_signature_agreement_estimates_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < math.sqrt(0.25 / 168) * 1.1
 
 
-def brute_drops(docs):
-    where = defaultdict(list)
+def brute_groups(docs):
+    """Groups of occurrences by edit similarity of all pairs of lines, without any hashing."""
+    where = defaultdict(set)
     for i, t in docs:
         for n, line in enumerate(line_dedup.normalised_lines(t)):
             if line:
-                where[line].append((i, n))
-    lines = list(where)
-    sims = line_dedup.simhashes([x.encode().split() for x in lines], common.HashCache())
-    uf = common.UnionFind()
+                where[line].add((i, n))
+    lines, uf = list(where), common.UnionFind()
     for i in range(len(lines)):
         uf.find(i)
-        for j in line_dedup.neighbours(sims, i).tolist():
+        for j in range(i):
             if line_dedup.similar(lines[i], lines[j]):
                 uf.union(i, j)
     groups = defaultdict(set)
     for i, x in enumerate(lines):
-        groups[uf.find(i)] |= set(where[x])
-    return {o for g in groups.values() for o in sorted(g, key=lambda o: (o[0] is not None, o))[1:]}
+        groups[uf.find(i)] |= where[x]
+    return list(groups.values())
+
+
+def brute_drops(docs):
+    return {o for g in brute_groups(docs) for o in sorted(g, key=lambda o: (o[0] is not None, o))[1:]}
+
+
+def slipped(rng, line, share):
+    """The line with some words changed, swapped for others or dropped, or some letters changed."""
+    words = line.split()
+    kind = rng.randrange(3)
+    if kind == 0:
+        for _ in range(max(1, round(len(words) * share / 2))):
+            words[rng.randrange(len(words))] = "".join(rng.choices("abcdefgh", k=4))
+    elif kind == 1:
+        del words[rng.randrange(len(words))]
+    else:
+        k = rng.randrange(len(words))
+        words[k] = words[k][:-1] + "z"
+    return " ".join(words)
 
 
 def test_line_dedup_equals_all_pairs(spark, odd, none):
@@ -193,40 +211,63 @@ def test_line_dedup_equals_all_pairs(spark, odd, none):
     assert len(drops) > 100
     for r in rows_of(line_dedup.summary(docs)):
         assert r["n_dropped"] == sum(i == r["doc_id"] for i, _ in drops)
+    texts = {r["doc_id"]: r["text"] for r in rows_of(docs)}
     for r in rows_of(line_dedup.deduplicate(docs)):
-        text = next(t for i, t in [tuple(x) for x in rows_of(docs.where(F.col("doc_id").eqNullSafe(r["doc_id"])).limit(1))])
+        text = texts[r["doc_id"]]
         want = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if (r["doc_id"], n) not in drops)
         assert r["text"] == want
     assert rows_of(line_dedup.summary(none)) == [] and rows_of(line_dedup.deduplicate(none)) == []
 
 
-def test_line_dedup_links_all_that_edit_similarity_links(spark):
+def test_line_dedup_recall_against_all_pairs_by_edit_similarity(spark):
+    """Links by edit similarity alone, over lines of two words and more; every group found is one of these."""
     rng = random.Random(61)
     lines = []
-    for n in (8, 12, 20, 30):
-        for _ in range(15):
-            words = prose(rng, "en", n).split()
-            near = list(words)
-            k = max(range(n), key=lambda k: -abs(len(words[k]) - 4))
-            near[k] = "".join(rng.choices("abcdefgh", k=len(words[k])))
-            lines += [" ".join(words), " ".join(near)]
+    for n in (2, 3, 4, 5, 8, 12, 20, 30, 60):
+        for _ in range(40):
+            line = prose(rng, rng.choice(("en", "fr")), n)
+            lines += [line, slipped(rng, line, 0.15)]
     rng.shuffle(lines)
-    uf = common.UnionFind()
-    for i, a in enumerate(lines):
-        uf.find(i)
-        for j in range(i):
-            if line_dedup.similar(a, lines[j]):
-                uf.union(i, j)
-    got = {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.summary(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))}
-    want = {i: int(uf.find(i) != i) for i in range(len(lines))}
-    assert sum(want.values()) > 50 and got == want
+    docs = [(k, "\n".join(lines[k : k + 5])) for k in range(0, len(lines), 5)]
+    want = {frozenset(g) for g in brute_groups(docs) if len(g) > 1}
+    found, grouped = line_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = defaultdict(set)
+    for r in rows_of(line_dedup.marked(found, grouped)):
+        got[r["root"]].add((r["id"], r["line"]))
+    whole = {o: g for g in want for o in g}
+    assert all(len({whole.get(o) for o in g}) == 1 and whole[next(iter(g))] for g in got.values())  # nothing linked that is not alike
+    links = sum(len(g) - 1 for g in want)
+    assert links > 250 and sum(len(g) - 1 for g in got.values()) >= 0.97 * links
+
+
+@pytest.mark.parametrize("chunk", [7, 800])
+def test_large_buckets_of_lines_are_compared_whole(spark, monkeypatch, chunk):
+    """Chains of lines of which only neighbours are alike, in buckets of many: no link may be lost to chunks."""
+    rng = random.Random(64)
+    lines, line = [], prose(rng, "en", 40).split()
+    for k in range(60):
+        line[k % 40] = "".join(rng.choices("mnopqr", k=5))
+        lines.append(" ".join(line))
+    docs = list(enumerate(lines)) + [(100 + k, "the one line that everyone has") for k in range(300)]
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(common, "HOT", 3)
+    got = {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.summary(spark.createDataFrame(docs, "doc_id long, text string")))}
+    drops = brute_drops(docs)
+    assert got == {i: int((i, 0) in drops) for i, _ in docs} and sum(got.values()) > 340
 
 
 def test_short_lines_and_scripts_without_blanks_are_merged(spark):
     chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看电影"
-    texts = ["Home\nclick here", "home\n\n" + chinese, "Click  here!\n" + chinese, chinese.replace("公", "花"), "click there"]
+    texts = ["Home\nclick here", "home\n\n" + chinese, "Click  here!\n" + chinese, chinese.replace("公", "花"), "click there", "read this page", "read thus page"]
     got = {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.summary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
-    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 0}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 5: 0, 6: 1}
+
+
+def test_rows_that_repeat_an_id_lose_their_own_lines_only(spark):
+    a, b = "one line that is here twice", "another line that is nowhere else"
+    docs = spark.createDataFrame([(1, a), (2, f"{a}\n{b}"), (2, f"{b} or nearly so it seems\n{a}"), (3, a), (3, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in rows_of(line_dedup.deduplicate(docs)))
+    assert got == [(1, a), (2, b), (2, f"{b} or nearly so it seems"), (3, ""), (3, "")]
 
 
 def test_edit_distance():
@@ -283,28 +324,23 @@ def test_unfolded_network_equals_the_convolution():
     assert np.allclose(net.forward(x)[3], langid.Unfolded(net).probabilities(x), atol=1e-5)
 
 
-def naive_ppm(codes, counts, texts):
-    """PPM as in the docstring, one symbol at a time."""
-    trie = defaultdict(dict)
-    for c, n in zip(codes.tolist(), counts.tolist()):
-        gram = (c & ((1 << 56) - 1)).to_bytes(c >> 56, "big")
-        trie[gram[:-1]][gram[-1]] = n
-
-    def total(context):
-        if not context:
-            return sum(trie[b""].values())
-        return texts if set(context) == {255} else trie[context[:-1]].get(context[-1], 0)
+def naive_ppm(texts):
+    """PPM as in the docstring, one symbol at a time, from the learnt texts."""
+    trie = defaultdict(Counter)
+    for t in texts:
+        t = b"\xff" * ppm.ORDER + t + b"\xff"
+        for i in range(ppm.ORDER, len(t)):
+            for k in range(ppm.ORDER + 1):
+                trie[t[i - k : i]][t[i]] += 1
 
     def probability(context, symbol):
         gone, p = set(), 1.0
         for k in range(len(context) + 1):
             node = trie.get(context[k:])
-            if not node:
-                continue
-            escape = len(set(node) - gone) + max(total(context[k:]) - sum(node.values()), 0)
-            whole = escape + sum(n for s, n in node.items() if s not in gone)
+            escape = len(set(node or ()) - gone)
             if not escape:
                 continue
+            whole = escape + sum(n for s, n in node.items() if s not in gone)
             if symbol in node and symbol not in gone:
                 return p * node[symbol] / whole
             p *= escape / whole
@@ -314,18 +350,35 @@ def naive_ppm(codes, counts, texts):
     return probability
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_ppm_equals_a_naive_walk(least):
+def naive_score(probability, text):
+    text = b"\xff" * ppm.ORDER + text + b"\xff"
+    return sum(math.log10(probability(text[i - ppm.ORDER : i], text[i])) for i in range(ppm.ORDER, len(text)))
+
+
+def test_ppm_levels_equal_a_naive_walk():
     rng = random.Random(10)
-    texts = [ppm.low(prose(rng, "en", 40)) for _ in range(20)]
-    codes, counts = ppm.add_up([ppm.count_grams(texts)])
-    codes, counts = codes[counts >= least], counts[counts >= least]
-    model, p = ppm.Model(codes, counts, len(texts)), naive_ppm(codes, counts, len(texts))
+    learnt = [ppm.low(prose(rng, "en", 40)) for _ in range(20)]
+    asked = [learnt[0][:80], b"zq\xc3\xa9 the\n\n9", b""]
+    p = naive_ppm(learnt)
     assert sum(p(b"n the", s) for s in range(256)) == pytest.approx(1)
-    for text in (texts[0][:80], b"zq\xc3\xa9 the\n\n9", b""):
-        padded = b"\xff" * ppm.ORDER + text + b"\xff"
-        want = sum(math.log10(p(padded[i - ppm.ORDER : i], padded[i])) for i in range(ppm.ORDER, len(padded)))
-        assert model.score([text])[0] == pytest.approx(want)
+    codes, counts = ppm.add_up([ppm.count_grams(learnt), (c := ppm.count_grams(asked)[0], np.zeros(len(c), np.int64))])
+    below = ppm.levels(*ppm.add_up([(codes & np.uint64((1 << (8 * ppm.GROUP)) - 1), counts)]), ppm.GROUP - 1, None)
+    deal = (codes >> np.uint64(8)) % np.uint64(1 << (8 * ppm.GROUP)) % np.uint64(5)  # any function of the bytes before the symbol
+    logs = np.zeros(len(codes))
+    for d in range(5):
+        logs[deal == d] = ppm.solve([(codes[deal == d], counts[deal == d])], below)[0]
+    assert ppm.Table(codes, logs).score(asked) == pytest.approx([naive_score(p, t) for t in asked])
+
+
+def test_lm_scores_equal_a_naive_walk_over_all_documents(odd):
+    learn = ~common.held_out("doc_id", 10, 0)
+    rows = [(r["doc_id"], r["text"], r["l"]) for r in rows_of(odd.where("doc_id is null or doc_id <> 6").withColumn("l", learn))]
+    p = naive_ppm([ppm.low(t) for _, t, l in rows if l])
+    want = sorted((str(i), round(naive_score(p, ppm.low(t)), 4)) for i, t, _ in rows)
+    got = rows_of(ppm.score(odd.where("doc_id is null or doc_id <> 6"), learn))
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got) == want
+    nothing = rows_of(ppm.score(odd.where("doc_id = 8"), F.lit(False)))
+    assert nothing[0]["score"] == pytest.approx(-2 * math.log10(256)) and nothing[0]["train_tokens"] == 0
 
 
 def test_lm_scoring_baseline(odd, none):
