@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 def triples(spark: SparkSession, path: str, label: str) -> DataFrame:
     """(file, line_no, lemma_raw, form_raw, tag_raw) of lines with three tab-separated fields; blank ones are skipped.
 
-    Line numbers count from 1 and include blank lines; a line with another number of fields fails. Numbers come from
-    zipWithIndex, the one place in which file order matters and no reader gives it.
+    Line numbers count from 1 and include blank lines; a line with another number of fields fails. A line's number is its
+    place in its partition and how many lines the partitions before have, which is a row for each partition.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    df = spark.createDataFrame(lines, "line_no long, value string").withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    lines = lines.withColumns({"part": F.shiftright("n", 33), "at": F.col("n").bitwiseAND((1 << 33) - 1)})
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = lines.groupBy("part").agg(F.count("*").alias("lines")).select("part", before.alias("before"))
+    df = lines.join(F.broadcast(offsets), "part").select((F.col("at") + F.col("before") + 1).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
     df = df.where(~F.col("value").rlike(r"(?U)^\s*$")).withColumn("p", F.split("value", "\t", -1))
     message = F.concat(F.lit(f"{label}:"), F.col("line_no").cast("string"), F.lit(": expected 3 tab-separated fields, got "), F.size("p").cast("string"))
     part = lambda i: F.when(F.size("p") == 3, F.get("p", F.lit(i))).otherwise(F.raise_error(message))

@@ -41,15 +41,15 @@ def test_plene_consistency_is_three_valued(spark):
     assert [r[0] for r in df.select(text.plene_consistent(F.col("a"), F.col("b"))).collect()] == [True, False, None, None]
 
 
-def test_audit_flags():
-    flags = lambda s: text.audit_one(s)[0]
-    assert flags(N("שָׁמַר")) == []
-    assert flags("ָא") == ["MALFORMED_ORPHAN_MARK"]
-    assert flags("אׁ") == ["MALFORMED_MARK_ON_INVALID_BASE"]
-    assert flags("אָָ") == ["MALFORMED_REPEATED_MARK"]
-    assert flags("אa ב־ג") == ["NON_HEBREW_CHARACTER", "HEBREW_PUNCTUATION", "CONTAINS_SPACE"]
-    assert flags("אֽ") == ["NONSTANDARD_COMBINING_MARK"]
-    assert "PRESENTATION_FORM_IN_RAW" in flags("\ufb2a") and "RAW_NOT_NFC" in flags("\ufb2a")
+def test_audit_flags(spark):
+    cases = {
+        N("שָׁמַר"): [], "ָא": ["MALFORMED_ORPHAN_MARK"], "אׁ": ["MALFORMED_MARK_ON_INVALID_BASE"], "אָָ": ["MALFORMED_REPEATED_MARK"], "אֽ": ["NONSTANDARD_COMBINING_MARK"],
+        "אa ב־ג": ["NON_HEBREW_CHARACTER", "HEBREW_PUNCTUATION", "CONTAINS_SPACE"], "\ufb2a": ["PRESENTATION_FORM_IN_RAW", "RAW_NOT_NFC"], "א ָב": ["CONTAINS_SPACE", "MALFORMED_ORPHAN_MARK"],
+        "וֺ": [], "אֺ": ["MALFORMED_MARK_ON_INVALID_BASE"], "אָבָ": [], "": [], None: None,
+    }
+    got = column(spark, list(cases), text.audit)
+    assert [r and r["flags"] for r in got] == list(cases.values())
+    assert (got[5]["non_hebrew_chars"], got[4]["nonstandard_marks"]) == (["U+0061"], ["U+05BD"])
 
 
 def test_markup_and_words(spark):
