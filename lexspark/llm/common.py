@@ -186,7 +186,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches):
         target = pa.ipc.read_schema(pa.py_buffer(packed))
         for columns in fn(sliced(batches)):
-            arrays = [pa.array(columns[f.name], type=f.type) for f in target]
+            arrays = [x if isinstance(x := columns[f.name], pa.Array) and x.type == f.type else pa.array(x, type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, schema)

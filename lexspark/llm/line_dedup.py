@@ -11,12 +11,14 @@ to 10 bits that would be needed pigeonhole blocks have six bits, which select no
 neighbouring words (characters, in scripts without blanks); a line of few words is taken as its runs of three bytes instead.
 Links are found by probability, not by proof: a line with a slip in nearly every word shares no pair and is not found.
 
-Band keys travel packed, 12 bytes a line and band; a task holds whole buckets and puts out those of over one line. The texts
-of the lines in them are fetched (a bitmap of bounded size keeps other lines from being sent), and buckets
-are worked off in rounds of a few bands: one whose lines are already in one group is done, and of the
-others just the links that join two groups are put out. Buckets of over CHUNK lines are first dealt out into chunks, in two
-ways, which groups near copies without replicating a line; what then still is of several groups
-goes out as pairs of chunks, so that no task holds a whole hot bucket and no pair is left out. Copies of a line are one node.
+Band keys travel packed, 12 bytes a line and band; a task holds whole buckets and puts out the sets of over one line that
+share a key. Near copies share many keys, so equal sets are merged. The texts
+of the lines in them are fetched (a bitmap of bounded size keeps other lines from being sent), and sets
+are worked off in two rounds: those of the first bands, then those whose lines are not yet in one group; only
+the links that join two groups are put out. In the first round sets of over CHUNK lines are dealt out into chunks, each set in its own
+way, which groups near copies without replicating a line; what then still is of several groups
+goes out as pairs of chunks, so that no task holds a whole hot set and no pair is left out. Copies of a line are one node.
+Bounds by lengths and runs of three characters, of which an edit changes at most three, settle most pairs that are not alike.
 
 Lines that are empty once normalised (blank, or signs alone) are left alone. Nulls: a null text has
 no lines and stays null; a null id counts as smaller than any other. Rows are known by their id and the
@@ -40,69 +42,104 @@ from lexspark.llm import common
 BANDS, ROWS, SIMILARITY, CHUNK = 20, 3, 0.85, 800
 #: Lines of fewer words are taken as runs of three bytes, those of fewer than FEW_WORDS by their words as well as by pairs.
 MIN_WORDS, FEW_WORDS = 5, 16
-#: Cells for counts of characters.
-CELLS = 32
-#: Lines that a task gathers before it deals out their band keys, and the most bits of a node by which texts are asked for.
-GATHER, MOST_BITS = 1 << 16, 26
-#: Bands of each round; the first ones leave buckets of over CHUNK lines in chunks, the last takes what is left of any band.
-ROUNDS = ((0, 2, True), (2, 5, True), (0, BANDS, False))
+#: Cells for counts of runs of three characters.
+CELLS = 512
+#: Lines that a task gathers before it deals out their band keys, bytes that are hashed at a time, and the most bits of a node by which texts are asked for.
+GATHER, SPAN, MOST_BITS = 1 << 16, 1 << 19, 26
+#: Sets of the bands before this one make up the first round.
+FIRST = 2
 #: Signs to blanks, digits to 0; other bytes stay (fixed by ASCII).
 PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or 65 <= b <= 90 or b > 127 else 32 for b in range(256))
 #: Odd multipliers, one for each minimum.
 MULTIPLIERS = (common.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: A number for each byte; a run of bytes is the sum of theirs times powers of BASE, so that sums over any run come from running sums.
+BYTES = common.mix64(np.arange(1001, 1257, dtype=np.uint64))
+BASE = 0x9E3779B97F4A7C15
 #: Scripts that are written without blanks (from U+0E00 on); each of their characters is a word of its own when lines are hashed.
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 HIGH = re.compile(rb"[\xe0-\xef]")
 
 
-def line_words(text: str | None) -> list[list[bytes]]:
-    """The normalised words of every line, in order; an empty list for lines that are left alone."""
-    if text is None:
-        return []
-    return list(map(bytes.split, text.lower().encode("utf-8").translate(PLAIN).split(b"\n")))
+def lines_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The normalised lines of all texts in a row (empty where a line is left alone), and how many each text has."""
+    parts = [b"" if t is None else t.lower().encode("utf-8").translate(PLAIN) for t in texts]
+    count = np.fromiter((0 if t is None else p.count(b"\n") + 1 for t, p in zip(texts, parts)), np.int64, len(texts))
+    a = np.frombuffer(b"\n".join([p for t, p in zip(texts, parts) if t is not None]) + b"\n", np.uint8)
+    # Of blanks in a row the first stays, unless it begins or ends a line.
+    blank = a == 32
+    before = np.concatenate([[10], a[:-1]])
+    a = a[~(blank & ((before == 32) | (before == 10)))]
+    a = a[~((a == 32) & (np.concatenate([a[1:], [10]]) == 10))]
+    lines = a.tobytes().split(b"\n")
+    return lines[:-1] if count.sum() else [], count
 
 
 def normalised_lines(text: str | None) -> list[str]:
     """The normalised form of every line, in order; '' for lines that are left alone."""
-    return [b" ".join(w).decode("utf-8") for w in line_words(text)]
-
-
-def tokens(line: bytes, words: list[bytes]) -> list[bytes]:
-    """What a line is hashed by: its words, those of scripts without blanks cut into characters; runs of bytes if they are few."""
-    if HIGH.search(line):
-        words = [x.encode("utf-8") for w in words for x in ([w.decode("utf-8")] if w.isascii() else UNSPACED.findall(w.decode("utf-8")))]
-    return words if len(words) >= MIN_WORDS else [line[i : i + 3] for i in range(max(1, len(line) - 2))]
-
-
-def signatures(lines: list[list[bytes]], cache: common.HashCache) -> np.ndarray:
-    """(line, band): 32-bit keys of (nonempty) lines, given by their tokens."""
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    words = common.hash_words([w for ws in lines for w in ws], cache)
-    out, place = [np.empty((0, BANDS), np.uint32)], 0
-    for a, b in _spans(size):
-        n = size[a:b]
-        h = words[place : place + n.sum()]
-        place += n.sum()
-        owner = np.repeat(np.arange(len(n)), n)
-        both = np.flatnonzero(owner[1:] == owner[:-1])
-        alone = np.flatnonzero((n < FEW_WORDS)[owner])
-        grams = np.concatenate([common.mix64(h[both] * common.PLACE[0] + common.mix64(h[both + 1])), common.mix64(h[alone])])
-        owner = np.concatenate([owner[both], owner[alone]])
-        order = np.argsort(owner, kind="stable")
-        grams, owner = (grams[order] >> np.uint64(32)).astype(np.uint32), owner[order]
-        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        keys = np.zeros((len(n), BANDS), np.uint64)
-        for i, multiplier in enumerate(MULTIPLIERS):
-            keys[:, i // ROWS] = common.mix64(keys[:, i // ROWS] + np.minimum.reduceat(grams * multiplier, head))
-        out.append((keys >> np.uint64(32)).astype(np.uint32))
-    return np.concatenate(out)
-
-
-def _spans(size: np.ndarray, most: int = 60_000):
-    """Ranges of lines of together at most as many words (or a single line)."""
+    return [x.decode("utf-8") for x in lines_of([text])[0]]
+
+
+def spaced(line: bytes) -> bytes:
+    """The line with blanks around characters of scripts that have none."""
+    return UNSPACED.sub(r" \g<0> ", line.decode("utf-8")).encode("utf-8") if HIGH.search(line) else line
+
+
+_powers: list = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n - 1, and the inverses of these, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        one = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20) - 1, x, np.uint64)]), dtype=np.uint64)
+        _powers[:] = [one(np.uint64(BASE)), one(np.uint64(pow(BASE, -1, 1 << 64)))]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """(line, band): 32-bit keys of (nonempty) normalised lines."""
+    lines = list(map(spaced, lines))
+    out = [_signed(lines[a:b]) for a, b in _spans(np.fromiter(map(len, lines), np.int64, len(lines)))]
+    return np.concatenate([np.empty((0, BANDS), np.uint32), *out])
+
+
+def _signed(lines: list[bytes]) -> np.ndarray:
+    a = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+    up, down = powers(len(a))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[a] * up, dtype=np.uint64)])
+    run = lambda first, stop: common.mix64((sums[stop] - sums[first]) * down[first])
+    gap = (a == 32) | (a == 10)
+    word = np.diff(np.concatenate([[False], ~gap, [False]]).astype(np.int8))
+    first, stop = np.flatnonzero(word == 1), np.flatnonzero(word == -1)
+    of = np.cumsum(a == 10)  # the line of each byte (its end counts to the next)
+    owner = of[first]
+    n = np.bincount(owner, minlength=len(lines))
+    h = run(first, stop)
+    many = (n >= MIN_WORDS)[owner]
+    both = np.flatnonzero((owner[1:] == owner[:-1]) & many[1:])
+    alone = np.flatnonzero(many & (n < FEW_WORDS)[owner])
+    # Lines of few words: all runs of three bytes, or what there is.
+    end = np.flatnonzero(a == 10)
+    begin = np.concatenate([[0], end[:-1] + 1])
+    short = np.flatnonzero(n < MIN_WORDS)
+    runs = np.maximum(end[short] - begin[short] - 2, 1)
+    at = np.repeat(begin[short] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+    small = np.repeat(short, runs)
+    grams = np.concatenate([common.mix64(h[both] * common.PLACE[0] + common.mix64(h[both + 1])), common.mix64(h[alone]), run(at, np.minimum(at + 3, end[small]))])
+    owner = np.concatenate([owner[both], owner[alone], small])
+    order = np.argsort(owner, kind="stable")
+    grams, owner = (grams[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+    head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    keys = np.zeros((len(lines), BANDS), np.uint64)
+    for i, multiplier in enumerate(MULTIPLIERS):
+        keys[:, i // ROWS] = common.mix64(keys[:, i // ROWS] + np.minimum.reduceat(grams * multiplier, head))
+    return (keys >> np.uint64(32)).astype(np.uint32)
+
+
+def _spans(size: np.ndarray):
+    """Ranges of lines of together at most SPAN bytes (or a single line)."""
     a, total = 0, 0
     for i, n in enumerate(size.tolist()):
-        if i > a and total + n > most:
+        if i > a and total + n > SPAN:
             yield a, i
             a, total = i, 0
         total += n
@@ -130,21 +167,28 @@ def _unlike(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - j], b[: len(b) - j]
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns in Python integers, after equal ends are cut off."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns in Python integers, after equal ends are cut off.
+
+    Given `most`, any number over it stands for all distances over it.
+    """
     a, b = _unlike(a, b)
     if not a or not b:
         return len(a) + len(b)
+    most = len(a) + len(b) if most is None else most
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
+    plus, minus, score, left = full, 0, len(a), len(b)
     for c in b:
         eq = where.get(c, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (~(diagonal | plus) & full), plus & diagonal
         score += bool(up & top) - bool(down & top)
+        left -= 1
+        if score - left > most:  # it falls by one a column at most
+            return score - left
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (~(diagonal | up) & full), up & diagonal
     return score
@@ -159,82 +203,111 @@ def similar(a: str, b: str) -> bool:
     a, b = _unlike(a, b)
     if max(len(a), len(b)) <= most or len(a) == len(b) and sum(map(operator.ne, a, b)) <= most:
         return True
-    return edit_distance(a, b) <= most
+    return edit_distance(a, b, most) <= most
+
+
+def runs_of(line: str) -> frozenset:
+    return frozenset([line[i : i + 3] for i in range(len(line) - 2)])
+
+
+def unlike(a: str, b: str, runs_a: frozenset, runs_b: frozenset) -> bool:
+    """Whether so many runs of three characters are in one line only that the edit similarity cannot be reached."""
+    most = 3 * int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    return max(len(runs_a), len(runs_b)) - len(runs_a & runs_b) > most
 
 
 def cell_counts(line: str) -> np.ndarray:
-    """Counts of characters by cell."""
-    points = np.frombuffer(line.encode("utf-8"), np.uint8) if line.isascii() else np.frombuffer(line.encode("utf-32-le"), np.uint32)
-    return np.bincount(points % CELLS, minlength=CELLS)
+    """Counts of runs of three characters by cell."""
+    p = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    return np.bincount((p[:-2] * np.uint32(2654435761) ^ p[1:-1] * np.uint32(2246822519) ^ p[2:] * np.uint32(3266489917)) >> np.uint32(23), minlength=CELLS).astype(np.uint16)
 
 
-def possible(counts: np.ndarray, chars: np.ndarray, i: int) -> np.ndarray:
-    """Later lines that lengths and counts of characters (line, cell) do not tell apart from line i."""
-    most = (1 - SIMILARITY) * np.maximum(chars[i + 1 :], chars[i]) + 1e-9
-    surplus = counts[i + 1 :] - counts[i]
-    worst = np.maximum(np.maximum(surplus, 0).sum(1), np.maximum(-surplus, 0).sum(1))
-    return np.flatnonzero((worst <= most) & (np.abs(chars[i + 1 :] - chars[i]) <= most)) + i + 1
+def possible(counts: np.ndarray, chars: np.ndarray, others: np.ndarray, i: int) -> np.ndarray:
+    """Those of the others that lengths and counts of runs (line, cell) do not tell apart from line i."""
+    most = np.floor((1 - SIMILARITY) * np.maximum(chars[others], chars[i]) + 1e-9)
+    others, most = others[near := np.abs(chars[others] - chars[i]) <= most], most[near]
+    if not len(others):
+        return others
+    both = np.minimum(counts[others], counts[i]).sum(1, dtype=np.int64)
+    return others[np.maximum(chars[others], chars[i]) - 2 - both <= 3 * most]
 
 
 def links(digests: list, groups: list, norms: list) -> list[tuple]:
     """Links between lines of different groups; fewer than lines."""
-    uf, out, n = common.UnionFind(), [], len(norms)
-    left = len(set(groups)) - 1
-    if n > 8:
-        counts, chars = np.stack([cell_counts(x) for x in norms]), np.fromiter(map(len, norms), np.int64, n)
+    n = len(norms)
+    number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
+    group = np.array([number[g] for g in groups], np.int64)
+    uf, out, left = common.UnionFind(), [], len(number) - 1
+    few = n <= 8
+    chars = np.fromiter(map(len, norms), np.int64, n)
+    counts = None if few else np.stack([cell_counts(x) if len(x) > 2 else np.zeros(CELLS, np.uint16) for x in norms])
+    runs: list = [None] * n
     for i in range(n - 1):
-        for j in range(i + 1, n) if n <= 8 else possible(counts, chars, i).tolist():
-            if left and uf.find(groups[i]) != uf.find(groups[j]) and similar(norms[i], norms[j]):
-                uf.union(groups[i], groups[j])
+        if not left:
+            break
+        for j in range(i + 1, n) if few else possible(counts, chars, np.flatnonzero(group[i + 1 :] != group[i]) + i + 1, i).tolist():
+            if uf.find(int(group[i])) == uf.find(int(group[j])):
+                continue
+            if few:
+                a, b = norms[i], norms[j]
+                if abs(len(a) - len(b)) > (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9:
+                    continue
+                for k in (i, j):
+                    if runs[k] is None:
+                        runs[k] = runs_of(norms[k])
+                if unlike(a, b, runs[i], runs[j]):
+                    continue
+            if similar(norms[i], norms[j]):
+                uf.union(int(group[i]), int(group[j]))
                 out.append((digests[i], digests[j]))
                 left -= 1
     return out
 
 
+def digests_of(lines: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """128-bit digests, and as two integers each. The first of these is a line's node."""
+    found = list(map(xxhash.xxh3_128_digest, lines))
+    return found, np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """rows(id, h, text) -> (id, h, line, digest, sim) of every line that is not left alone; sim: its band keys."""
+    """rows(id, h, text) -> (id, h, line, node, rest, sim) of every line that is not left alone; sim: its band keys."""
+    import pyarrow as pa
+
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         from lexspark.llm import line_dedup as own
 
-        cache = common.worker_cache()
         for batch in batches:
-            out = {k: [] for k in ("id", "h", "line", "digest")}
-            new, hashed = {}, []
-            for i, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for n, words in enumerate(own.line_words(text)):
-                    if words:
-                        line = b" ".join(words)
-                        digest = xxhash.xxh3_128_digest(line)
-                        out["id"].append(i)
-                        out["h"].append(h)
-                        out["line"].append(n)
-                        out["digest"].append(digest)
-                        if digest not in new:
-                            new[digest] = len(hashed)
-                            hashed.append(own.tokens(line, words))
-            keys = [k.tobytes() for k in own.signatures(hashed, cache)]
-            yield {**out, "sim": [keys[new[d]] for d in out["digest"]]}
-
-    return common.arrow_map(rows, run, f"id {kind}, h long, line int, digest binary, sim binary")
-
-
-#: What is sent of a line for each band. The node is the first half of the digest.
+            lines, count = own.lines_of(batch.column(2).to_pylist())
+            kept = np.fromiter(map(len, lines), np.int64, len(lines)) > 0
+            owner = np.repeat(np.arange(len(count)), count)
+            number = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count)
+            lines = [x for x in lines if x]
+            digests, pairs = own.digests_of(lines)
+            new = dict(zip(digests, lines))
+            keys = own.signatures(list(new.values()))
+            place = {d: k for k, d in enumerate(new)}
+            data = np.ascontiguousarray(keys[[place[d] for d in digests]]) if digests else keys
+            width = 4 * own.BANDS
+            sim = pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(np.arange(len(digests) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(data)])
+            at = pa.array(owner[kept])
+            yield {"id": batch.column(0).take(at), "h": batch.column(1).take(at), "line": number[kept].astype(np.int32), "node": pairs[:, 0], "rest": pairs[:, 1], "sim": sim}
+
+    return common.arrow_map(rows, run, f"id {kind}, h long, line int, node long, rest long, sim binary")
+
+
+#: What is sent of a line for each band.
 ROW = np.dtype([("key", np.uint32), ("node", np.int64)])
 
 
-def node_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def _pack(batches, buckets: int):
     """(part, band, data) of the lines under each band."""
-    digests, sims = [], []
+    nodes, sims, waiting = [], [], 0
 
     def out():
-        node = np.frombuffer(b"".join(digests), np.int64)[::2]
-        node, first = np.unique(node, return_index=True)
+        node, first = np.unique(np.concatenate(nodes), return_index=True)
         keys = np.frombuffer(b"".join(sims), np.uint32).reshape(-1, BANDS)[first]
         rows = np.empty(len(node), ROW)
         rows["node"] = node
@@ -248,35 +321,46 @@ def _pack(batches, buckets: int):
             yield {"part": used, "band": [band] * len(used), "data": [own[at[p] : at[p + 1]].tobytes() for p in used]}
 
     for batch in batches:
-        digests += batch.column(0).to_pylist()
+        nodes.append(batch.column(0).to_numpy(zero_copy_only=False))
         sims += batch.column(1).to_pylist()
-        if len(digests) >= GATHER:
+        waiting += batch.num_rows
+        if waiting >= GATHER:
             yield from out()
-            digests, sims = [], []
-    if digests:
+            nodes, sims, waiting = [], [], 0
+    if waiting:
         yield from out()
 
 
 def _near(batches):
-    """(key, n, node) of the n > 1 nodes that share a key."""
+    """(a, b, n, band, nodes): sets of the n > 1 nodes that share a key, with a number (a, b) that is a set's own."""
     found: dict[int, list] = {}
     for batch in batches:
         for band, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             found.setdefault(band, []).append(np.frombuffer(data, ROW))
-    for band in list(found):
+    for band in sorted(found):
         rows = np.concatenate(found.pop(band))
         key = rows["key"]
         order = np.argsort(key, kind="stable")
         key = key[order]
         twin = np.append(key[1:] == key[:-1], False)
         twin[1:] |= twin[:-1].copy()
-        rows = rows[order[twin]]
-        rows = np.unique(rows)  # copies of a line meet here once a task
-        head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1])[: len(rows)])
+        rows = np.unique(rows[order[twin]])  # copies of a line meet here once a task
+        if not len(rows):
+            continue
+        head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
         size = np.diff(np.append(head, len(rows)))
-        n = np.repeat(size, size)
-        rows, n = rows[n > 1], n[n > 1]
-        yield {"key": rows["key"].astype(np.int64) | band << 32, "n": n, "node": rows["node"]}
+        node = rows["node"].view(np.uint64) if rows["node"].flags.c_contiguous else np.ascontiguousarray(rows["node"]).view(np.uint64)
+        a, b = (np.add.reduceat(common.mix64(node * np.uint64(m) + np.uint64(m)), head).view(np.int64) for m in (BASE, 0xD1B54A32D192ED03))
+        many = np.flatnonzero(size > 1)
+        nodes = [node[h : h + n].tobytes() for h, n in zip(head[many].tolist(), size[many].tolist())]
+        yield {"a": a[many], "b": b[many], "n": size[many], "band": np.full(len(many), band), "nodes": nodes}
+
+
+def _members(batches):
+    for batch in batches:
+        n = batch.column(1).to_numpy(zero_copy_only=False)
+        node = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+        yield {"key": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n), "n": np.repeat(n, n), "band": np.repeat(batch.column(2).to_numpy(zero_copy_only=False), n), "node": node}
 
 
 def bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -307,7 +391,7 @@ def bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _texts(rows: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
-    """(node, digest, norm): the distinct lines whose node has a bit in `wanted`: those asked for and a few others."""
+    """(node, rest, norm): the distinct lines whose node has a bit in `wanted`: those asked for and a few others."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -315,21 +399,16 @@ def _texts(rows: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
 
         there, mask, seen = shared.value, (1 << bits) - 1, set()
         for batch in batches:
-            found = {}
-            for t in batch.column(0).to_pylist():
-                for words in own.line_words(t):
-                    if words:
-                        line = b" ".join(words)
-                        digest = xxhash.xxh3_128_digest(line)
-                        low = own.node_of(digest) & mask
-                        if there[low >> 3] >> (7 - (low & 7)) & 1 and digest not in seen:
-                            found[digest] = line
-                            seen.add(digest)
+            lines = list(dict.fromkeys(own.lines_of(batch.column(0).to_pylist())[0]))
+            digests, pairs = own.digests_of(lines)
+            low = pairs[:, 0] & mask
+            hit = [k for k in np.flatnonzero(there[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).tolist() if lines[k] and digests[k] not in seen]
+            seen.update([digests[k] for k in hit])
             if len(seen) > 300_000:
                 seen = set()
-            yield {"node": [own.node_of(d) for d in found], "digest": list(found), "norm": [x.decode("utf-8") for x in found.values()]}
+            yield {"node": pairs[hit, 0], "rest": pairs[hit, 1], "norm": [lines[k].decode("utf-8") for k in hit]}
 
-    return common.arrow_map(rows.select("text"), run, "node long, digest binary, norm string").dropDuplicates(["digest"])
+    return common.arrow_map(rows.select("text"), run, "node long, rest long, norm string").dropDuplicates(["node", "rest"])
 
 
 def _verify(batches):
@@ -348,26 +427,36 @@ def _verify(batches):
     yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
 
 
-def _round(cells: DataFrame, texts: DataFrame, roots: DataFrame | None, partitions: int, first: int, last: int, inside: bool) -> DataFrame:
-    """Links (a, b) between groups that the buckets of bands first to last hold."""
-    band = F.shiftright("key", 32)
-    done = max([stop for _, stop, part in ROUNDS if part], default=0)
-    part = cells.where((band >= first) & (band < last) if inside else (band >= done) | (F.col("n") > CHUNK))
+#: A line's digest as the components know it.
+DIGEST = "unhex(concat(lpad(hex(node), 16, '0'), lpad(hex(rest), 16, '0')))"
+
+
+def _rooted(texts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """texts with their digest and their group's smallest one, which is in two integers too."""
+    texts = texts.withColumn("digest", F.expr(DIGEST))
     if roots is None:
-        todo = part.withColumn("root", F.col("digest"))
-    else:
-        part = part.join(roots.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        part = common.materialize(part, "part")
-        open_ = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        todo = part.join(open_, "key", "left_semi")
+        return texts.selectExpr("*", "digest as root", "node as root_node", "rest as root_rest")
+    half = lambda i: F.conv(F.substring(F.hex("root"), 1 + 16 * i, 16), 16, -10).cast("long")
+    texts = texts.join(roots.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    return texts.select("*", half(0).alias("root_node"), half(1).alias("root_rest"))
+
+
+def _round(cells: DataFrame, texts: DataFrame, roots: DataFrame | None, partitions: int) -> DataFrame:
+    """Links (a, b) between groups: of the first bands' sets without roots, else of all that is open."""
+    texts = _rooted(texts, roots)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("digest", F.lit(first)), chunks).cast("int")
-    if inside:
-        todo = todo.withColumn("pair", own.cast("long"))
+    own = F.pmod(F.xxhash64("node", "key"), chunks).cast("int")
+    if roots is None:
+        todo = cells.where(F.col("band") < FIRST).withColumn("pair", own.cast("long"))
     else:
+        texts = common.materialize(texts, "rooted")
+        part = cells.where((F.col("band") >= FIRST) | (F.col("n") > CHUNK))
+        ends = [F.min("root_node") != F.max("root_node"), F.min("root_rest") != F.max("root_rest")]
+        open_ = part.join(texts.select("node", "root_node", "root_rest"), "node").groupBy("key").agg((ends[0] | ends[1]).alias("open")).where("open").select("key")
+        todo = part.join(common.materialize(open_, "open"), "key", "left_semi")
         todo = todo.withColumn("other", F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
         todo = todo.withColumn("pair", F.least(own, "other").cast("long") * (1 << 31) + F.greatest(own, F.col("other")))
-    todo = todo.join(texts.select("digest", "norm"), "digest").select("key", "pair", "digest", "root", "norm")
+    todo = todo.join(texts.select("node", "digest", "root", "norm"), "node").select("key", "pair", "digest", "root", "norm")
     todo = todo.repartition(partitions, "key", "pair").sortWithinPartitions("key", "pair", "digest")
 
     def verify(batches):
@@ -375,16 +464,13 @@ def _round(cells: DataFrame, texts: DataFrame, roots: DataFrame | None, partitio
 
         yield from line_dedup._verify(batches)
 
-    out = common.materialize(common.arrow_map(todo, verify, "a binary, b binary"), "links")
-    if roots is not None:
-        common.discard(part)
-    return out
+    return common.materialize(common.arrow_map(todo, verify, "a binary, b binary"), "links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Occurrences (id, h, line, digest), and (digest, copies, root, first) of lines in groups of over one occurrence.
+    """Occurrences (id, h, line, node, rest), and (node, rest, copies, root) of lines that occur or are linked more than once.
 
-    h: the hash of the row's text; root: the smallest digest of the group; first: the (id, h, line) that is kept.
+    h: the hash of the row's text; node, rest: a line's digest; root: the smallest digest of the group.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -404,33 +490,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 
         yield from line_dedup._near(batches)
 
-    packed = common.arrow_map(found.select("digest", "sim"), pack, "part int, band int, data binary").repartition(partitions, "part")
-    close = common.materialize(common.arrow_map(packed, near, "key long, n long, node long"), "close")
-    bits = min(MOST_BITS, max(16, int(2 * close.count()).bit_length()))
-    texts = common.materialize(_texts(rows, bitmap(close, bits), bits), "texts")
-    cells = common.materialize(close.join(texts.select("node", "digest"), "node").select("key", "n", "digest"), "cells")
-    common.discard(close)
-    edges = roots = None
-    for round_ in ROUNDS:
-        new = _round(cells, texts, roots, partitions, *round_)
-        edges = new if edges is None else edges.unionByName(new)
-        roots = common.components(edges)
-    common.discard(cells)
-    common.discard(texts)
-    lines = found.select("id", "h", "line", "digest")
-    each = lines.groupBy("digest").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("copies"))
-    each = each.join(roots.select(F.col("a").alias("digest"), F.col("b").alias("root")), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    each = common.materialize(each.select("digest", "copies", "root", "first"), "each")
-    linked = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("n")).where("n > 1").select("root", "first")
-    grouped = common.materialize(each.drop("first").join(linked, "root"), "groups")
-    common.discard(each)
-    return lines, grouped
+    def members(batches):
+        from lexspark.llm import line_dedup
+
+        yield from line_dedup._members(batches)
+
+    packed = common.arrow_map(found.select("node", "sim"), pack, "part int, band int, data binary").repartition(partitions, "part")
+    sets = common.arrow_map(packed, near, "a long, b long, n long, band int, nodes binary")
+    sets = sets.groupBy("a", "b").agg(F.first("n").alias("n"), F.min("band").alias("band"), F.first("nodes").alias("nodes")).select(F.col("a").alias("key"), "n", "band", "nodes")
+    cells = common.materialize(common.arrow_map(sets, members, "key long, n long, band int, node long"), "cells")
+    bits = min(MOST_BITS, max(16, int(4 * cells.count()).bit_length()))
+    texts = common.materialize(_texts(rows, bitmap(cells, bits), bits), "texts")
+    first = _round(cells, texts, None, partitions)
+    second = _round(cells, texts, common.components(first), partitions)
+    roots = common.components(first.unionByName(second))
+    for df in (cells, texts, first, second):
+        common.discard(df)
+    lines = found.select("id", "h", "line", "node", "rest")
+    each = lines.groupBy("node", "rest").agg(F.count("*").alias("copies"))
+    digest = [F.conv(F.substring(F.hex("digest"), 1 + 16 * i, 16), 16, -10).cast("long").alias(name) for i, name in enumerate(("node", "rest"))]
+    linked = roots.select(F.col("a").alias("digest"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("digest"), F.col("b").alias("root")).distinct()).select(*digest, "root")
+    named = each.join(linked, ["node", "rest"], "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", F.expr(DIGEST)))
+    return lines, common.materialize(named, "groups")
 
 
 def marked(lines: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(id, h, line, root, gone) of the lines in groups; gone: whether the line is dropped."""
-    first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")) & (F.col("first.line") == F.col("line"))
-    return common.split_join(lines, grouped, ["digest"], "copies", lines.count(), "inner").select("id", "h", "line", "root", (~first).alias("gone"))
+    """(id, h, line, root, gone) of the lines in groups; gone: whether the line is dropped, as every one but the first is."""
+    total = lines.count()
+    own = common.materialize(common.split_join(lines, grouped, ["node", "rest"], "copies", total, "inner").select("id", "h", "line", "root"), "own")
+    first = own.groupBy("root").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("n"))
+    out = common.split_join(own, common.materialize(first, "first"), ["root"], "n", total, "inner")
+    is_first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")) & (F.col("first.line") == F.col("line"))
+    return out.select("id", "h", "line", "root", (~is_first).alias("gone"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
