@@ -124,7 +124,7 @@ def root_class_holdout(pairs: DataFrame, seed: int, dev: float = 0.1, test: floa
                 left[r] -= 1
                 classes[c] -= 1
     table = spark.createDataFrame(list(part.items()), f"{key} string, partition string")
-    return pairs.select("pair_id", key).join(F.broadcast(table) if len(part) < 100_000 else table, key).select("pair_id", "partition")
+    return pairs.select("pair_id", key).join(table, key).select("pair_id", "partition")
 
 
 def exposed_cells(lexemes: DataFrame, k: int, seed: int, mode: str = "hash") -> DataFrame:
@@ -165,16 +165,15 @@ def eligible_pairs(view: DataFrame) -> DataFrame:
     return view.where((F.col("condition") == "voc") & F.col("analysis__eligible_default")).dropDuplicates(["pair_id"])
 
 
-def _shared(pairs: DataFrame, column: str, a: list[str], b: list[str], label: str) -> DataFrame:
-    """Values of a column that occur in partitions of both lists."""
-    x = pairs.where(F.col("partition").isin(*a)).select(column).where(F.col(column).isNotNull()).distinct()
-    y = pairs.where(F.col("partition").isin(*b)).select(column).where(F.col(column).isNotNull()).distinct()
-    return x.join(y, column).select(F.lit(label).alias("violation"), F.col(column).cast("string").alias("key"))
+def _crossings(pairs: DataFrame, checks: list[tuple[str, str, list[str], list[str], bool]]) -> DataFrame:
+    """(violation, key) for checks (label, column, a, b, both), all in one pass.
 
-
-def _missing(pairs: DataFrame, column: str, part: str, label: str) -> DataFrame:
-    x = pairs.where(F.col("partition") == part).select(column).where(F.col(column).isNotNull()).distinct()
-    return x.join(pairs.where("partition = 'train'").select(column).distinct(), column, "left_anti").select(F.lit(label).alias("violation"), F.col(column).cast("string").alias("key"))
+    A value of the column that occurs in partitions of `a` is a violation if it occurs in those of `b` too, or, where `both` is false, if it doesn't.
+    """
+    of = F.col("partition")
+    rows = F.array(*[F.struct(F.lit(label).alias("violation"), F.col(c).cast("string").alias("key"), of.isin(*a).alias("a"), of.isin(*b).alias("b"), F.lit(both).alias("both")) for label, c, a, b, both in checks])
+    seen = pairs.select(F.explode(rows).alias("r")).select("r.*").where("key is not null and (a or b)")
+    return seen.groupBy("violation", "key", "both").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).where("a and b = both").select("violation", "key")
 
 
 def violations(strategy: str, assignment: DataFrame, view: DataFrame, flag: str | None = None, exposed: DataFrame | None = None, k: int | None = None) -> DataFrame:
@@ -185,20 +184,21 @@ def violations(strategy: str, assignment: DataFrame, view: DataFrame, flag: str
     out = [twice.select(F.lit("pair in two partitions").alias("violation"), F.col("pair_id").alias("key"))]
     bad = pairs.where((F.col("partition") != "excluded") & ~F.coalesce("analysis__eligible_default", F.lit(False)))
     out.append(bad.select(F.lit("ineligible pair assigned").alias("violation"), F.col("pair_id").alias("key")))
+    checks: list = []
     group, root, key = "analysis__orthographic_root_group_id", "analysis__root_id", "analysis__root_binyan_key"
     if strategy in ("root_holdout", "class_ood"):
-        out += [_shared(pairs, c, ["train"], [p], f"{c} shared by train and {p}") for c in (group, root) for p in ("dev", "test")]
+        checks += [(f"{c} shared by train and {p}", c, ["train"], [p], True) for c in (group, root) for p in ("dev", "test")]
     if strategy == "root_holdout":
-        out.append(_shared(pairs, group, ["dev"], ["test"], "root group shared by dev and test"))
+        checks.append(("root group shared by dev and test", group, ["dev"], ["test"], True))
     if strategy == "class_ood":
         has = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
         wrong = ((F.col("partition") == "test") & ~has) | (F.col("partition").isin("train", "dev") & has)
         out.append(pairs.where(wrong).select(F.lit("property on the wrong side").alias("violation"), F.col("pair_id").alias("key")))
     if strategy == "lexeme_holdout":
-        out += [_shared(pairs, c, ["train"], ["dev", "test"], f"{c} shared with train") for c in (key, "lexeme_id")]
+        checks += [(f"{c} shared with train", c, ["train"], ["dev", "test"], True) for c in (key, "lexeme_id")]
     if strategy == "root_binyan_holdout":
-        out += [_missing(pairs, c, p, f"{c} of {p} isn't in train") for c in (root, "analysis__binyan") for p in ("dev", "test")]
-        out += [_shared(pairs, c, ["train"], ["dev", "test"], f"{c} shared with train") for c in (key, "lexeme_id")]
+        checks += [(f"{c} of {p} isn't in train", c, [p], ["train"], False) for c in (root, "analysis__binyan") for p in ("dev", "test")]
+        checks += [(f"{c} shared with train", c, ["train"], ["dev", "test"], True) for c in (key, "lexeme_id")]
     if strategy == "cell_k":
         shown = exposed.withColumn("_shown", F.lit(True))
         cells = pairs.join(shown.select("lexeme_id", F.col("cell").alias("source_cell"), F.col("_shown").alias("_s")), ["lexeme_id", "source_cell"], "left")
@@ -207,7 +207,9 @@ def violations(strategy: str, assignment: DataFrame, view: DataFrame, flag: str
         wrong = ((F.col("partition") == "train") & ~(s & t)) | (F.col("partition").isin("dev", "test") & (t | ~s))
         out.append(cells.where(wrong).select(F.lit("cell on the wrong side").alias("violation"), F.col("pair_id").alias("key")))
         out.append(exposed.groupBy("lexeme_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != k).select(F.lit("wrong number of exposed cells").alias("violation"), F.col("lexeme_id").alias("key")))
-        out.append(_shared(pairs, "lexeme_id", ["dev"], ["test"], "lexeme shared by dev and test"))
+        checks.append(("lexeme shared by dev and test", "lexeme_id", ["dev"], ["test"], True))
+    if checks:
+        out.append(_crossings(pairs, checks))
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
