@@ -2,8 +2,8 @@
 
 Pre-tokens come from pretoken.slices (class arrays and a transition-function scan); each
 distinct slice is merged once per worker and remembered as the little-endian bytes of its
-ids; byte offsets of every id are retained by encode() and decoding concatenates the bytes
-of the vocabulary. One pass over the documents, no shuffle.
+ids. The byte offset of every id is retained with the ids, and decoding copies each id's bytes to its
+offset, all at once. One pass over the documents, no shuffle.
 
 Nulls: a null text counts as empty (no ids). Very long texts are encoded whole; a text is
 one row, so memory is bounded by the longest text plus `limit` cached slices. Repeated rows
@@ -85,7 +85,12 @@ class PieceCache(dict):
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.cache = PieceCache(ranks)
-        self.tokens = {i: b for b, i in ranks.items()}
+        tokens = {i: b for b, i in ranks.items()}
+        parts = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+        #: Bytes of all tokens in a row, where each begins, and its length.
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian uint32 bytes."""
@@ -98,14 +103,21 @@ class Codec:
             k += n
         return out
 
+    def offsets(self, ids: bytes) -> np.ndarray:
+        """The byte offsets in the UTF-8 text at which ids begin, and its length: one more than there are ids."""
+        return np.concatenate([[0], np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])])
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the byte offset in the UTF-8 text at which each begins."""
-        ids = np.frombuffer(self.encode_many([text])[0], "<u4")
-        sizes = np.fromiter((len(self.tokens[i]) for i in ids.tolist()), np.int64, len(ids))
-        return ids, np.cumsum(sizes) - sizes
+        ids = self.encode_many([text])[0]
+        return np.frombuffer(ids, "<u4"), self.offsets(ids)[:-1]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+    def decode(self, ids: bytes, offsets: np.ndarray) -> bytes:
+        """The bytes of ids, each put at its offset."""
+        ids, size = np.frombuffer(ids, "<u4"), np.diff(offsets)
+        if len(size) != len(ids) or (size != self.sizes[ids]).any():
+            raise ValueError("offsets are not those of the ids")
+        return self.bytes[np.repeat(self.starts[ids] - offsets[:-1], size) + np.arange(size.sum())].tobytes()
 
 
 def ship_file(spark, path: str) -> str:
@@ -139,9 +151,10 @@ def codec(name: str) -> Codec:
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes whole texts, then decodes the ids again.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, offsets]): encodes whole texts, then decodes the ids again.
 
-    vocabulary: path of a rank file on the driver. ids: little-endian uint32 as binary.
+    vocabulary: path of a rank file on the driver. ids: little-endian uint32 as binary; offsets: of each id in
+    the UTF-8 text, and its length, little-endian int64 as binary.
     """
     common.prepare(docs.sparkSession)
     name = ship_file(docs.sparkSession, vocabulary)
@@ -153,14 +166,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [x for part in bpe.chunks(texts) for x in own.encode_many(part)]
+            offsets = [own.offsets(x) for x in ids]
             out = {
                 "doc_id": batch.column(0).to_pylist(),
                 "n_tokens": [len(x) // 4 for x in ids],
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(own.decode(x, at)).hexdigest() for x, at in zip(ids, offsets)],
             }
-            yield out | ({"ids": ids} if with_ids else {})
+            yield out | ({"ids": ids, "offsets": [at.astype("<i8").tobytes() for at in offsets]} if with_ids else {})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return common.arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return common.arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, offsets binary" * with_ids)

@@ -10,14 +10,17 @@ be there at all, most alike first; none is left out for a low cosine. As to what
 to occur in the piece of text, which postings of those words tell without loss. A window is confirmed by the longest common subsequence of words: LCS_SURE of the item's
 words, or LCS_LEAST of them along with ANSWER_LEAST of the answer's, so that paraphrases count if they give the answer away. For items
 without an answer the last ANSWER_SHARE of the item stands for it, or else RUN of the item's words in an unbroken run, wherever
-they are in it: LCS_LEAST alone is met by chance in texts of few different words.
+they are in it: LCS_LEAST alone is met by chance in texts of few different words. In items of fewer than LONG words,
+of which three or four in order stand in many texts, only LCS_SURE counts.
+
+Items of fewer than MIN_WORDS words, which are no passages, are found where all their words stand in a row.
 
 Items are taken in blocks of BLOCK_ITEMS, each with its own map pass, so that what is
 broadcast is bounded: DIMS x RANK floats, and a block's vectors and words. Items of over PASSAGE words are
-searched by their parts. Partial sums meet by feature block, not on the driver, which gets
+searched by their parts. Partial sums, in fixed point so that their order doesn't matter, meet by feature block, not on the driver, which gets
 DIMS x (RANK + EXTRA) numbers whatever the input.
 
-Nulls: documents with null or empty text and items with none or fewer than MIN_WORDS words match
+Nulls: documents with null or empty text and items without words match
 nothing; null ids are returned as they are. Repeated rows are matched each. Very long
 texts are searched whole, in pieces that overlap. Empty tables give an empty result. Other columns
 are ignored, whatever their names.
@@ -34,14 +37,21 @@ from lexspark.llm.toxicity import WordCache
 
 DIMS, RANK, EXTRA, PASSAGE = 8192, 24, 8, 64
 BLOCK_ITEMS, MIN_WORDS = 20_000, 5
+#: Partial sums are whole numbers of 1 / FIXED.
+FIXED = 1 << 24
 LCS_SURE, LCS_LEAST, ANSWER_LEAST, ANSWER_SHARE = 0.8, 0.6, 0.6, 0.25
-RUN = 5
+RUN, LONG = 5, 10
 #: Words that are searched at a time, blocks of which windows are made, and bits by which words are looked up.
 PIECE, STEP, LOOKUP = 512, 8, 20
 #: Windows in words and the longest item for each.
 WINDOWS = tuple((n, n) for n in range(8, PASSAGE + 1, 8))
 
 
+def least(n: int) -> float:
+    """How many of an item's n words a text has to hold in order at least."""
+    return (LCS_LEAST if n >= LONG else LCS_SURE) * n - 1e-9
+
+
 def word_ids(text: str | None, cache: WordCache) -> np.ndarray:
     h = common.hash_words(common.words_of(text), cache)
     return (h[h != 0] >> np.uint64(32)).astype(np.uint32)
@@ -137,20 +147,21 @@ def latent_model(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for part in own.groups_of([np.frombuffer(b, np.uint32) for b in batch.column(0).to_pylist()]):
                 own.partial_product(part, idf, omega, total)
         step = own.DIMS // parts
+        total = np.rint(total * own.FIXED).astype(np.int64)
         yield {"part": list(range(parts)), "x": [total[i * step : (i + 1) * step].tobytes() for i in range(parts)]}
 
     def add(batches):
         sums = {}
         for batch in batches:
             for k, x in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(x, np.float64)
+                x = np.frombuffer(x, np.int64)
                 sums[k] = sums[k] + x if k in sums else x
         yield {"part": list(sums), "x": [v.tobytes() for v in sums.values()]}
 
     sums = common.arrow_map(common.arrow_map(words.select("words"), product, "part int, x binary").repartition(parts, "part"), add, "part int, x binary")
     total = np.zeros((parts, DIMS // parts, RANK + EXTRA))
     for r in sums.toLocalIterator():
-        total[r["part"]] = np.frombuffer(r["x"], np.float64).reshape(total.shape[1:])
+        total[r["part"]] = np.frombuffer(r["x"], np.int64).reshape(total.shape[1:]) / FIXED
     vectors, sigma = nystroem(total.reshape(DIMS, -1), omega.astype(np.float64), RANK)
     return (idf[:, None] * vectors / np.maximum(sigma, 1e-12)).astype(np.float32), idf
 
@@ -225,6 +236,11 @@ class Items:
     def __init__(self, items: list[tuple], projection: np.ndarray, idf: np.ndarray):
         """items: (item_id, word ids, answer's word ids or None)"""
         self.sets, self.checks = [], {}
+        self.short = {}
+        for i, w, _ in items:
+            if 0 < len(w) < MIN_WORDS:
+                self.short.setdefault(int(w[0]), []).append((i, w.tolist()))
+        self.first = np.array(sorted(self.short), np.uint32)
         parts = [(i, w[k : k + PASSAGE], a, w) for i, w, a in items if len(w) >= MIN_WORDS for k in range(0, max(1, len(w) - MIN_WORDS), PASSAGE)]
         shortest, ranked, missed = 0, [], []
         for window, longest in WINDOWS:
@@ -233,7 +249,7 @@ class Items:
             for p in own:
                 words = np.unique(p[1])
                 ranked.append(words[np.argsort(-idf[words % DIMS], kind="stable")])
-                missed.append(int((1 - LCS_LEAST) * len(p[1]) + 1e-9))
+                missed.append(int(len(p[1]) - least(len(p[1]))))
             vectors = np.array([projection[p[1] % DIMS].sum(0) for p in own], np.float32).reshape(len(own), projection.shape[1])
             self.sets.append((window, unit(vectors), own))
         few = [w[: m + max(2, len(w) // 4)] for w, m in zip(ranked, missed)]
@@ -267,18 +283,29 @@ class Items:
     def confirm(self, part: tuple, region: list[int], there: set) -> tuple[float, float] | None:
         """Shares of item and answer that the region holds in order, if they are enough; there: the region as a set."""
         masks, n, answer_masks, m, given = self.check(part)
-        # Of a subsequence of LCS_LEAST * n words at most n - len(masks) repeat one that is in it.
-        if len(masks.keys() & there) < LCS_LEAST * n - (n - len(masks)):
+        # Of a subsequence of least(n) words at most n - len(masks) repeat one that is in it.
+        if len(masks.keys() & there) < least(n) - (n - len(masks)):
             return None
-        share = lcs(masks, n, region) / n
-        if share < LCS_LEAST:
+        found = lcs(masks, n, region)
+        if found < least(n):
             return None
+        share = found / n
         answer = lcs(answer_masks, m, region) / m
-        return (share, answer) if share >= LCS_SURE or answer >= ANSWER_LEAST or not given and has_run(masks, region) else None
+        return (share, answer) if share >= LCS_SURE - 1e-9 or answer >= ANSWER_LEAST or not given and has_run(masks, region) else None
+
+    def phrases(self, words: np.ndarray) -> dict:
+        """Items of few words that stand in the words as a whole."""
+        out: dict = {}
+        if len(self.first):
+            for at in np.flatnonzero(np.isin(words, self.first)).tolist():
+                for item, own in self.short[int(words[at])]:
+                    if item not in out and words[at : at + len(own)].tolist() == own:
+                        out[item] = (1.0, 1.0, 1.0)
+        return out
 
     def search(self, docs: list[np.ndarray], projection: np.ndarray) -> list[dict]:
         """For each document, item_id -> (cosine, share of the item, share of the answer) of a confirmed window."""
-        out: list[dict] = [{} for _ in docs]
+        out: list[dict] = [self.phrases(words) for words in docs]
         owner, pieces = [], []
         for d, words in enumerate(docs):
             for start in range(0, max(1, len(words) - 2 * PASSAGE), PIECE - 2 * PASSAGE):
@@ -304,7 +331,7 @@ class Items:
                 for k, part in enumerate(parts[p] for p in some.tolist()):
                     masks, n, *_ = self.check(part)
                     # What no window of the piece can hold, as the piece itself doesn't.
-                    if part[0] in found or lcs(masks, n, whole) < LCS_LEAST * n - 1e-9:
+                    if part[0] in found or lcs(masks, n, whole) < least(n):
                         continue
                     for at in np.argsort(-cosine[:, k], kind="stable").tolist():
                         a = int(first[at]) * STEP
@@ -372,5 +399,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """docs without those into which an item leaked; rows with a null id stay only if their text is clean too."""
     found = common.materialize(leaks(docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc_id", F.to_json("doc_id")), benchmark), "leaks")
     key = F.to_json(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    (name,) = common.free_names(docs, "gone")
+    gone = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, key == F.col(name), "left_anti")

@@ -17,8 +17,6 @@ go to the first in order. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +26,11 @@ from lexspark.llm import common
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 192, 6, 16, (2, 3, 4)
 SAMPLE_ROWS, WINDOWS, STEPS, BATCH, PIECE = 6_000, 4, 500, 96, 32
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a general category L*: numerals and signs that count as word characters are not."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -129,7 +131,7 @@ class Unfolded:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list = [("und", 0.0)] * len(texts)
-        todo = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        todo = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         parts = [windows_of(texts[i].encode("utf-8").lower()) for i in todo]
         if not todo:
             return out
@@ -149,9 +151,9 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     """learn: column over docs that is true for rows that may be learnt from."""
     spark = docs.sparkSession
     common.prepare(spark)
-    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = usable.select(F.col(id_col).alias("_id")).distinct().orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(SAMPLE_ROWS)
-    rows = usable.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
+    ids = usable.select("id").distinct().orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE_ROWS)
+    rows = usable.join(F.broadcast(ids), "id").select("text", "lang")
 
     def cut(batches):
         from lexspark.llm import langid as own
@@ -159,7 +161,7 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out = {"x": [], "lang": []}
             for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                if text and own.LETTER.search(text):
+                if text and own.has_letter(text):
                     data = text.encode("utf-8").lower()
                     found = own.sample_windows(data, xxhash.xxh64_intdigest(data))
                     out["x"] += found

@@ -4,7 +4,7 @@ Tier one is a compact open-addressing hash table, broadcast, of the lengths (num
 tokens) of frequent pre-tokens of up to seven bytes: a pre-token's bytes are its key, so that
 a hit is exact, and whole batches are looked up in numpy. Misses are encoded once per worker and
 remembered in a bounded cache. Nothing is shuffled. The table only saves time: it is filled
-from a bounded sample (SAMPLE_ROWS), and counts do not depend on what is in it.
+from a bounded sample (SAMPLE_ROWS, SAMPLE_BYTES), and counts do not depend on what is in it.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens). Whole texts of any length are
 counted. Repeated rows are counted each. An empty table gives an empty result; other columns
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, common, pretoken
 
-#: Rows of which frequent pre-tokens are taken, and slots of the table (12 bytes each).
-SAMPLE_ROWS = 1_000
+#: Texts of which frequent pre-tokens are taken and their greatest length, and slots of the table (12 bytes each).
+SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 1 << 15
 SLOTS = 1 << 17
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,9 +172,12 @@ def merger_of(name: str) -> Merger:
 
 
 def frequent_lengths(docs: DataFrame, merger: Merger, text_col: str) -> FrequentLengths:
-    """The table from the pre-tokens of at most SAMPLE_ROWS texts, most frequent first, half full at most."""
+    """The table from the pre-tokens of at most SAMPLE_ROWS texts of up to SAMPLE_BYTES, most frequent first, half full at most.
+
+    collect() on a limit reads partitions until there are enough rows, not all of them. Which texts they are matters for speed only.
+    """
     seen: Counter = Counter()
-    for row in docs.select(F.col(text_col).alias("t")).where("t is not null").limit(SAMPLE_ROWS).toLocalIterator():
+    for row in docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).limit(SAMPLE_ROWS).collect():
         data, at, _ = pretoken.slices(merger.segments(row["t"])[0])
         seen.update(short_keys(data, at).tolist())
     seen.pop(0, None)

@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams (operator 1).
 
 Features of a text are the hashes, to 32 bits, of its words, of pairs of neighbours and of
-pairs with one word between (present or not). A single pass of one task fits per-coordinate
-FTRL on a bounded sample of labelled rows (SAMPLE_ROWS, those of smallest md5 of their id);
-L1 leaves few nonzero weights, which are broadcast (never more than MAX_WEIGHTS pairs, 12
-bytes each, the largest ones). Scoring is one map over all documents without a shuffle.
+pairs with one word between (present or not). One task fits per-coordinate
+FTRL on a bounded sample of labelled rows (those of smallest md5 of their id: SAMPLE_ROWS at most, and
+SAMPLE_BYTES of text at most), in EPOCHS passes; L1, stated per example seen, leaves few nonzero weights. All of these are
+broadcast, 12 bytes each; the sample bounds them. Scoring is one map over all documents without a shuffle.
 
 Nulls: null or empty texts have no features and get the score of the bias alone; labels that are
 null are not used; a null id hashes as ''. If an id is labelled more than once, any toxic
@@ -16,18 +16,16 @@ pieces of a bounded number of words. Columns other than those named are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm import common
 
-SAMPLE_ROWS = 12_000
-MAX_WEIGHTS = 200_000
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 256 << 20
 #: A feature has to occur in as many texts of the sample.
-MIN_TEXTS = 8
-#: L1 is for a pass over a sample with 540 toxic texts or more; REFIT_L1 for the second fit, over the features that the first has kept.
-EPOCHS, UPDATES, ALPHA, BETA, L1, L2 = 3, 30_000, 1.0, 1.0, 12.0, 0.01
-REFIT_L1 = 0.1
+MIN_TEXTS = 3
+#: L1 for each example seen, and at all in the second fit, over the features that the first has kept.
+EPOCHS, ALPHA, BETA, L1, REFIT_L1, L2 = 8, 1.0, 1.0, 0.001, 0.1, 0.01
 PIECE_WORDS = 200_000
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
@@ -45,12 +43,12 @@ class WordCache(common.HashCache):
 
 
 def features(text: str | None, cache: WordCache) -> np.ndarray:
-    """Distinct 32-bit features of a whole text, ascending."""
-    words = common.words_of(text)
+    """Distinct 32-bit features of a whole text, ascending. Words of signs alone go before it is cut into pieces."""
+    all_ = common.hash_words(common.words_of(text), cache)
+    all_ = all_[all_ != 0]
     parts = []
-    for i in range(0, len(words), PIECE_WORDS):
-        h = common.hash_words(words[i : i + PIECE_WORDS + 2], cache)
-        h = h[h != 0]
+    for i in range(0, len(all_), PIECE_WORDS):
+        h = all_[i : i + PIECE_WORDS + 2]
         found = [h[:PIECE_WORDS], common.ngrams(h, 2)]
         if len(h) > 2:
             found.append(common.mix64(common.mix64(h[:-2] + common.PLACE[5]) * common.PLACE[6] + h[2:]))
@@ -80,24 +78,28 @@ def _ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, l1: float, passes: i
     return weights(z, n), bias
 
 
+def places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where in keys (ascending) those of the values are that occur there."""
+    if not len(keys):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at[keys[at] == values]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted features with nonzero weights, those weights, and the bias."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return np.empty(0, np.uint32), np.empty(0, np.float64), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    passes = int(np.clip(UPDATES // len(rows), EPOCHS, 40))  # more often over small samples
-    l1 = L1 * passes * min(1.0, y.sum() / 600 + 0.1)  # gradients add up over passes
     keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[counts >= np.clip(y.sum() / 12, 2, MIN_TEXTS)]
-    rows = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
-    w, _ = _ftrl(rows, y, len(keys), l1, passes, seed)
+    keys = keys[counts >= MIN_TEXTS]
+    rows = [places(keys, r) for r in rows]
+    w, _ = _ftrl(rows, y, len(keys), L1 * EPOCHS * len(rows), EPOCHS, seed)  # gradients add up over examples
     # L1 also shrinks what it keeps: the features kept are fitted again with little of it.
     kept = np.flatnonzero(w)
-    keys, rows = keys[kept], [np.searchsorted(kept, r[np.isin(r, kept, assume_unique=True)]) for r in rows]
-    w, bias = _ftrl(rows, y, len(keys), REFIT_L1, passes, seed + 1)
+    keys, rows = keys[kept], [places(kept, r) for r in rows]
+    w, bias = _ftrl(rows, y, len(keys), REFIT_L1, EPOCHS, seed + 1)
     used = np.flatnonzero(w)
-    if len(used) > MAX_WEIGHTS:
-        used = np.sort(used[np.argsort(-np.abs(w[used]), kind="stable")[:MAX_WEIGHTS]])
     return keys[used], w[used], bias
 
 
@@ -117,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         cache = common.worker_cache(toxicity.WordCache)
         for batch in batches:
-            yield {"y": batch.column(0).to_pylist(), "f": [toxicity.features(t, cache).tobytes() for t in batch.column(1).to_pylist()]}
+            y, order, texts = (c.to_pylist() for c in batch.columns)
+            yield {"y": y, "order": order, "size": [len((t or "").encode()) for t in texts], "f": [toxicity.features(t, cache).tobytes() for t in texts]}
 
     def learn_all(batches):
         from lexspark.llm import toxicity
@@ -130,8 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         keys, w, bias = toxicity.fit([rows[i] for i in order], np.array([y[i] for i in order], np.float64))
         yield {"k": [keys.tobytes()], "w": [w.tobytes()], "b": [bias]}
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("y", "text")
-    found = common.arrow_map(common.arrow_map(rows, sketch, "y int, f binary").repartition(1), learn_all, "k binary, w binary, b double").first()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("y", F.md5(F.col("id").cast("string")).alias("order"), "text")
+    rows = common.materialize(common.arrow_map(rows, sketch, "y int, order string, size long, f binary"), "sample")
+    # Rows in order of their md5 as long as their texts stay under SAMPLE_BYTES: sizes and digests of at most SAMPLE_ROWS ids are summed up.
+    upto = rows.groupBy("order").agg(F.sum("size").alias("size")).withColumn("sum", F.sum("size").over(Window.orderBy("order"))).where(F.col("sum") <= SAMPLE_BYTES)
+    rows = rows.join(F.broadcast(upto.select("order")), "order", "left_semi").select("y", "f")
+    found = common.arrow_map(rows.repartition(1), learn_all, "k binary, w binary, b double").first()
+    if found is None:  # a sample without any row
+        return fit([], np.empty(0))
     return np.frombuffer(found["k"], np.uint32), np.frombuffer(found["w"], np.float64), found["b"]
 
 
@@ -152,15 +161,14 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, score), or the columns `keep` of docs and the score under the name _toxicity."""
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """(doc_id, score), or the columns `keep` of docs and the score; name: of the score."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     common.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if keep is None else docs.select(*keep, F.col(text_col).alias("_lexspark_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) if keep is None else docs.select(*keep, F.col(text_col).alias(common.free_names(docs, "text")[0]))
     width = len(rows.columns) - 1
-    name = "score" if keep is None else "_toxicity"
 
     def run(batches):
         import pyarrow as pa

@@ -87,8 +87,24 @@ def members(stream):
         raise Broken("the last member is cut off")
 
 
+def parse_all(data: bytes):
+    """Headers and payload of each record in a member's bytes, framed by content length."""
+    at = 0
+    while at < len(data):
+        fields, size = _parse(data[at:] if at else data)
+        yield fields
+        at += size
+
+
 def parse(data: bytes) -> dict:
-    """Headers, payload and flags of a record's bytes; raises Broken where length or digest don't match."""
+    """Headers and payload of a single record's bytes; raises Broken where length or digest don't match."""
+    fields, size = _parse(data)
+    if size != len(data):
+        raise Broken("content length doesn't frame the block")
+    return fields
+
+
+def _parse(data: bytes) -> tuple[dict, int]:
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
@@ -96,14 +112,18 @@ def parse(data: bytes) -> dict:
     fields = {k.strip().lower().decode(): v.strip().decode("utf-8") for k, v in (x.split(b":", 1) for x in lines[1:])}
     n = int(fields["content-length"])
     block = rest[:n]
-    if len(block) != n or rest[n:] != b"\r\n\r\n":
+    if len(block) != n or rest[n : n + 4] != b"\r\n\r\n":
         raise Broken("content length doesn't frame the block")
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != "sha1:" + digest32(block):
+    if "warc-type" not in fields or "warc-record-id" not in fields:
+        raise Broken("no type or no id")
+    # Digests by other algorithms are not verified.
+    differs = lambda name, x: fields.get(name, "").startswith("sha1:") and fields[name].upper() not in ("SHA1:" + digest32(x), "SHA1:" + hashlib.sha1(x).hexdigest().upper())
+    if differs("warc-block-digest", block):
         raise Broken("the block's digest differs")
-    payload = block.partition(b"\r\n\r\n")[2]
-    if fields["warc-type"] == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != "sha1:" + digest32(payload):
+    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+    if fields["warc-type"] != "revisit" and differs("warc-payload-digest", payload):
         raise Broken("the payload's digest differs")
-    return fields | {"_payload": payload}
+    return fields | {"_payload": payload}, len(head) + 4 + n + 4
 
 
 def file_system(path: str):
@@ -161,7 +181,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
 
 
 def read(spark: SparkSession, archives: DataFrame, batch_rows: int = 256, with_payload: bool = False) -> DataFrame:
-    """Records of archives(path): type, page id, digests, sizes and, on request, payloads."""
+    """Records of archives(path): ids, type, digests, sizes and, on request, payloads.
+
+    Records of any type and origin are read, one or several to a member. page_id and refers_to are null where ids are not
+    write()'s; payload_bytes of a revisit is null where it isn't stated (resolved() takes it from what the record refers to).
+    """
     common.prepare(spark)
     n = max(1, archives.count())
     paths = archives.select("path").repartition(n)
@@ -175,19 +199,26 @@ def read(spark: SparkSession, archives: DataFrame, batch_rows: int = 256, with_p
                     fs, at = warc.file_system(path)
                     with fs.open_input_stream(at, compression=None) as stream:
                         for data in warc.members(stream):
-                            yield warc.parse(data)
+                            yield from warc.parse_all(data)
 
-        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *["payload"] * with_payload]
+        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "record_id", "refers_to_id", *["payload"] * with_payload]
         part = {k: [] for k in names}
-        number = lambda x: int(x) if (x := x.strip("<>").removeprefix(PREFIX)) else None
+
+        def number(x):
+            digits = x.strip("<>").removeprefix(PREFIX) if x and x.startswith(f"<{PREFIX}") else ""
+            return int(digits) if digits.lstrip("-").isdigit() else None
+
         for r in rows():
             revisit = r["warc-type"] == "revisit"
             part["page_id"].append(number(r["warc-record-id"]))
             part["url"].append(r.get("warc-target-uri"))
             part["record_type"].append(r["warc-type"])
-            part["payload_bytes"].append(int(r["x-payload-length"]) if revisit else len(r["_payload"]))
-            part["payload_digest"].append(r["warc-payload-digest"].removeprefix("sha1:"))
-            part["refers_to"].append(number(r["warc-refers-to"]) if revisit else None)
+            stated = r.get("x-payload-length")
+            part["payload_bytes"].append((int(stated) if stated else None) if revisit else len(r["_payload"]))
+            part["payload_digest"].append(r["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in r else None if revisit else warc.digest32(r["_payload"]))
+            part["refers_to"].append(number(r.get("warc-refers-to")) if revisit else None)
+            part["record_id"].append(r["warc-record-id"])
+            part["refers_to_id"].append(r.get("warc-refers-to"))
             if with_payload:
                 part["payload"].append(None if revisit else r["_payload"])
             if len(part["page_id"]) >= batch_rows:
@@ -195,4 +226,11 @@ def read(spark: SparkSession, archives: DataFrame, batch_rows: int = 256, with_p
                 part = {k: [] for k in names}
         yield part
 
-    return common.arrow_map(paths, run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload)
+    return common.arrow_map(paths, run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_id string" + ", payload binary" * with_payload)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """read()'s records, revisits without a stated length with that of the record they refer to (null if it isn't there)."""
+    known = records.where("record_type <> 'revisit'").groupBy("record_id").agg(F.max("payload_bytes").alias("n"))
+    known = known.select(F.col("record_id").alias("refers_to_id"), "n")
+    return records.join(known, "refers_to_id", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "n")).select(*records.columns)
