@@ -55,21 +55,17 @@ STEMS = {
 }
 
 
+def past_patterns(name: str) -> dict[str, str]:
+    """Cell -> pattern of a class's past."""
+    third, plain, heavy, vowel = STEMS[name]
+    of = {features.CITATION_CELL: third} | {cell: vowel + ending for cell, ending in VOWEL_ENDINGS.items()}
+    return of | {cell: (heavy if cell in ("PST.2MPL", "PST.2FPL") else plain) + ending for cell, ending in CONSONANT_ENDINGS.items()}
+
+
 def past_templates(spark: SparkSession, classes: list[str] | None = None, custom: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(binyan, cell, pattern): nine past cells of each class; custom adds patterns of own classes."""
-    rows = []
-    for name in classes or features.CLASSES:
-        third, plain, heavy, vowel = STEMS[name]
-        for cell in features.PAST_CELLS:
-            if cell == features.CITATION_CELL:
-                pattern = third
-            elif cell in VOWEL_ENDINGS:
-                pattern = vowel + VOWEL_ENDINGS[cell]
-            else:
-                pattern = (heavy if cell in ("PST.2MPL", "PST.2FPL") else plain) + CONSONANT_ENDINGS[cell]
-            rows.append((name, cell, pattern))
-    rows += [(name, cell, p) for name, cells in (custom or {}).items() for cell, p in cells.items()]
-    return spark.createDataFrame(rows, "binyan string, cell string, pattern string")
+    every = {name: past_patterns(name) for name in classes or features.CLASSES} | (custom or {})
+    return spark.createDataFrame([(name, cell, p) for name, cells in every.items() for cell, p in cells.items()], "binyan string, cell string, pattern string")
 
 
 def generate(spark: SparkSession, consonants: list[str], n_roots: int, seed: int, classes: list[str] | None = None, gap_rate: float = 0.0, custom: dict | None = None, version: str = "v1", repeat: bool = False) -> dict[str, DataFrame]:
