@@ -150,6 +150,78 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A number for each byte; a run of bytes is the sum of theirs times powers of BASE, so that any run comes from running sums.
+BYTES = mix64(np.arange(1001, 1257, dtype=np.uint64))
+BASE = 0x9E3779B97F4A7C15
+_powers: list = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n - 1, and the inverses of these, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        one = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20) - 1, x, np.uint64)]), dtype=np.uint64)
+        _powers[:] = [one(np.uint64(BASE)), one(np.uint64(pow(BASE, -1, 1 << 64)))]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def run_hashes(a: np.ndarray):
+    """A function from arrays of places (first, stop) to 64-bit hashes of those runs of the bytes a; equal runs have equal hashes."""
+    up, down = powers(max(len(a), 1))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[a] * up[: len(a)], dtype=np.uint64)])
+    return lambda first, stop: mix64((sums[stop] - sums[first]) * down[first])
+
+
+#: Bytes of text that word_hashes() takes at a time.
+SPAN = 1 << 19
+_GAP = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def _pieces(texts: list[bytes]):
+    """(number of the text, bytes) in order: texts, long ones cut behind white space."""
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > 2 * SPAN:
+            stop = max(t.rfind(b" ", at, at + SPAN), t.rfind(b"\n", at, at + SPAN)) + 1 or next((k + 1 for k in range(at + SPAN, len(t)) if _GAP[t[k]]), len(t))
+            yield i, t[at:stop]
+            at = stop
+        yield i, t[at:] if at else t
+
+
+def word_hashes(texts: list[str | None], strip: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the A-Z lower-cased words of all texts in a row, without the signs `strip` around them, and how many each text has.
+
+    Words of such signs alone are left out. All of a span's words are hashed at once, without a Python object for any of them.
+    """
+    core = ~(_GAP | np.isin(np.arange(256), list(strip)))
+    counts, out = np.zeros(len(texts), np.int64), [np.empty(0, np.uint64)]
+
+    def hashed(part: list[tuple[int, bytes]]):
+        a = np.frombuffer(b" ".join([t for _, t in part]), np.uint8)
+        end = np.cumsum([len(t) + 1 for _, t in part])
+        inside = np.concatenate([[False], ~_GAP[a], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        first, stop = edge[::2], edge[1::2]
+        if strip:
+            there = core[a]
+            solid, before = np.flatnonzero(there), np.concatenate([[0], np.cumsum(there, dtype=np.int32)])
+            lo, hi = before[first], before[stop]
+            keep = hi > lo
+            first, stop = solid[lo[keep]], solid[hi[keep] - 1] + 1
+        out.append(run_hashes(a)(first, stop))
+        np.add.at(counts, np.array([i for i, _ in part]), np.diff(np.searchsorted(first, np.concatenate([[0], end]))))
+
+    part, size = [], 0
+    for i, t in _pieces([(t or "").encode("utf-8").lower() for t in texts]):
+        part.append((i, t))
+        size += len(t)
+        if size >= SPAN:
+            hashed(part)
+            part, size = [], 0
+    if part:
+        hashed(part)
+    return np.concatenate(out), counts
+
+
 #: Odd multipliers that keep the place of a word within an n-gram.
 PLACE = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import common
-from lexspark.llm.toxicity import WordCache
+from lexspark.llm.toxicity import STRIP
 
 DIMS, RANK, EXTRA, PASSAGE = 8192, 24, 8, 64
 BLOCK_ITEMS, MIN_WORDS = 20_000, 5
@@ -52,9 +52,10 @@ def least(n: int) -> float:
     return (LCS_LEAST if n >= LONG else LCS_SURE) * n - 1e-9
 
 
-def word_ids(text: str | None, cache: WordCache) -> np.ndarray:
-    h = common.hash_words(common.words_of(text), cache)
-    return (h[h != 0] >> np.uint64(32)).astype(np.uint32)
+def word_ids(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of the words of each text, without signs around them."""
+    h, count = common.word_hashes(texts, STRIP)
+    return np.split((h >> np.uint64(32)).astype(np.uint32), np.cumsum(count)[:-1]) if texts else []
 
 
 def entries(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -354,9 +355,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     def tokens(batches):
         from lexspark.llm import decontam as own
 
-        cache = common.worker_cache(own.WordCache)
         for batch in batches:
-            yield {"id": batch.column(0).to_pylist(), "words": [own.word_ids(t, cache).tobytes() for t in batch.column(1).to_pylist()]}
+            yield {"id": batch.column(0).to_pylist(), "words": [w.tobytes() for w in own.word_ids(batch.column(1).to_pylist())]}
 
     words = common.materialize(common.arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokens, f"id {kind}, words binary"), "words")
     model = spark.sparkContext.broadcast(latent_model(words))
@@ -364,7 +364,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"), answer.alias("answer")).where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     block = F.pmod(F.xxhash64("item", "text"), blocks)
-    cache = WordCache()
 
     def pass_over(rows: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
@@ -389,7 +388,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     out = None
     for b in range(blocks):
-        rows = [(r["item"], word_ids(r["text"], cache), None if r["answer"] is None else word_ids(r["answer"], cache)) for r in items.where(block == b).toLocalIterator()]
+        found = items.where(block == b).collect()
+        words_of, answers = word_ids([r["text"] for r in found]), word_ids([r["answer"] for r in found])
+        rows = [(r["item"], w, None if r["answer"] is None else a) for r, w, a in zip(found, words_of, answers)]
         part = pass_over(rows)
         out = part if out is None else out.unionByName(part)
     return out

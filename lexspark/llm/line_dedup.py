@@ -52,9 +52,6 @@ FIRST = 2
 PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or 65 <= b <= 90 or b > 127 else 32 for b in range(256))
 #: Odd multipliers, one for each minimum.
 MULTIPLIERS = (common.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-#: A number for each byte; a run of bytes is the sum of theirs times powers of BASE, so that sums over any run come from running sums.
-BYTES = common.mix64(np.arange(1001, 1257, dtype=np.uint64))
-BASE = 0x9E3779B97F4A7C15
 #: Scripts that are written without blanks (from U+0E00 on); each of their characters is a word of its own when lines are hashed.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 HIGH = re.compile(rb"[\xe0-\xef]")
@@ -84,17 +81,6 @@ def spaced(line: bytes) -> bytes:
     return UNSPACED.sub(r" \g<0> ", line.decode("utf-8")).encode("utf-8") if HIGH.search(line) else line
 
 
-_powers: list = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers 0 to n - 1, and the inverses of these, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        one = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20) - 1, x, np.uint64)]), dtype=np.uint64)
-        _powers[:] = [one(np.uint64(BASE)), one(np.uint64(pow(BASE, -1, 1 << 64)))]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def signatures(lines: list[bytes]) -> np.ndarray:
     """(line, band): 32-bit keys of (nonempty) normalised lines."""
     lines = list(map(spaced, lines))
@@ -104,9 +90,7 @@ def signatures(lines: list[bytes]) -> np.ndarray:
 
 def _signed(lines: list[bytes]) -> np.ndarray:
     a = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    up, down = powers(len(a))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[a] * up, dtype=np.uint64)])
-    run = lambda first, stop: common.mix64((sums[stop] - sums[first]) * down[first])
+    run = common.run_hashes(a)
     gap = (a == 32) | (a == 10)
     word = np.diff(np.concatenate([[False], ~gap, [False]]).astype(np.int8))
     first, stop = np.flatnonzero(word == 1), np.flatnonzero(word == -1)
@@ -350,7 +334,7 @@ def _near(batches):
         head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
         size = np.diff(np.append(head, len(rows)))
         node = rows["node"].view(np.uint64) if rows["node"].flags.c_contiguous else np.ascontiguousarray(rows["node"]).view(np.uint64)
-        a, b = (np.add.reduceat(common.mix64(node * np.uint64(m) + np.uint64(m)), head).view(np.int64) for m in (BASE, 0xD1B54A32D192ED03))
+        a, b = (np.add.reduceat(common.mix64(node * np.uint64(m) + np.uint64(m)), head).view(np.int64) for m in (common.BASE, 0xD1B54A32D192ED03))
         many = np.flatnonzero(size > 1)
         nodes = [node[h : h + n].tobytes() for h, n in zip(head[many].tolist(), size[many].tolist())]
         yield {"a": a[many], "b": b[many], "n": size[many], "band": np.full(len(many), band), "nodes": nodes}
