@@ -175,12 +175,9 @@ def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
     """Longest common subsequence of a sequence given by its bit masks, and words."""
     full = (1 << length) - 1
     v = full
-    for w in words:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = (v + u) | (v - u)
-            v &= full
+    for m in filter(None, map(masks.get, words)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return length - v.bit_count()
 
 
@@ -314,25 +311,27 @@ class Items:
                 pieces.append(words[start : start + PIECE])
         for i, possible in self.possible(pieces).items():
             piece, found = pieces[i], out[owner[i]]
+            # What no window of the piece can hold, as the piece itself doesn't.
+            whole, before, held = piece.tolist(), 0, []
+            for window, vectors, parts in self.sets:
+                some = (possible[(possible >= before) & (possible < before + len(parts))] - before).tolist()
+                before += len(parts)
+                some = [p for p in some if parts[p][0] not in found and lcs(*self.check(parts[p])[:2], whole) >= least(len(parts[p][1]))]
+                if some:
+                    held.append((window, vectors[some], [parts[p] for p in some]))
+            if not held:
+                continue
             heads = np.arange(0, len(piece), STEP)
             sums = np.add.reduceat(projection[piece % DIMS], heads, axis=0)
             total = np.concatenate([np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)])
-            before = 0
-            for window, vectors, parts in self.sets:
-                some = possible[(possible >= before) & (possible < before + len(parts))] - before
-                before += len(parts)
-                if not len(some):
-                    continue
+            for window, vectors, parts in held:
                 span = window // STEP
                 first = np.arange(max(1, len(heads) - span + 1))
                 z = unit((total[np.minimum(first + span, len(heads))] - total[first]).astype(np.float32))
-                cosine = z @ vectors[some].T
-                whole = piece.tolist()
+                cosine = z @ vectors.T
                 regions: dict[int, tuple] = {}
-                for k, part in enumerate(parts[p] for p in some.tolist()):
-                    masks, n, *_ = self.check(part)
-                    # What no window of the piece can hold, as the piece itself doesn't.
-                    if part[0] in found or lcs(masks, n, whole) < least(n):
+                for k, part in enumerate(parts):
+                    if part[0] in found:
                         continue
                     for at in np.argsort(-cosine[:, k], kind="stable").tolist():
                         a = int(first[at]) * STEP
