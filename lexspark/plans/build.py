@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import features, roots, text
 from lexspark.operators import ordered, quality
-from lexspark.plans import canonical, evidence, pairing
+from lexspark.plans import canonical, evidence, pairing, records
 
 # Flags by consequence (fixed values).
 LEXEME_HARD = [
@@ -49,11 +49,16 @@ def _flag(df: DataFrame, record: str, kind: str, name: str | Column, where: Colu
     return df.select(F.col(record).alias("record_id"), F.lit(kind).alias("record_type"), (F.lit(name) if isinstance(name, str) else name).alias("check_name"), (F.lit(None).cast("string") if detail is None else detail).alias("details"))
 
 
-def build(pointed: DataFrame, plain: DataFrame, entries: DataFrame, tables: DataFrame, full: DataFrame) -> dict[str, DataFrame]:
-    """Lexemes, forms, roots, flags and conflicts.
+#: Where lines and pages are taken from if nothing else is said.
+LINES = records.Source("unimorph", "https://example.org/lines", "unpinned", "1970-01-01", "pairing 1")
+PAGES = records.Source("hewiktionary", "https://example.org/w/index.php", "unpinned", "1970-01-01", "wikitext 1", "dump.xml")
+
+
+def build(pointed: DataFrame, plain: DataFrame, entries: DataFrame, tables: DataFrame, full: DataFrame, lines: records.Source = LINES, pages: records.Source = PAGES) -> dict[str, DataFrame]:
+    """Lexemes, forms, roots, flags and typed conflicts, provenance, duplicates, missing metadata, evidence and pairing.
 
     pointed, plain: lines as of pairing.verb_lines; entries with a normalised class column binyan; tables and full
-    as of the wikitext readers.
+    as of the wikitext readers; lines and pages: the pinned sources they come from.
     """
     voc_p, unv_p = pairing.paradigms(pointed), pairing.paradigms(plain)
     # Results that several branches below read: written where a checkpoint folder is set, so that plans stay small.
@@ -96,6 +101,9 @@ def build(pointed: DataFrame, plain: DataFrame, entries: DataFrame, tables: Data
     entries, tables, full = keep(entries), keep(tables), keep(full)
     ev = keep(evidence.gather(lex, entries, tables, full))
     dec = keep(evidence.decisions(ev))
+    used, raw = keep(records.agreeing(ev, dec)), keep(records.raw_records(entries, tables, full))
+    stated = keep(records.lexeme_attributes(used, raw))
+    titled = used.where("by_root").join(tables.where(F.col("flags").contains("TABLE_ROOT_")).select(evidence.table_id().alias("record_id")).distinct(), "record_id", "left_semi")
     lex = lex.join(dec.withColumnRenamed("root", "root_bare"), "lexeme_id", "left").withColumn("match_status", F.coalesce("status", F.lit("NO_MATCH"))).drop("status")
     lex = lex.withColumns({"shape": features.class_from_shape(F.col("present"), F.col("infinitive"), F.col("past")), "shin": F.when(F.col("root_bare").isNotNull(), roots.resolve_shin(F.col("root_bare"), F.coalesce("root_dotted_variants", F.array().cast("array<string>")), F.col("lemma")))})
     gone = evidence.asserted_absent(tables).withColumn("absent", F.lit(True))
@@ -137,6 +145,7 @@ def build(pointed: DataFrame, plain: DataFrame, entries: DataFrame, tables: Data
         g("ROOT_FORM_MISMATCH", ~no_root & ~F.coalesce(fits, F.lit(False))), _flag(lx.where(~no_root).select("lexeme_id", F.explode("shin.flags").alias("flag")), "lexeme_id", "lexeme", F.col("flag")),
         g("WIKT_TABLE_ASSERTS_ROOT_BINYAN_ABSENT", F.col("absent")), g("WIKT_CELL_CONFLICTS_IN_PARADIGM", F.col("mismatch")), g("UNVOC_SPELLING_VARIANTS_IN_PARADIGM", F.col("spellings")),
         _flag(lx.where(~no_root & ~no_class).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("root_bare", "binyan"))), "lexeme_id", "lexeme", "DUPLICATE_ROOT_BINYAN", F.col("k") > 1),
+        _flag(titled.select("lexeme_id").distinct(), "lexeme_id", "lexeme", "EVIDENCE_TABLE_ROOT_FROM_TITLE"), _flag(stated.where("several_sections"), "lexeme_id", "lexeme", "MULTIPLE_WIKT_SECTIONS"),
         _flag(attached.where("lexeme_id is not null").select("lexeme_id").distinct(), "lexeme_id", "lexeme", "UNVOC_ORPHAN_LINE_ATTACHED"),
     ]
     flags = reduce(DataFrame.unionByName, [*form_flags, *lexeme_flags]).dropDuplicates(["record_id", "check_name"])
@@ -156,12 +165,23 @@ def build(pointed: DataFrame, plain: DataFrame, entries: DataFrame, tables: Data
     })
     lex = lex.withColumn("confidence_lexeme", F.round(F.least("confidence_root", "confidence_binyan") * F.when(whole, 1.0).otherwise(0.8), 4))
     root_norm = F.array_join("shin.radicals", "")
+    keys = members.select("lexeme_id", F.explode(F.array_compact(F.array("paradigm_key", "unv_key"))).alias("k")).unionByName(attached.where("lexeme_id is not null").select("lexeme_id", F.col("orphan").alias("k")))
+    keys = keys.groupBy("lexeme_id").agg(F.array_join(F.sort_array(F.collect_set("k")), "|").alias("keys"))
+    plain_cells = forms.groupBy("lexeme_id").agg(*[F.max(F.when(F.col("cell") == c, F.col("form_unvocalized"))).alias(n) for c, n in (("PST.3MSG", "citation_past_3ms_unvocalized"), ("NFIN", "infinitive_unvocalized"))])
+    lex = lex.join(stated, "lexeme_id", "left").join(keys, "lexeme_id", "left").join(plain_cells, "lexeme_id", "left").join(evidence.evidence_json(ev), "lexeme_id", "left")
     lexemes = lex.select(
         "lexeme_id", F.when(~no_root, roots.root_id(root_norm)).alias("root_id"), root_norm.alias("root_normalized"), "root_bare", "binyan", F.col("lemma").alias("lemma_vocalized"), F.col("plain_lemma").alias("lemma_unvocalized"),
         F.col("past").alias("citation_past_3ms_vocalized"), F.col("infinitive").alias("infinitive_vocalized"), "match_status", F.coalesce("match_score", F.lit(0.0)).alias("match_score"), F.array_join("methods", "|").alias("match_method"),
         F.col("shape.binyan").alias("binyan_shape_heuristic"), F.col("shape.rule").alias("binyan_shape_rule"), F.col("first_status").alias("voc_unvoc_pairing_status"), "pairing_score", "n_cells", "past_observed_cells",
-        F.round(F.col("past_observed_cells") / 9, 4).alias("past_completeness"), "confidence_root", "confidence_binyan", "confidence_lexeme", "quality_tier", "quality_flags", F.lit("unimorph").alias("source_primary"),
+        F.round(F.col("past_observed_cells") / 9, 4).alias("past_completeness"), "confidence_root", "confidence_binyan", "confidence_lexeme", "quality_tier", "quality_flags", F.lit(lines.name).alias("source_primary"),
+        F.lit("heb").alias("language"), F.get("root_dotted_variants", F.lit(0)).alias("root_radicals_dotted"), F.col("shin.method").alias("shin_sin_resolution"), "root_homonym_index", "binyan_raw", "infinitive_unvocalized",
+        "citation_past_3ms_unvocalized", "gloss_en", "sense_id", "gizra_labels", "wiktionary_registers", F.lit(True).alias("modern_hebrew"), F.lit(True).alias("attested"), F.lit(True).alias("has_unimorph_paradigm"),
+        F.concat_ws("|", "keys", "record_ids").alias("source_ids"), "match_evidence", status.endswith("AMBIGUOUS").alias("match_ambiguous"), F.lit(9).cast("long").alias("past_expected_cells"), (F.col("past_observed_cells") == 9).alias("past_complete"),
     )
+    alone = records.source_only(entries, tables, full, ev, lexemes, pages.name)
+    only = keep(alone["lexemes"])
+    flags = flags.unionByName(only.select(F.col("lexeme_id").alias("record_id"), F.lit("lexeme").alias("record_type"), F.explode("flags").alias("check_name"), F.lit(None).cast("string").alias("details")).withColumn("severity", F.coalesce(severity[F.col("check_name")], F.lit("WARNING"))))
+    lexemes = keep(lexemes.unionByName(_only_lexemes(only, pages.name), allowMissingColumns=True))
     parent = lexemes.select("lexeme_id", "root_id", "binyan", F.col("quality_tier").alias("_tier"), "confidence_lexeme")
     forms = forms.join(sets.withColumnRenamed("record_id", "form_id"), "form_id", "left").join(parent, "lexeme_id", "left")
     own_tier = quality.tier_of(F.col("quality_flags"), FORM_HARD, FORM_NO_GOLD, None, ~F.coalesce("plene_consistent", F.lit(False)) | ~F.coalesce("corroborated", F.lit(True)))
@@ -170,17 +190,80 @@ def build(pointed: DataFrame, plain: DataFrame, entries: DataFrame, tables: Data
         "form_id", "lexeme_id", "root_id", "binyan", F.col("cell").alias("canonical_cell"), "form_vocalized", "form_unvocalized", F.col("variants_vocalized").alias("form_vocalized_variants"), F.col("variants_unvocalized").alias("form_unvocalized_variants"),
         text.strip_points(F.col("form_vocalized")).alias("form_stripped"), *[F.col(f"tag.{k}").alias(k) for k in ("pos", "tense", "mood", "person", "number", "gender", "finiteness")], "plene_consistent", F.col("corroborated").alias("wiktionary_corroborated"),
         F.concat_ws("|", F.concat_ws(":", "src_vocalized.file", "src_vocalized.line_no"), F.concat_ws(":", "src_unvocalized.file", "src_unvocalized.line_no")).alias("source_ids"),
-        quality.worst_tier(F.col("_tier"), own_tier).alias("quality_tier"), (F.col("confidence_lexeme") * F.when(hard, 0.5).otherwise(1.0)).alias("confidence"), "quality_flags",
+        quality.worst_tier(F.col("_tier"), own_tier).alias("quality_tier"), (F.col("confidence_lexeme") * F.when(hard, 0.5).otherwise(1.0)).alias("confidence"), "quality_flags", F.lit(lines.name).alias("source_primary"),
     )
+    only_forms, only_flags = _only_forms(only, keep(alone["forms"]), pages.name)
+    flags = keep(flags.unionByName(only_flags.withColumn("severity", F.coalesce(severity[F.col("check_name")], F.lit("WARNING")))))
+    forms = keep(forms.unionByName(only_forms, allowMissingColumns=True))
     root_table = lexemes.where("root_id is not null").groupBy("root_id", "root_normalized").agg(
         F.count(F.lit(1)).alias("n_lexemes"), F.array_join(F.sort_array(F.collect_set("binyan")), "|").alias("binyanim"), F.max("confidence_root").alias("confidence"), quality.tier_name(F.min(quality.tier_rank(F.col("quality_tier")))).alias("quality_tier")
     )
     units = roots.split_units(F.col("root_normalized"))
     root_table = root_table.select("*", roots.orthographic(F.col("root_normalized")).alias("root_orthographic"), *[c.alias(k) for k, c in roots.features(units).items()])
-    root_table = root_table.withColumns({"orthographic_root_group_id": roots.root_id(F.col("root_orthographic"), "RG-"), "shares_orthography": F.count(F.lit(1)).over(Window.partitionBy("root_orthographic")) > 1, "traditional_class": F.lit(None).cast("string")})
+    root_table = root_table.withColumns({"orthographic_root_group_id": roots.root_id(F.col("root_orthographic"), "RG-"), "shares_orthography": F.count(F.lit(1)).over(Window.partitionBy("root_orthographic")) > 1})
+    every = used.select("lexeme_id", "record_id", "root", "by_root", "by_class").unionByName(alone["evidence"].select("lexeme_id", "record_id", "root", F.lit(True).alias("by_root"), F.lit(False).alias("by_class")))
+    root_table = root_table.join(records.root_attributes(lexemes, every, raw), "root_id", "left")
+    shared = F.when(F.col("shares_orthography"), F.array(F.lit("ROOT_SHARES_ORTHOGRAPHY_WITH_OTHER_ROOT"))).otherwise(F.array().cast("array<string>"))
+    root_table = keep(root_table.withColumn("quality_flags", F.array_sort(F.array_union(shared, F.coalesce("root_flags", F.array().cast("array<string>"))))).drop("root_flags"))
+    flags = flags.unionByName(root_table.select(F.col("root_id").alias("record_id"), F.lit("root").alias("record_type"), F.explode("quality_flags").alias("check_name"), F.lit(None).cast("string").alias("details")).withColumn("severity", F.coalesce(severity[F.col("check_name")], F.lit("WARNING"))))
+
+    forms = canonical.syncretism(forms)
+    lost = attached.where("lexeme_id is null").select(
+        F.lit("ORPHAN_UNVOCALIZED_PARADIGM").alias("conflict_type"), F.lit("source").alias("record_type"), F.col("orphan").alias("record_id"), F.lit(None).cast("string").alias("lemma"), F.concat(F.col("n_hits").cast("string"), F.lit(" lexemes fit")).alias("details"),
+        F.lit(None).cast("string").alias("candidates"), F.col("orphan").alias("sources"),
+    )
+    conflicts = records.conflicts(flags, lexemes, forms, used).unionByName(lost)
+    duplicates = records.duplicates(lexemes, forms, members).unionByName(alone["duplicates"])
+
+    # Provenance: lines of forms and paradigms, records that agree with a root or class or a form, entries of source-only lexemes.
+    line = lambda df, tag, field: records.from_lines(df.where("canonical_cell is not null").select(F.concat_ws(".", "lexeme_id", "canonical_cell").alias("record_id"), "file", "line_no", F.concat_ws("\t", "lemma_raw", "form_raw", "tag_raw").alias("raw")), lines, "form", field)
+    paradigm = lambda df, p, key, field: records.from_lines(df.join(p.select(F.col("paradigm_key").alias(key), "file", F.col("first_line").alias("line_no"), F.concat(F.lit("paradigm of "), F.col("n_lines").cast("string"), F.lit(" lines, lemma "), "lemma_nfc").alias("raw")), key).withColumnRenamed("lexeme_id", "record_id"), lines, "lexeme", field)
+    page = entries.select(evidence.entry_id().alias("source_record"), "page_title", "rev_id").unionByName(tables.select(evidence.table_id().alias("source_record"), "page_title", "rev_id")).unionByName(full.select(evidence.full_id().alias("source_record"), "page_title", "rev_id")).dropDuplicates(["source_record"])
+    told = raw.select(F.col("record_id").alias("source_record"), "raw")
+    agreed = every.where("by_root or by_class").groupBy("lexeme_id", F.col("record_id").alias("source_record")).agg(F.concat_ws("+", F.when(F.bool_or("by_root"), F.lit("root")), F.when(F.bool_or("by_class"), F.lit("binyan"))).alias("field"))
+    agreed = agreed.unionByName(only.select("lexeme_id", F.explode(F.split("entry_ids", r"\|")).alias("source_record"), F.lit("root+binyan+lemma").alias("field")))
+    of_lexemes = agreed.withColumnRenamed("lexeme_id", "record_id")
+    of_roots = agreed.where("field like 'root%'").join(lexemes.where("root_id is not null").select("lexeme_id", "root_id"), "lexeme_id").select(F.col("root_id").alias("record_id"), "source_record", F.lit("root").alias("field")).distinct()
+    seen = forms.where("wiktionary_corroborated is not null").select("form_id", "lexeme_id", F.col("canonical_cell").alias("cell")).join(wcells.select("lexeme_id", "cell", F.col("record_id").alias("source_record")).distinct(), ["lexeme_id", "cell"])
+    of_forms = seen.select(F.col("form_id").alias("record_id"), "source_record", F.lit("form_vocalized_corroboration").alias("field"))
+    of_forms = of_forms.unionByName(alone["forms"].select(F.concat_ws(".", "lexeme_id", "cell").alias("record_id"), F.explode(F.split("records", r"\|")).alias("source_record"), F.lit("form_vocalized").alias("field")))
+    parts = [line(voc, "v", "form_vocalized"), line(unv, "u", "form_unvocalized"), paradigm(members.select("lexeme_id", "paradigm_key"), voc_p, "paradigm_key", "paradigm_vocalized"), paradigm(links.select("lexeme_id", F.col("paradigm_key").alias("unv_key")).distinct(), unv_p, "unv_key", "paradigm_unvocalized")]
+    parts += [records.from_pages(df.join(page, "source_record").join(told, "source_record"), pages, kind) for df, kind in ((of_lexemes, "lexeme"), (of_roots, "root"), (of_forms, "form"))]
+    provenance = records.numbered(reduce(DataFrame.unionByName, parts), "PV", "provenance_id")
+    validation = records.numbered(flags.select("record_id", "record_type", "check_name", "severity", "details"), "CK", "check_id")
+    missing = alone["missing"].select("record_type", "record_id", "missing_fields").unionByName(records.missing_metadata(lexemes, forms))
+    return {"lexemes": lexemes, "forms": forms, "roots": root_table, "flags": flags, "conflicts": conflicts, "evidence": ev, "pairing": paired, "provenance": provenance, "validation": validation, "duplicates": duplicates, "missing": missing}
 
-    # Conflicts: what a resolver left open, with all candidates.
-    picked = flags.where(F.col("severity") == "ERROR").select(F.col("check_name").alias("conflict_type"), "record_type", "record_id", "details")
-    lost = attached.where("lexeme_id is null").select(F.lit("ORPHAN_UNVOCALIZED_PARADIGM").alias("conflict_type"), F.lit("source").alias("record_type"), F.col("orphan").alias("record_id"), F.concat(F.col("n_hits").cast("string"), F.lit(" candidates")).alias("details"))
-    conflicts = picked.unionByName(lost).join(evidence.evidence_json(ev).select(F.col("lexeme_id").alias("record_id"), F.col("match_evidence").alias("candidates")), "record_id", "left")
-    return {"lexemes": lexemes, "forms": canonical.syncretism(forms), "roots": root_table, "flags": flags, "conflicts": conflicts, "evidence": ev, "pairing": paired}
+
+def _only_lexemes(only: DataFrame, source: str) -> DataFrame:
+    """Lexemes that one source alone has, with the columns of the others."""
+    half = lambda c, name: F.coalesce(F.col(c), F.lit(0.0)) * F.when(F.array_contains("flags", name), 0.5).otherwise(1.0)
+    root, klass = half("conf_root", "ROOT_FORM_MISMATCH"), half("conf_binyan", "BINYAN_SHAPE_DISAGREES")
+    out = only.select(
+        "lexeme_id", roots.root_id(F.col("root_normalized")).alias("root_id"), "root_normalized", "root_bare", "binyan", F.col("headword").alias("lemma_vocalized"), F.col("plain").alias("lemma_unvocalized"), F.col("headword").alias("citation_past_3ms_vocalized"),
+        F.col("infinitive").alias("infinitive_vocalized"), F.lit("WIKTIONARY_ONLY").alias("match_status"), F.coalesce("match_score", F.lit(0.0)).alias("match_score"), F.array_join("methods", "|").alias("match_method"), F.col("shape.binyan").alias("binyan_shape_heuristic"),
+        F.col("shape.rule").alias("binyan_shape_rule"), "n_cells", "past_observed_cells", F.round(F.col("past_observed_cells") / 9, 4).alias("past_completeness"), root.alias("confidence_root"), klass.alias("confidence_binyan"),
+        F.round(F.least(root, klass) * 0.8, 4).alias("confidence_lexeme"), quality.tier_of(F.col("flags"), LEXEME_HARD, LEXEME_NO_GOLD).alias("quality_tier"), F.col("flags").alias("quality_flags"), F.lit(source).alias("source_primary"), F.lit("heb").alias("language"),
+        F.get("variants", F.lit(0)).alias("root_radicals_dotted"), F.col("shin.method").alias("shin_sin_resolution"), "root_homonym_index", "binyan_raw", F.col("plain").alias("citation_past_3ms_unvocalized"), "gloss_en", "gizra_labels", "wiktionary_registers",
+        F.when(F.col("wiktionary_registers").contains("עברית חדשה"), True).alias("modern_hebrew"), F.lit(True).alias("attested"), F.lit(False).alias("has_unimorph_paradigm"), F.col("entry_ids").alias("source_ids"),
+        F.coalesce(F.col("d_status").endswith("AMBIGUOUS"), F.lit(False)).alias("match_ambiguous"), F.lit(9).cast("long").alias("past_expected_cells"), (F.col("past_observed_cells") == 9).alias("past_complete"),
+    )
+    return out
+
+
+def _only_forms(only: DataFrame, cells: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """Forms of these lexemes with the columns of the others, and their flags."""
+    tier = quality.tier_of(F.col("flags"), LEXEME_HARD, LEXEME_NO_GOLD)
+    parent = only.select("lexeme_id", roots.root_id(F.col("root_normalized")).alias("root_id"), "binyan", "plain", tier.alias("_tier"), F.round(F.least(F.coalesce("conf_root", F.lit(0.0)), F.coalesce("conf_binyan", F.lit(0.0))) * 0.8, 4).alias("_confidence"))
+    rows = cells.join(parent, "lexeme_id").withColumns({"form": F.get("forms", F.lit(0)), "plain": F.when(F.col("cell") == features.CITATION_CELL, F.col("plain")), "tag": features.parse_tag(features.tag_of_cell(F.col("cell")))})
+    rows = rows.withColumns({"form_id": F.concat_ws(".", "lexeme_id", "cell"), "consistent": text.plene_consistent(F.col("form"), F.col("plain"))})
+    names = F.array(F.when(F.size("forms") > 1, "VOC_VARIANTS"), F.when(F.col("plain").isNull(), "MISSING_UNVOCALIZED"), F.when(~F.col("consistent"), "VOC_UNVOC_INCONSISTENT"))
+    rows = rows.withColumn("quality_flags", F.array_sort(F.array_union(F.array_compact(names), text.audit(F.col("form"))["flags"])))
+    own = quality.tier_of(F.col("quality_flags"), FORM_HARD, FORM_NO_GOLD, None, ~F.coalesce("consistent", F.lit(False)))
+    hard = F.arrays_overlap("quality_flags", F.array(*map(F.lit, FORM_HARD)))
+    out = rows.select(
+        "form_id", "lexeme_id", "root_id", "binyan", F.col("cell").alias("canonical_cell"), F.col("form").alias("form_vocalized"), F.col("plain").alias("form_unvocalized"), F.nullif(F.array_join(F.slice("forms", 2, 1000), "|"), F.lit("")).alias("form_vocalized_variants"),
+        text.strip_points(F.col("form")).alias("form_stripped"), *[F.col(f"tag.{k}").alias(k) for k in ("pos", "tense", "mood", "person", "number", "gender", "finiteness")], F.col("consistent").alias("plene_consistent"), F.col("records").alias("source_ids"),
+        quality.worst_tier(F.col("_tier"), own).alias("quality_tier"), (F.col("_confidence") * F.when(hard, 0.5).otherwise(1.0)).alias("confidence"), "quality_flags", F.lit(source).alias("source_primary"),
+    )
+    return out, rows.select(F.col("form_id").alias("record_id"), F.lit("form").alias("record_type"), F.explode("quality_flags").alias("check_name"), F.lit(None).cast("string").alias("details"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import features, text
 from lexspark.operators import ordered, quality, resolve
-from lexspark.plans import canonical, evidence, splits, views
+from lexspark.plans import canonical, contract, encoding, evidence, runner, splits, views, weak_roots
 from lexspark.plans.catalogue import query
 
 CELLS = ", ".join(f"'{c}'" for c in features.PAST_CELLS)
@@ -292,3 +292,74 @@ def cells_in_order(t) -> DataFrame:
     forms = frames(t)[2]
     rank = features.cell_rank(F.col("canonical_cell"))
     return forms.groupBy("lexeme_id", F.col("form_vocalized").alias("form")).agg(ordered.ordered_join(F.col("canonical_cell"), rank).alias("cells"))
+
+
+# ------------------------------------------------- contracts, encoding, runner
+
+
+@query("WITH " + CITATION + """, f(flag, has) AS (SELECT 'analysis__sc_rich', sc_rich FROM eligible UNION ALL SELECT 'analysis__trad_PE_NUN', coalesce(list_contains(string_split(traditional_class, '+'), 'PE_NUN'), false) FROM eligible
+    UNION ALL SELECT 'analysis__trad_PE_ALEF', false FROM eligible)
+SELECT flag, count_if(has)::BIGINT AS positive, count_if(NOT has)::BIGINT AS negative, count_if(has) >= 20 AND (flag NOT LIKE '%sc_%' OR count_if(NOT has) >= 20) AS kept FROM f GROUP BY flag UNION ALL SELECT 'analysis__sc_absent', 0, 0, false""")
+def split_skip_rule(t) -> DataFrame:
+    """Properties with enough pairs on the sides that a split needs; others are skipped."""
+    pairs = eligible(t)
+    labelled = views.traditional_flags(pairs, ["PE_NUN", "PE_ALEF"])
+    return runner.enough(pairs, [views.A + "sc_rich", views.A + "sc_absent"]).unionByName(runner.enough(labelled, [views.A + "trad_PE_NUN", views.A + "trad_PE_ALEF"], both=False))
+
+
+_CHECKED = "SELECT 'CK' || (p_partkey // 2 * 2) AS check_id, CASE WHEN p_size = 7 THEN NULL ELSE p_brand END AS record_id, 'part' AS record_type, p_type AS check_name, CASE WHEN p_size % 5 = 0 THEN 'FATAL' ELSE 'INFO' END AS severity, p_name AS details FROM part"
+
+
+@query(f"""WITH v AS ({_CHECKED}) SELECT 'validation' AS table_name, * FROM (SELECT 'record_id' AS column_name, 'is null' AS violation, count_if(record_id IS NULL)::BIGINT AS n FROM v
+UNION ALL SELECT 'severity', 'is not one of ERROR, WARNING, INFO', count_if(severity = 'FATAL') FROM v UNION ALL SELECT 'check_id', 'is not unique', (SELECT count(*) FROM (SELECT check_id FROM v GROUP BY 1 HAVING count(*) > 1))) WHERE n > 0""")
+def contract_violations(t) -> DataFrame:
+    """Rules of a table's contract that rows break: nulls, values, keys."""
+    p = t("part")
+    rows = p.select(
+        F.concat(F.lit("CK"), F.floor(F.col("p_partkey") / 2) * 2).alias("check_id"), F.when(F.col("p_size") != 7, F.col("p_brand")).alias("record_id"), F.lit("part").alias("record_type"), F.col("p_type").alias("check_name"),
+        F.when(F.col("p_size") % 5 == 0, "FATAL").otherwise("INFO").alias("severity"), F.col("p_name").alias("details"),
+    )
+    return contract.violations(rows, "validation")
+
+
+@query("SELECT DISTINCT 'form without lexeme' AS violation, NULL::VARCHAR AS key WHERE false UNION ALL SELECT 'record without provenance', 'L' || o_orderkey FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'provenance of no record', 'nothing' FROM region WHERE r_regionkey = 0")
+def contract_keys(t) -> DataFrame:
+    """Records without provenance, and provenance of no record."""
+    roots, lexemes, forms = frames(t)
+    spark = roots.sparkSession
+    every = reduce(DataFrame.unionByName, [df.select(F.col(k).alias("canonical_record_id")) for df, k in ((roots, "root_id"), (lexemes, "lexeme_id"), (forms, "form_id"))])
+    tenth = F.col("canonical_record_id").rlike("^L[0-9]*0$")
+    own = forms.join(lexemes.select("lexeme_id", F.col("root_id").alias("r")), "lexeme_id", "left").withColumn("root_id", F.col("r"))
+    return contract.key_violations(roots, lexemes, own, every.where(~tenth).unionByName(spark.createDataFrame([("nothing",)], "canonical_record_id string")))
+
+
+_SYMBOLS = "sym AS (SELECT DISTINCT unnest(string_split(p_name, '')) AS s FROM part WHERE p_size > 3 UNION SELECT DISTINCT unnest(string_split(p_name, '')) FROM part WHERE p_size > 3 UNION SELECT DISTINCT 'F:' || unnest([p_brand, p_type]) FROM part WHERE p_size > 3), ids AS (SELECT s, row_number() OVER (ORDER BY length(s) > 1, s) + 4 AS id FROM sym WHERE s <> '')"
+
+
+@query(f"""WITH {_SYMBOLS}, c AS (SELECT p_partkey, 1 AS part, generate_subscripts(string_split(p_name, ''), 1) AS i, unnest(string_split(p_name, '')) AS s FROM part UNION ALL SELECT p_partkey, 3, 1, 'F:' || p_brand FROM part UNION ALL SELECT p_partkey, 3, 2, 'F:' || p_type FROM part
+    UNION ALL SELECT p_partkey, 5, generate_subscripts(string_split(reverse(p_name), ''), 1), unnest(string_split(reverse(p_name), '')) FROM part),
+n AS (SELECT p_partkey, part, i, coalesce(id, 4) AS id FROM c LEFT JOIN ids USING (s) WHERE s <> '' UNION ALL SELECT p_partkey, k, 0, v FROM part, (VALUES (0, 1), (2, 2), (4, 2), (6, 3)) x(k, v))
+SELECT p_partkey, string_agg(id::VARCHAR, ' ' ORDER BY part, i) AS tokens, count_if(part <= 4)::INTEGER AS prompt_length, count_if(id = 4)::INTEGER AS unknown, count_if(part > 4)::INTEGER AS predicted FROM n GROUP BY p_partkey""")
+def encoded_examples(t) -> DataFrame:
+    """Examples as symbol numbers by a vocabulary that part of them made, with the places to predict and unknown symbols."""
+    rows = t("part").select("p_partkey", F.col("p_name").alias("source"), F.concat_ws(",", "p_brand", "p_type").alias("features"), F.reverse("p_name").alias("target"), "p_size")
+    vocab = encoding.vocabulary(rows.where("p_size > 3"), ["source", "target"], "features")
+    out = encoding.encode(rows, vocab, [("source", False), ("features", True)], "target", 80)
+    seen = F.array_join(F.transform(F.filter("tokens", lambda x: x != encoding.PAD), lambda x: x.cast("string")), " ")
+    return out.select("p_partkey", seen.alias("tokens"), "prompt_length", "unknown", F.size(F.filter("loss_mask", lambda x: x)).alias("predicted"))
+
+
+_WEAK = [
+    ("נצל", "PE_NUN", "HIFIL", "PST.3MSG", "הִצִּיל"), ("ירד", "PE_YOD", "HIFIL", "PST.3MSG", "הוֹרִיד"), ("ירד", "PE_YOD", "PAAL", "FUT.3MSG", "יֵרֹד"), ("קנה", "LAMED_HE", "PAAL", "PST.3FSG", "קָנְתָה"), ("קנה", "LAMED_HE", "PAAL", "PST.1SG", "קָנִיתִי"),
+    ("קנה", "LAMED_HE", "PAAL", "FUT.3MSG", "יִקְנֶה"), ("צוד", "HOLLOW", "PAAL", "PRS.MPL", "צָדִים"), ("סבב", "GEMINATE", "PAAL", "PST.3FSG", "סָבָּה"), ("רכב", "STRONG", "HIFIL", "IMP.2FSG", "הַרְכִיבִי"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(r[:4])[:-1] + f", nfc_normalize('{r[4]}'))" for r in _WEAK) + ") v(root, kind, binyan, cell, form)")
+def weak_root_forms(t) -> DataFrame:
+    """Forms of weak roots, whose patterns are rewritten; held against forms written out."""
+    spark = t("region").sparkSession
+    names = sorted({r[0] for r in _WEAK})
+    forms = weak_roots.realize(spark.createDataFrame([(r, *r) for r in names], "root string, r1 string, r2 string, r3 string"), weak_roots.patterns(spark))
+    asked = spark.createDataFrame([(r[0], r[2], r[3]) for r in _WEAK], "root string, binyan string, cell string")
+    return forms.join(F.broadcast(asked), ["root", "binyan", "cell"], "left_semi").select("root", "kind", "binyan", "cell", "form")

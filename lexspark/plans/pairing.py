@@ -20,7 +20,7 @@ def verb_lines(triples: DataFrame) -> DataFrame:
     t = triples.withColumns({"lemma_nfc": text.nfc(F.col("lemma_raw")), "form_nfc": text.nfc(F.col("form_raw")), "verb": features.is_verb_tag(F.col("tag_raw"))})
     t = ordered.runs(t, ["file"], ["line_no"], F.col("lemma_raw"), F.col("verb")).where("run is not null")
     t = t.withColumn("paradigm_key", F.concat_ws(":", "file", F.min("line_no").over(Window.partitionBy("file", "run"))))
-    t = t.withColumns({"tag": features.parse_tag(F.col("tag_raw")), "audit": text.audit("form_raw")})
+    t = t.withColumns({"tag": features.parse_tag(F.col("tag_raw")), "audit": text.audit(F.col("form_raw"))})
     cell = Window.partitionBy("paradigm_key", "tag.canonical_cell").orderBy("line_no")
     return t.select(
         "file", "line_no", "paradigm_key", "lemma_raw", "lemma_nfc", "form_raw", "form_nfc", "tag_raw", F.col("tag.canonical_cell").alias("canonical_cell"), F.col("tag.tag_error").alias("tag_error"), "tag",
@@ -101,3 +101,8 @@ def explicit_gaps(triples: DataFrame) -> DataFrame:
     """(lemma_nfc, tag, cell) of cells that a source marks as non-existent."""
     rows = triples.where(features.is_gap(F.col("form_raw"), F.col("tag_raw")))
     return rows.select(text.nfc(F.col("lemma_raw")).alias("lemma_nfc"), F.col("tag_raw").alias("tag"), features.cell_of_v4_tag(F.col("tag_raw")).alias("cell")).distinct()
+
+
+def summary(paired: DataFrame) -> DataFrame:
+    """(status, n, score_min, score_mean, n_tied): how paradigms of two sources were matched."""
+    return paired.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 4).alias("score_min"), F.round(F.avg("score"), 4).alias("score_mean"), F.count_if(F.size("tied") > 1).alias("n_tied"))

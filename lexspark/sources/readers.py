@@ -71,3 +71,17 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+class ChecksumError(ValueError):
+    """A fetched file that isn't the pinned one."""
+
+
+def verified(spark: SparkSession, path: str, pinned: dict[str, str]) -> DataFrame:
+    """checksums() of files that were put there, all of which have to have the pinned digest by name; fetching itself is left to the deployment."""
+    found = checksums(spark, path).withColumn("name", F.substring_index("path", "/", -1))
+    got = {r["name"]: r["sha256"] for r in found.select("name", "sha256").collect()}
+    wrong = [name for name, digest in pinned.items() if got.get(name) != digest]
+    if wrong:
+        raise ChecksumError(f"not as pinned: {', '.join(sorted(wrong))}")
+    return found

@@ -69,3 +69,10 @@ def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
     return "\n".join([f"## {title}", "", line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows), ""])
+
+
+def document(spark, title: str, sections: dict[str, DataFrame], path: str) -> str:
+    """A report of several tables as one Markdown file; returns its text. For aggregates, see markdown()."""
+    text = "\n".join([f"# {title}", "", *(markdown(df, name) for name, df in sections.items())])
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text

@@ -1,12 +1,13 @@
 """Segmentation, pairing, evidence and the canonical build on miniature sources."""
 
+import json
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import resolve
-from lexspark.plans import build, evidence, pairing
+from lexspark.operators import quality, resolve
+from lexspark.plans import build, contract, evidence, pairing
 from lexspark.sources import wikitext
 
 N = lambda s: s and unicodedata.normalize("NFC", s)
@@ -87,6 +88,7 @@ def test_decisions_never_guess(spark, claims, want):
 
 
 ENTRY = "==כָּתַב==\n{{ניתוח דקדוקי לפועל|\n|כתיב מלא=כתב\n|שורש וגזרה={{שרש3|כ|ת|ב}}\n|בניין=קל}}\n"
+ONLY = "=={0}==\n{{{{ניתוח דקדוקי לפועל|\n|כתיב מלא={1}\n|שורש וגזרה={2}\n|בניין={3}}}}}\n"
 TABLES = "{{נטיות פעלים|שורש=כ־ת־ב\n|קל עבר=כָּתַב\n|קל הווה=כּוֹתֶבֶת\n|קל שם הפועל=לִכְתֹּב\n|פיעל עבר=-אין-}}"
 PAGE = "title string, ns int, page_id long, rev_id long, timestamp string, text string"
 
@@ -94,7 +96,8 @@ PAGE = "title string, ns int, page_id long, rev_id long, timestamp string, text
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     spark.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('checkpoints')}")
-    pages = spark.createDataFrame([("כתב", 0, 1, 9, "t", N(ENTRY)), ("כתב (שורש)", 0, 2, 8, "t", N(TABLES))], PAGE)
+    more = (ENTRY + ONLY.format("שָׁבַר", "שבר", "{{שרש3|שׁ|ב|ר}}, [[גזרת השלמים]]", "קל") + ONLY.format("כִּתֵּב", "כיתב", "{{שרש3|כ|ת|ב}}", "") + ONLY.format("כָּתָב", "כתאב", "{{שרש3|כ|ת|ב}}", "קל"))
+    pages = spark.createDataFrame([("כתב", 0, 1, 9, "t", N(more)), ("כתב (שורש)", 0, 2, 8, "t", N(TABLES))], PAGE)
     entries = wikitext.verb_entries(pages)
     entries = entries.withColumn("binyan", wikitext.class_label(F.col("binyan_raw"))["binyan"])
     tables = wikitext.conjugation_tables(pages).withColumnRenamed("title", "page_title")
@@ -116,5 +119,55 @@ def test_canonical_tables(built):
     flags = {(r["record_id"], r["check_name"]): r["severity"] for r in built["flags"].collect()}
     assert flags[a["lexeme_id"], "WIKT_CELL_CONFLICTS_IN_PARADIGM"] == "WARNING" and flags[b["lexeme_id"], "ROOT_MISSING"] == "ERROR"
     assert a["quality_tier"] == "SILVER"
-    assert built["roots"].select("root_normalized", "structural_class", "n_lexemes").collect() == [("כתב", "strong", 1)]
+    rows = {r["root_normalized"]: r for r in built["roots"].collect()}
+    assert (rows["כתב"]["structural_class"], rows["כתב"]["n_lexemes"], rows["כתב"]["traditional_class"]) == ("strong", 1, None) and "TRADITIONAL_CLASS_NOT_STATED" in rows["כתב"]["quality_flags"]
+    assert (rows[N("שׁבר")]["traditional_class"], rows[N("שׁבר")]["quality_flags"]) == ("SHLEMIM", [])
     assert {r["conflict_type"] for r in built["conflicts"].collect()} >= {"ROOT_MISSING", "WIKT_FORM_MISMATCH"}
+
+
+def test_source_only_lexemes_duplicates_and_missing(built):
+    only = built["lexemes"].where("not has_unimorph_paradigm").collect()
+    assert [(r["lemma_vocalized"], r["root_normalized"], r["binyan"], r["match_status"], r["lemma_unvocalized"]) for r in only] == [(N("שָׁבַר"), N("שׁבר"), "PAAL", "WIKTIONARY_ONLY", "שבר")]
+    assert "WIKTIONARY_ONLY_LEXEME" in only[0]["quality_flags"] and only[0]["quality_tier"] == "SILVER"
+    form = built["forms"].where(F.col("lexeme_id") == only[0]["lexeme_id"]).collect()
+    assert [(r["canonical_cell"], r["form_vocalized"], r["form_unvocalized"], r["person"], r["plene_consistent"]) for r in form] == [("PST.3MSG", N("שָׁבַר"), "שבר", "3", True)]
+    found = {(r["duplicate_type"], r["lemma"]) for r in built["duplicates"].collect()}
+    assert ("WIKT_ENTRY_FOR_EXISTING_ROOT_BINYAN", N("כָּתָב")) in found
+    missing = {(r["record_type"], r["missing_fields"]) for r in built["missing"].collect()}
+    assert ("wiktionary_entry", "binyan") in missing and ("lexeme", "root_id|binyan") in missing
+
+
+def test_every_record_has_provenance(built):
+    p = built["provenance"].cache()
+    ids = [built[t].select(F.col(k).alias("i")) for t, k in (("roots", "root_id"), ("lexemes", "lexeme_id"), ("forms", "form_id"))]
+    every = ids[0].unionByName(ids[1]).unionByName(ids[2])
+    assert every.join(p, F.col("i") == F.col("canonical_record_id"), "left_anti").isEmpty() and p.join(every, F.col("i") == F.col("canonical_record_id"), "left_anti").isEmpty()
+    assert p.select("provenance_id").distinct().count() == p.count() and p.where("source_url is null or raw_source_value is null").isEmpty()
+    lines_ = p.where("source_name = 'unimorph'")
+    assert lines_.where("source_line_if_available is null or not source_url like '%/blob/unpinned/%#L%'").isEmpty()
+
+
+def test_conflicts_are_typed(built):
+    rows = {(r["conflict_type"], r["record_type"]): r for r in built["conflicts"].collect()}
+    wrong = rows["WIKT_FORM_MISMATCH", "form"]
+    assert wrong["lemma"] == N("כָּתַב") and "v:" in wrong["sources"] and wrong["details"]
+    assert rows["ROOT_MISSING", "lexeme"]["lemma"] == N("סָגַר")
+
+
+def test_contract(built):
+    for table in ("roots", "lexemes", "forms", "provenance", "validation"):
+        contract.enforce(built[table], table)
+    contract.foreign_keys(built["roots"], built["lexemes"], built["forms"], built["provenance"])
+    with pytest.raises(quality.SchemaViolation, match="null"):
+        contract.enforce(built["forms"].withColumn("canonical_cell", F.lit(None).cast("string")), "forms")
+    with pytest.raises(quality.SchemaViolation, match="not unique"):
+        contract.enforce(built["roots"].unionByName(built["roots"]), "roots")
+    with pytest.raises(quality.SchemaViolation, match="not one of"):
+        contract.enforce(built["forms"].withColumn("tense", F.lit("AORIST")), "forms")
+    with pytest.raises(quality.SchemaViolation, match="NFC"):
+        contract.enforce(built["lexemes"].withColumn("lemma_vocalized", F.lit("\ufb2a")), "lexemes")
+    with pytest.raises(quality.SchemaViolation, match="lacks"):
+        contract.enforce(built["roots"].drop("root_raw"), "roots")
+    with pytest.raises(quality.SchemaViolation, match="provenance"):
+        contract.foreign_keys(built["roots"], built["lexemes"], built["forms"], built["provenance"].limit(1))
+    assert json.loads(contract.schema_json())["tables"]["forms"]["primary_key"] == "form_id"
