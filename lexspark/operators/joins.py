@@ -28,9 +28,16 @@ def votes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: l
 
 
 def universal(needs: DataFrame, has: DataFrame, left_id: str, right_id: str, key: list[str]) -> DataFrame:
-    """Pairs in which the right side has every key that the left side needs."""
-    n = needs.select(left_id, *key).distinct().groupBy(left_id).agg(F.count(F.lit(1)).alias("n_needed"))
-    return votes(needs, has, left_id, right_id, key).join(n, left_id).where("votes = n_needed").select(left_id, right_id, "n_needed")
+    """Pairs in which the right side has every key that the left side needs.
+
+    Candidates have the left side's rarest key; only for these are the other keys looked up.
+    """
+    need, have = needs.select(left_id, *key).distinct(), has.select(right_id, *key).distinct()
+    count = have.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    rarest = need.join(count, key, "left").groupBy(left_id).agg(F.count(F.lit(1)).alias("n_needed"), F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), *key)).alias("_r"))
+    candidates = rarest.select(left_id, "n_needed", *[F.col(f"_r.{k}").alias(k) for k in key]).join(have, key).select(left_id, right_id, "n_needed")
+    met = candidates.join(need, left_id).join(have, [right_id, *key], "left_semi")
+    return met.groupBy(left_id, right_id, "n_needed").agg(F.count(F.lit(1)).alias("_m")).where("_m = n_needed").select(left_id, right_id, "n_needed")
 
 
 def multi_probe(probes: dict[str, DataFrame], key: str, record: str, exact: list[str], loose: list[str]) -> DataFrame:
