@@ -103,7 +103,7 @@ def built(spark, tmp_path_factory):
     tables = wikitext.conjugation_tables(pages).withColumnRenamed("title", "page_title")
     full = wikitext.full_tables(pages).withColumnRenamed("title", "page_title")
     out = build.build(lines(spark, "v", [*KATAV, *SAGAR]), lines(spark, "u", PLAIN), entries, tables, full)
-    return {k: v.cache() for k, v in out.items()}
+    return {k: v.coalesce(2).cache() for k, v in out.items()}
 
 
 def test_canonical_tables(built):
