@@ -19,6 +19,7 @@ the links that join two groups are put out. In the first round sets of over CHUN
 way, which groups near copies without replicating a line; what then still is of several groups
 goes out as pairs of chunks, so that no task holds a whole hot set and no pair is left out. Copies of a line are one node.
 Bounds by lengths and runs of three characters, of which an edit changes at most three, settle most pairs that are not alike.
+The others of many sets are compared together, in a band of cells for all pairs at once.
 
 Lines that are empty once normalised (blank, or signs alone) are left alone. Nulls: a null text has
 no lines and stays null; a null id counts as smaller than any other. Rows are known by their id and the
@@ -190,14 +191,114 @@ def similar(a: str, b: str) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def runs_of(line: str) -> frozenset:
-    return frozenset([line[i : i + 3] for i in range(len(line) - 2)])
+def _columns(texts: list[str], before: int, rows: int, free: int) -> np.ndarray:
+    """(place, text): code points from place `before` on, `free` elsewhere."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = np.uint8 if len(points) == 0 or points.max() < 254 else np.uint16 if points.max() < 1 << 16 else np.uint32
+    out = np.full((len(texts), rows), free, kind)
+    out[np.repeat(np.arange(len(texts)), size), before + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = points
+    return np.ascontiguousarray(out.T)
 
 
-def unlike(a: str, b: str, runs_a: frozenset, runs_b: frozenset) -> bool:
-    """Whether so many runs of three characters are in one line only that the edit similarity cannot be reached."""
-    most = 3 * int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
-    return max(len(runs_a), len(runs_b)) - len(runs_a & runs_b) > most
+def _band(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Whether the distance of each pair is at most its `most`: all pairs at once, cell by cell of a diagonal band.
+
+    Counter-diagonals t = i + j follow each other; the cells of one are those with i - j from -k to k, k even, in steps of two.
+    Distances over k need not be told apart, so that bytes hold them. On odd ones cells hold a distance less one, which saves additions. A pair ends where all its cells on two neighbouring ones exceed `most`.
+    """
+    k = int(most.max()) + 1 & ~1
+    size = np.array([(len(a), len(b)) for a, b in pairs], np.int64)
+    order = np.argsort(size.sum(1), kind="stable")
+    pairs, size, least = [pairs[i] for i in order.tolist()], size[order], most[order]
+    longest = int(size.max())
+    rows = longest + 2 * k + 4
+    kind = np.uint8 if k < 230 else np.uint16 if k < 65000 else np.uint32
+    # The second text is read backwards, so that both are slices in the same direction.
+    left = _columns([a for a, _ in pairs], k + 1, rows, 254)
+    right = np.ascontiguousarray(_columns([b for _, b in pairs], k + 1, rows, 255)[::-1])
+    last = rows - 1 - (k + 1)  # where the second text's first character is
+    even, odd = np.full((k + 1, len(pairs)), k + 1, kind), np.full((k + 2, len(pairs)), k + 1, kind)
+    even[k // 2] = 0
+    out, name, end, at = np.zeros(len(pairs), bool), np.arange(len(pairs)), size.sum(1), size[:, 0] - size[:, 1]
+    done, two, top = int(np.searchsorted(end, 0, "right")), kind(2), kind(k + 1)
+    out[:done] = True
+    ends = end.tolist()
+    soon = ends[done] if done < len(ends) else ends[-1] + 1
+    for t in range(1, ends[-1] + 1):
+        if t & 1:
+            i, j, cells = k + 1 + (t - k + 1) // 2 - 1, last - ((t + k - 1) // 2 - 1), odd[1:-1]
+            near = np.minimum(even[:-1], even[1:])
+        else:
+            i, j, cells = k + 1 + (t - k) // 2 - 1, last - ((t + k) // 2 - 1), even
+            near = np.minimum(odd[:-1], odd[1:])
+            near += two
+        # Slices past either end hold no cell of a pair that is still open.
+        lo, hi = max(0, -i, -j), min(len(cells), rows - i, rows - j)
+        own = cells[lo:hi]
+        own += (left[i + lo : i + hi] != right[j + lo : j + hi]).view(np.uint8)
+        np.minimum(cells, near, out=cells)
+        if t >= soon:
+            stop = int(np.searchsorted(end, t, "right"))
+            own = np.arange(done, stop)
+            cell = (at[own] + k - (t & 1)) // 2
+            out[name[own]] = cells[np.clip(cell, 0, len(cells) - 1), own] + (t & 1) <= least[own]
+            done, soon = stop, ends[stop] if stop < len(ends) else ends[-1] + 1
+        if t % 16 == 0 and done < len(end):
+            np.minimum(even, top, out=even)
+            np.minimum(odd, top, out=odd)
+            # What is left costs at least the way back to the last cell's diagonal.
+            open_ = np.minimum((even + np.abs(np.arange(-k, k + 1, 2)[:, None] - at).astype(np.uint16)).min(0), (odd[1:-1] + np.abs(np.arange(1 - k, k, 2)[:, None] - at).astype(np.uint16)).min(0, initial=60000) + 1) <= least if k < 30000 else np.ones(len(end), bool)
+            open_[:done] = False
+            n = int(open_.sum())
+            if not n:
+                break
+            if n < 0.75 * len(open_):
+                keep = np.flatnonzero(open_)
+                left, right, even, odd = (np.take(x, keep, 1) for x in (left, right, even, odd))
+                name, end, at, least = (x[keep] for x in (name, end, at, least))
+                ends, done = end.tolist(), 0
+    back = np.empty(len(out), bool)
+    back[order] = out
+    return back
+
+
+#: Cells of a counter-diagonal that are worked out at once at least (if there are pairs) and at most, characters of the pairs, and the fewest pairs for which that pays.
+NARROW, WIDE, HELD, FEW_PAIRS = 1 << 15, 1 << 17, 1 << 23, 8
+
+
+def alike(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """similar() of each pair; those with about as many edits to spare go together."""
+    out, todo, most = np.zeros(len(pairs), bool), [], []
+    for i, (a, b) in enumerate(pairs):
+        allowed = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) > allowed:
+            continue
+        a, b = _unlike(a, b)
+        if max(len(a), len(b)) <= allowed:
+            out[i] = True
+        else:
+            todo.append((i, a, b))
+            most.append(allowed)
+    spare = np.array(most, np.int64)
+    order = np.lexsort((np.fromiter((len(a) + len(b) for _, a, b in todo), np.int64, len(todo)), spare)).tolist()
+    first = 0
+    while first < len(order):
+        least, stop, long = most[order[first]], first, 0
+        while stop < len(order):
+            k, n = most[order[stop]], max(long, *(len(x) for x in todo[order[stop]][1:]))
+            if stop > first and (k > least + least // 4 + 2 and (k * (stop - first) > NARROW or k > 2 * least + 2) or k * (stop + 1 - first) > WIDE or (n + 2 * k) * (stop + 1 - first) > HELD):
+                break
+            stop, long = stop + 1, n
+        some = order[first:stop]
+        if len(some) < FEW_PAIRS:
+            for x in some:
+                i, a, b = todo[x]
+                out[i] = edit_distance(a, b, most[x]) <= most[x]
+        else:
+            out[[todo[x][0] for x in some]] = _band([todo[x][1:] for x in some], spare[some])
+        first = stop
+    return out
 
 
 def cell_counts(line: str) -> np.ndarray:
@@ -216,36 +317,74 @@ def possible(counts: np.ndarray, chars: np.ndarray, others: np.ndarray, i: int)
     return others[np.maximum(chars[others], chars[i]) - 2 - both <= 3 * most]
 
 
+class Compared:
+    """A set of lines of several groups on its way to its links."""
+
+    def __init__(self, digests: list, groups: list, norms: list):
+        n = len(norms)
+        number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
+        self.digests, self.norms = digests, norms
+        self.group = np.array([number[g] for g in groups], np.int64)
+        self.uf, self.row, self.left, self.asked = common.UnionFind(), 0, max(len(number) - 1, 0), []
+        if self.left:
+            self.chars = np.fromiter(map(len, norms), np.int64, n)
+            self.size = int(self.chars.sum())
+            self.counts = np.stack([cell_counts(x) if len(x) > 2 else np.zeros(CELLS, np.uint16) for x in norms])
+
+    def ask(self) -> list[tuple[str, str]]:
+        """The next pairs to compare, few at once: others may join their groups."""
+        now = np.array([self.uf.find(g) for g in range(int(self.group.max()) + 1)], np.int64)[self.group]
+        self.asked, n = [], len(self.norms)
+        while self.left and self.row < n - 1 and 2 * len(self.asked) < n:
+            i = self.row
+            others = np.flatnonzero(now[i + 1 :] != now[i]) + i + 1
+            self.asked += [(i, j) for j in possible(self.counts, self.chars, others, i).tolist()] if len(others) else []
+            self.row += 1
+        return [(self.norms[i], self.norms[j]) for i, j in self.asked]
+
+    def told(self, found: list[bool]) -> list[tuple]:
+        """Links among the pairs asked for that join two groups."""
+        out = []
+        for (i, j), yes in zip(self.asked, found):
+            if yes and self.uf.union(int(self.group[i]), int(self.group[j])):
+                out.append((self.digests[i], self.digests[j]))
+                self.left -= 1
+        return out
+
+    @property
+    def over(self) -> bool:
+        return not self.left or self.row >= len(self.norms) - 1
+
+
+#: Lines, and characters of them, whose sets are compared together.
+TOGETHER, MOST_CHARS = 8192, 1 << 23
+
+
+def links_of(sets):
+    """Lists of links of the sets, whose pairs are compared together in rounds; as sets end others come in."""
+    sets, now, more = iter(sets), [], True
+    while True:
+        lines, chars = sum(len(s.norms) for s in now), sum(s.size for s in now)
+        while more and lines < TOGETHER and chars < MOST_CHARS:
+            s = next(sets, None)
+            more = s is not None
+            if more and not s.over:
+                now.append(s)
+                lines, chars = lines + len(s.norms), chars + s.size
+        if not now:
+            return
+        pairs, at = [], [0]
+        for s in now:
+            pairs += s.ask()
+            at.append(len(pairs))
+        found = alike(pairs).tolist()
+        yield [link for s, a, b in zip(now, at, at[1:]) for link in s.told(found[a:b])]
+        now = [s for s in now if not s.over]
+
+
 def links(digests: list, groups: list, norms: list) -> list[tuple]:
     """Links between lines of different groups; fewer than lines."""
-    n = len(norms)
-    number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
-    group = np.array([number[g] for g in groups], np.int64)
-    uf, out, left = common.UnionFind(), [], len(number) - 1
-    few = n <= 8
-    chars = np.fromiter(map(len, norms), np.int64, n)
-    counts = None if few else np.stack([cell_counts(x) if len(x) > 2 else np.zeros(CELLS, np.uint16) for x in norms])
-    runs: list = [None] * n
-    for i in range(n - 1):
-        if not left:
-            break
-        for j in range(i + 1, n) if few else possible(counts, chars, np.flatnonzero(group[i + 1 :] != group[i]) + i + 1, i).tolist():
-            if uf.find(int(group[i])) == uf.find(int(group[j])):
-                continue
-            if few:
-                a, b = norms[i], norms[j]
-                if abs(len(a) - len(b)) > (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9:
-                    continue
-                for k in (i, j):
-                    if runs[k] is None:
-                        runs[k] = runs_of(norms[k])
-                if unlike(a, b, runs[i], runs[j]):
-                    continue
-            if similar(norms[i], norms[j]):
-                uf.union(int(group[i]), int(group[j]))
-                out.append((digests[i], digests[j]))
-                left -= 1
-    return out
+    return [link for found in links_of([Compared(digests, groups, norms)]) for link in found]
 
 
 def digests_of(lines: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -395,20 +534,23 @@ def _texts(rows: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
     return common.arrow_map(rows.select("text"), run, "node long, rest long, norm string").dropDuplicates(["node", "rest"])
 
 
-def _verify(batches):
-    """rows(key, pair, digest, root, norm) sorted by key and pair -> links (a, b)."""
+def _sets(batches):
+    """rows(key, pair, digest, root, norm) sorted by key and pair -> their sets."""
     now, part = None, ([], [], [])
     for batch in batches:
-        out = []
         for key, pair, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if (key, pair) != now:
-                out += links(*part)
+                yield Compared(*part)
                 now, part = (key, pair), ([], [], [])
             for column, value in zip(part, row):
                 column.append(value)
-        yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
-    out = links(*part)
-    yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+    yield Compared(*part)
+
+
+def _verify(batches):
+    """rows(key, pair, digest, root, norm) sorted by key and pair -> links (a, b)."""
+    for found in links_of(_sets(batches)):
+        yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
 
 #: A line's digest as the components know it.

@@ -286,6 +286,46 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
+def test_pairs_compared_together_equal_pairs_compared_alone():
+    """Of any script and length, with spare edits from none to more than a byte counts."""
+    rng = random.Random(71)
+    pairs = []
+    for letters in ("ab", "abcdefgh ", "aé一\U0001f600 z", "\xfe\xffab"):
+        for size in [*rng.choices(range(1, 80), k=150), *[400] * 12, *[1800] * 9]:
+            a = rng.choices(letters, k=size)
+            b = list(a)
+            for _ in range(rng.randrange(size * 3 // 10 + 3)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+            pairs.append(("".join(a), "".join(b)))
+            pairs.append(("".join(a), "".join(rng.choices(letters, k=size))))
+    want = [line_dedup.similar(a, b) for a, b in pairs]
+    assert line_dedup.alike(pairs).tolist() == want and 300 < sum(want) < len(want) - 300
+    assert line_dedup.alike([]).tolist() == []
+
+
+def test_sets_compared_together_keep_their_own_links():
+    """Sets of one group, of one line and of none ask for nothing; no set's links go to another, nor join one group twice."""
+    rng = random.Random(72)
+    norms = [prose(rng, "en", 30) for _ in range(40)]
+    sets = []
+    for k in range(12):
+        own = [norms[k], *(slipped(rng, norms[k], 0.05) for _ in range(20)), *rng.sample(norms, 9)]
+        sets.append((list(range(100 * k, 100 * k + 30)), list(range(30)), own))
+    sets += [([], [], []), ([9000], [1], ["x"]), ([9001, 9002], [1, 1], ["same line", "same line"])]
+    found = [x for part in line_dedup.links_of(line_dedup.Compared(*s) for s in sets) for x in part]
+    assert all(a // 100 == b // 100 for a, b in found)
+    for numbers, _, own in sets:
+        uf, some = common.UnionFind(), [x for x in found if x[0] in numbers]
+        assert all(uf.union(a, b) for a, b in some)
+        whole = common.UnionFind()
+        for i in range(len(own)):
+            for j in range(i):
+                if line_dedup.similar(own[i], own[j]) and (9001 not in numbers):
+                    whole.union(numbers[i], numbers[j])
+        assert [uf.find(n) for n in numbers] == [whole.find(n) for n in numbers]
+
+
 def test_toxicity_on_held_out_rows(spark, none):
     rng = random.Random(8)
     rows, labels = [], []
