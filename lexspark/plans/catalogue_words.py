@@ -79,8 +79,9 @@ SELECT w, array_to_string(list_filter([CASE WHEN len(odd) > 0 THEN 'NONSTANDARD_
     array_to_string(list_transform(odd, lambda c: printf('U+%04X', unicode(c))), ',') AS marks, array_to_string(list_transform(outside, lambda c: printf('U+%04X', unicode(c))), ',') AS foreign_chars FROM m""")
 def character_audit(t) -> DataFrame:
     """Faults of raw strings: marks without a letter or on the wrong one, foreign characters, compatibility forms."""
-    s, n = F.col("s"), F.length("w") % 6
-    raw = F.when(n == 0, s).when(n == 1, F.concat(F.lit(" "), s)).when(n == 2, F.concat(s, F.lit("־א"))).when(n == 3, F.concat(F.lit("x"), s, F.lit("́"))).when(n == 4, F.concat(F.lit("ׁ"), s)).otherwise(F.concat(F.lit("שׁ"), s))
+    n = (F.length("w") % 6).cast("int")
+    around = lambda *parts: F.get(F.array(*map(F.lit, parts)), n)
+    raw = F.concat(around("", " ", "", "x", "ׁ", "שׁ"), F.col("s"), around("", "", "־א", "́", "", ""))
     found = words(t).select("w", text.audit(raw).alias("a"))
     return found.select("w", F.array_join("a.flags", "|").alias("flags"), F.array_join("a.nonstandard_marks", ",").alias("marks"), F.array_join("a.non_hebrew_chars", ",").alias("foreign_chars"))
 

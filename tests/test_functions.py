@@ -52,6 +52,18 @@ def test_audit_flags(spark):
     assert (got[5]["non_hebrew_chars"], got[4]["nonstandard_marks"]) == (["U+0061"], ["U+05BD"])
 
 
+def test_audit_sends_a_column_to_python_few_times(spark):
+    df = spark.createDataFrame([("אa",), ("ָא",)], "w string").distinct()
+    raw = F.concat("w", text.nfc(F.translate("w", "ab", "אב")))
+    plan, wide = df.select("w", text.audit(raw).alias("a"))._jdf.queryExecution().optimizedPlan(), []
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        wide.append(node.output().size())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert max(wide) <= 8  # 147 when each pattern named the raw string
+
+
 def test_markup_and_words(spark):
     values = ["[[a#b|שלום]] <!-- x -->'''עולם'''<ref>no</ref>", "[[דבר]]"]
     assert column(spark, values, text.strip_markup) == ["שלום עולם", "דבר"]
