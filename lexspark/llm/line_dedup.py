@@ -17,7 +17,9 @@ of the lines in them are fetched (a bitmap of bounded size keeps other lines fro
 are worked off in two rounds: those of the first bands, then those whose lines are not yet in one group; only
 the links that join two groups are put out. In the first round sets of over CHUNK lines are dealt out into chunks, each set in its own
 way, which groups near copies without replicating a line; what then still is of several groups
-goes out as pairs of chunks, so that no task holds a whole hot set and no pair is left out. Copies of a line are one node.
+goes out as pairs of chunks, so that no task holds a whole hot set and no pair is left out. Small sets of the second round that have
+the same smallest node go together: lines that share several keys are sent and compared once. Of two groups few pairs are compared at a time, as one
+link joins them. Copies of a line are one node.
 Bounds by lengths and runs of three characters, of which an edit changes at most three, settle most pairs that are not alike.
 The others of many sets are compared together, in a band of cells for all pairs at once.
 
@@ -47,6 +49,8 @@ MIN_WORDS, FEW_WORDS = 5, 16
 CELLS = 512
 #: Lines that a task gathers before it deals out their band keys, bytes that are hashed at a time, and the most bits of a node by which texts are asked for.
 GATHER, SPAN, MOST_BITS = 1 << 16, 1 << 19, 26
+#: In the second round sets of at most so many lines that have the same smallest node are worked off as one: BANDS of them at most, about what a pair of chunks holds.
+SMALL = 80
 #: Sets of the bands before this one make up the first round.
 FIRST = 2
 #: Signs to blanks, digits to 0; other bytes stay (fixed by ASCII).
@@ -318,28 +322,60 @@ def possible(counts: np.ndarray, chars: np.ndarray, others: np.ndarray, i: int)
 
 
 class Compared:
-    """A set of lines of several groups on its way to its links."""
+    """Lines of several groups on their way to their links: of one set, or of sets that share lines."""
 
-    def __init__(self, digests: list, groups: list, norms: list):
+    def __init__(self, digests: list, groups: list, norms: list, sets: list[list[int]] | None = None):
         n = len(norms)
         number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
         self.digests, self.norms = digests, norms
         self.group = np.array([number[g] for g in groups], np.int64)
-        self.uf, self.row, self.left, self.asked = common.UnionFind(), 0, max(len(number) - 1, 0), []
+        self.uf, self.left, self.asked = common.UnionFind(), max(len(number) - 1, 0), []
+        #: Small sets first; `row` of the first of them comes next.
+        self.sets, self.row = sorted((np.array(x, np.int64) for x in sets), key=len, reverse=True) if sets else [np.arange(n)], 0
+        self.seen: set | None = set() if len(self.sets) > 1 else None
+        self.waiting: list[tuple[int, int]] = []
+        self.tried: dict[tuple[int, int], int] = {}
+        self.now = self.group
         if self.left:
             self.chars = np.fromiter(map(len, norms), np.int64, n)
             self.size = int(self.chars.sum())
             self.counts = np.stack([cell_counts(x) if len(x) > 2 else np.zeros(CELLS, np.uint16) for x in norms])
 
+    def _next(self) -> list[tuple[int, int]]:
+        """Pairs of the next row that may be links between groups and were not met in another set."""
+        own, row = self.sets[-1], self.row
+        i, rest, self.row = int(own[row]), own[row + 1 :], row + 1
+        if self.row >= len(own) - 1:
+            self.sets.pop()
+            self.row = 0
+        others = rest[self.now[rest] != self.now[i]]
+        found = [(i, j) for j in possible(self.counts, self.chars, others, i).tolist()] if len(others) else []
+        if self.seen is not None:
+            found = [x for x in found if x not in self.seen]
+            self.seen.update(found)
+        return found
+
     def ask(self) -> list[tuple[str, str]]:
-        """The next pairs to compare, few at once: others may join their groups."""
-        now = np.array([self.uf.find(g) for g in range(int(self.group.max()) + 1)], np.int64)[self.group]
-        self.asked, n = [], len(self.norms)
-        while self.left and self.row < n - 1 and 2 * len(self.asked) < n:
-            i = self.row
-            others = np.flatnonzero(now[i + 1 :] != now[i]) + i + 1
-            self.asked += [(i, j) for j in possible(self.counts, self.chars, others, i).tolist()] if len(others) else []
-            self.row += 1
+        """The next pairs to compare; of two groups few at once, twice as many each time: one link joins them."""
+        self.asked, waiting, met, n = [], [], {}, len(self.norms)
+        todo = self.waiting
+        while True:
+            for i, j in todo:
+                a, b = int(self.now[i]), int(self.now[j])
+                if a == b:
+                    continue
+                two = (a, b) if a < b else (b, a)
+                if met.get(two, 0) < max(1, self.tried.get(two, 0)):
+                    met[two] = met.get(two, 0) + 1
+                    self.asked.append((i, j))
+                else:
+                    waiting.append((i, j))
+            if not self.sets or 2 * len(self.asked) >= n or len(waiting) >= 4 * n:
+                break
+            todo = self._next()
+        self.waiting = waiting
+        for two, k in met.items():
+            self.tried[two] = self.tried.get(two, 0) + k
         return [(self.norms[i], self.norms[j]) for i, j in self.asked]
 
     def told(self, found: list[bool]) -> list[tuple]:
@@ -349,11 +385,13 @@ class Compared:
             if yes and self.uf.union(int(self.group[i]), int(self.group[j])):
                 out.append((self.digests[i], self.digests[j]))
                 self.left -= 1
+        if out:
+            self.now = np.array([self.uf.find(g) for g in range(int(self.group.max()) + 1)], np.int64)[self.group]
         return out
 
     @property
     def over(self) -> bool:
-        return not self.left or self.row >= len(self.norms) - 1
+        return not self.left or not self.waiting and not self.sets
 
 
 #: Lines, and characters of them, whose sets are compared together.
@@ -535,20 +573,22 @@ def _texts(rows: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
 
 
 def _sets(batches):
-    """rows(key, pair, digest, root, norm) sorted by key and pair -> their sets."""
-    now, part = None, ([], [], [])
+    """rows(key, pair, digest, root, norm, sets) sorted by key and pair -> the lines of each with their sets."""
+    now, part, members = None, ([], [], []), {}
     for batch in batches:
-        for key, pair, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, pair, digest, root, norm, sets in zip(*(c.to_pylist() for c in batch.columns)):
             if (key, pair) != now:
-                yield Compared(*part)
-                now, part = (key, pair), ([], [], [])
-            for column, value in zip(part, row):
+                yield Compared(*part, [x for x in members.values() if len(x) > 1])
+                now, part, members = (key, pair), ([], [], []), {}
+            for x in sets:
+                members.setdefault(x, []).append(len(part[0]))
+            for column, value in zip(part, (digest, root, norm)):
                 column.append(value)
-    yield Compared(*part)
+    yield Compared(*part, [x for x in members.values() if len(x) > 1])
 
 
 def _verify(batches):
-    """rows(key, pair, digest, root, norm) sorted by key and pair -> links (a, b)."""
+    """rows(key, pair, digest, root, norm, sets) sorted by key and pair -> links (a, b)."""
     for found in links_of(_sets(batches)):
         yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
@@ -573,16 +613,18 @@ def _round(cells: DataFrame, texts: DataFrame, roots: DataFrame | None, partitio
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node", "key"), chunks).cast("int")
     if roots is None:
-        todo = cells.where(F.col("band") < FIRST).withColumn("pair", own.cast("long"))
+        todo = cells.where(F.col("band") < FIRST).select("key", own.cast("long").alias("pair"), "node", F.array("key").alias("sets"))
     else:
         texts = common.materialize(texts, "rooted")
         part = cells.where((F.col("band") >= FIRST) | (F.col("n") > CHUNK))
         ends = [F.min("root_node") != F.max("root_node"), F.min("root_rest") != F.max("root_rest")]
-        open_ = part.join(texts.select("node", "root_node", "root_rest"), "node").groupBy("key").agg((ends[0] | ends[1]).alias("open")).where("open").select("key")
-        todo = part.join(common.materialize(open_, "open"), "key", "left_semi")
-        todo = todo.withColumn("other", F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
+        open_ = part.join(texts.select("node", "root_node", "root_rest"), "node").groupBy("key").agg((ends[0] | ends[1]).alias("open"), F.min("node").alias("lead")).where("open").select("key", "lead")
+        todo = part.join(common.materialize(open_, "open"), "key")
+        small = todo.where(F.col("n") <= SMALL).groupBy(F.col("lead").alias("key"), F.lit(-1).cast("long").alias("pair"), "node").agg(F.collect_list("key").alias("sets"))
+        todo = todo.where(F.col("n") > SMALL).withColumn("other", F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
         todo = todo.withColumn("pair", F.least(own, "other").cast("long") * (1 << 31) + F.greatest(own, F.col("other")))
-    todo = todo.join(texts.select("node", "digest", "root", "norm"), "node").select("key", "pair", "digest", "root", "norm")
+        todo = small.unionByName(todo.select("key", "pair", "node", F.array("key").alias("sets")))
+    todo = todo.join(texts.select("node", "digest", "root", "norm"), "node").select("key", "pair", "digest", "root", "norm", "sets")
     todo = todo.repartition(partitions, "key", "pair").sortWithinPartitions("key", "pair", "digest")
 
     def verify(batches):

@@ -326,6 +326,32 @@ def test_sets_compared_together_keep_their_own_links():
         assert [uf.find(n) for n in numbers] == [whole.find(n) for n in numbers]
 
 
+def test_pairs_of_lines_are_compared_once_and_groups_joined_once(monkeypatch):
+    """Near copies in two groups need one link, not all pairs; a pair that meets in several sets is compared in one of them, and no link of any set is lost."""
+    rng, asked, alike = random.Random(73), [], line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs: asked.extend(pairs) or alike(pairs))
+    line = prose(rng, "en", 40)
+    near = [slipped(rng, line, 0.01) for _ in range(40)]
+    assert len(line_dedup.links(list(range(40)), [0] * 20 + [1] * 20, near)) == 1
+    assert len(asked) <= 3  # 20 before
+    asked.clear()
+    half = prose(rng, "en", 20)
+    norms = [f"{half} {prose(rng, 'en', 20)}" for _ in range(12)] + [slipped(rng, line, 0.05) for _ in range(12)]
+    order = rng.sample(range(24), 24)
+    norms = [norms[i] for i in order]
+    sets = [sorted(rng.sample(range(24), 14)) for _ in range(6)]
+    found = [x for part in line_dedup.links_of([line_dedup.Compared(list(range(24)), list(range(24)), norms, sets)]) for x in part]
+    assert len(asked) == len(set(asked))
+    uf, whole = common.UnionFind(), common.UnionFind()
+    assert all(uf.union(a, b) for a, b in found)
+    for own in sets:
+        for i in own:
+            for j in own:
+                if i < j and line_dedup.similar(norms[i], norms[j]):
+                    whole.union(i, j)
+    assert [uf.find(i) for i in range(24)] == [whole.find(i) for i in range(24)] and 1 < len({uf.find(i) for i in range(24)}) < 24
+
+
 def test_toxicity_on_held_out_rows(spark, none):
     rng = random.Random(8)
     rows, labels = [], []
