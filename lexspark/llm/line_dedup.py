@@ -59,7 +59,7 @@ PLAIN = bytes(10 if b == 10 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or
 MULTIPLIERS = (common.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Scripts that are written without blanks (from U+0E00 on); each of their characters is a word of its own when lines are hashed.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
-HIGH = re.compile(rb"[\xe0-\xef]")
+HIGH = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef]")
 
 
 def lines_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -69,9 +69,11 @@ def lines_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     a = np.frombuffer(b"\n".join([p for t, p in zip(texts, parts) if t is not None]) + b"\n", np.uint8)
     # Of blanks in a row the first stays, unless it begins or ends a line.
     blank = a == 32
-    before = np.concatenate([[10], a[:-1]])
+    # (Joined to arrays of bytes, not to lists, these stay bytes.)
+    end = np.array([10], np.uint8)
+    before = np.concatenate([end, a[:-1]])
     a = a[~(blank & ((before == 32) | (before == 10)))]
-    a = a[~((a == 32) & (np.concatenate([a[1:], [10]]) == 10))]
+    a = a[~((a == 32) & (np.concatenate([a[1:], end]) == 10))]
     lines = a.tobytes().split(b"\n")
     return lines[:-1] if count.sum() else [], count
 
@@ -88,7 +90,8 @@ def spaced(line: bytes) -> bytes:
 
 def signatures(lines: list[bytes]) -> np.ndarray:
     """(line, band): 32-bit keys of (nonempty) normalised lines."""
-    lines = list(map(spaced, lines))
+    if HIGH.search(b"\n".join(lines)):
+        lines = list(map(spaced, lines))
     out = [_signed(lines[a:b]) for a, b in _spans(np.fromiter(map(len, lines), np.int64, len(lines)))]
     return np.concatenate([np.empty((0, BANDS), np.uint32), *out])
 
@@ -99,15 +102,14 @@ def _signed(lines: list[bytes]) -> np.ndarray:
     gap = (a == 32) | (a == 10)
     word = np.diff(np.concatenate([[False], ~gap, [False]]).astype(np.int8))
     first, stop = np.flatnonzero(word == 1), np.flatnonzero(word == -1)
-    of = np.cumsum(a == 10)  # the line of each byte (its end counts to the next)
-    owner = of[first]
-    n = np.bincount(owner, minlength=len(lines))
+    end = np.flatnonzero(a == 10)
+    n = np.diff(np.searchsorted(first, end), prepend=0)
+    owner = np.repeat(np.arange(len(lines)), n)
     h = run(first, stop)
     many = (n >= MIN_WORDS)[owner]
     both = np.flatnonzero((owner[1:] == owner[:-1]) & many[1:])
     alone = np.flatnonzero(many & (n < FEW_WORDS)[owner])
     # Lines of few words: all runs of three bytes, or what there is.
-    end = np.flatnonzero(a == 10)
     begin = np.concatenate([[0], end[:-1] + 1])
     short = np.flatnonzero(n < MIN_WORDS)
     runs = np.maximum(end[short] - begin[short] - 2, 1)
@@ -205,74 +207,100 @@ def _columns(texts: list[str], before: int, rows: int, free: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def _reach(most: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far from the first diagonal, to either side, a path of at most `most` edits can get that ends `more` diagonals to one side (0 to most)."""
+    return (most - more) // 2, (most + more) // 2
+
+
 def _band(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
-    """Whether the distance of each pair is at most its `most`: all pairs at once, cell by cell of a diagonal band.
+    """Whether the distance of each pair is at most its `most`: all pairs at once, cell by cell of a diagonal band. First texts are not the shorter ones.
 
-    Counter-diagonals t = i + j follow each other; the cells of one are those with i - j from -k to k, k even, in steps of two.
-    Distances over k need not be told apart, so that bytes hold them. On odd ones cells hold a distance less one, which saves additions. A pair ends where all its cells on two neighbouring ones exceed `most`.
+    Counter-diagonals t = i + j follow each other; the cells of one are those with i - j from -low to high, both even, in steps of two: as far as _reach() says,
+    and later as far as what a pair has left to spend still lets it go and come back.
+    Distances over the largest `most` need not be told apart, so that bytes hold them. On odd ones cells hold a distance less one, which saves additions. A pair ends where all its cells on two neighbouring ones exceed `most`.
     """
-    k = int(most.max()) + 1 & ~1
+    k = int(most.max())
     size = np.array([(len(a), len(b)) for a, b in pairs], np.int64)
     order = np.argsort(size.sum(1), kind="stable")
     pairs, size, least = [pairs[i] for i in order.tolist()], size[order], most[order]
-    longest = int(size.max())
-    rows = longest + 2 * k + 4
+    end, at = size.sum(1), size[:, 0] - size[:, 1]
+    low, high = (int(x.max()) + 1 & ~1 for x in _reach(least, at))
+    longest, before = int(size.max()), max(low, high) + 1
+    rows = longest + 2 * before + 2
     kind = np.uint8 if k < 230 else np.uint16 if k < 65000 else np.uint32
     # The second text is read backwards, so that both are slices in the same direction.
-    left = _columns([a for a, _ in pairs], k + 1, rows, 254)
-    right = np.ascontiguousarray(_columns([b for _, b in pairs], k + 1, rows, 255)[::-1])
-    last = rows - 1 - (k + 1)  # where the second text's first character is
-    even, odd = np.full((k + 1, len(pairs)), k + 1, kind), np.full((k + 2, len(pairs)), k + 1, kind)
-    even[k // 2] = 0
-    out, name, end, at = np.zeros(len(pairs), bool), np.arange(len(pairs)), size.sum(1), size[:, 0] - size[:, 1]
+    left = _columns([a for a, _ in pairs], before, rows, 254)
+    right = np.ascontiguousarray(_columns([b for _, b in pairs], before, rows, 255)[::-1])
+    last = rows - 1 - before  # where the second text's first character is
+    n = (low + high) // 2 + 1
+    even, odd = np.full((n, len(pairs)), k + 1, kind), np.full((n + 1, len(pairs)), k + 1, kind)
+    even[low // 2] = 0
+    out, name = np.zeros(len(pairs), bool), np.arange(len(pairs))
     done, two, top = int(np.searchsorted(end, 0, "right")), kind(2), kind(k + 1)
     out[:done] = True
     ends = end.tolist()
     soon = ends[done] if done < len(ends) else ends[-1] + 1
     for t in range(1, ends[-1] + 1):
         if t & 1:
-            i, j, cells = k + 1 + (t - k + 1) // 2 - 1, last - ((t + k - 1) // 2 - 1), odd[1:-1]
+            i, j, cells = before + (t - low + 1) // 2 - 1, last - ((t + low - 1) // 2 - 1), odd[1:-1]
             near = np.minimum(even[:-1], even[1:])
         else:
-            i, j, cells = k + 1 + (t - k) // 2 - 1, last - ((t + k) // 2 - 1), even
+            i, j, cells = before + (t - low) // 2 - 1, last - ((t + low) // 2 - 1), even
             near = np.minimum(odd[:-1], odd[1:])
             near += two
         # Slices past either end hold no cell of a pair that is still open.
         lo, hi = max(0, -i, -j), min(len(cells), rows - i, rows - j)
-        own = cells[lo:hi]
-        own += (left[i + lo : i + hi] != right[j + lo : j + hi]).view(np.uint8)
+        if lo < hi:
+            own = cells[lo:hi]
+            own += (left[i + lo : i + hi] != right[j + lo : j + hi]).view(np.uint8)
         np.minimum(cells, near, out=cells)
         if t >= soon:
             stop = int(np.searchsorted(end, t, "right"))
             own = np.arange(done, stop)
-            cell = (at[own] + k - (t & 1)) // 2
-            out[name[own]] = cells[np.clip(cell, 0, len(cells) - 1), own] + (t & 1) <= least[own]
+            cell = (at[own] + low - (t & 1)) // 2
+            inside = (cell >= 0) & (cell < len(cells))
+            out[name[own]] = inside & (cells[np.where(inside, cell, 0), own] + (t & 1) <= least[own]) if len(cells) else False
             done, soon = stop, ends[stop] if stop < len(ends) else ends[-1] + 1
-        if t % 16 == 0 and done < len(end):
+        if t % 32 == 0 and done < len(end):
             np.minimum(even, top, out=even)
             np.minimum(odd, top, out=odd)
+            wide = np.int16 if k < 10000 else np.int64
+            one, way = np.arange(-low, high + 1, 2).astype(wide)[:, None], at.astype(wide)
+            off = np.arange(1 - low, high, 2).astype(wide)[:, None]
+            here, there = even.astype(wide), odd[1:-1].astype(wide) + wide(1)
             # What is left costs at least the way back to the last cell's diagonal.
-            open_ = np.minimum((even + np.abs(np.arange(-k, k + 1, 2)[:, None] - at).astype(np.uint16)).min(0), (odd[1:-1] + np.abs(np.arange(1 - k, k, 2)[:, None] - at).astype(np.uint16)).min(0, initial=60000) + 1) <= least if k < 30000 else np.ones(len(end), bool)
+            open_ = np.minimum((here + np.abs(one - way)).min(0), (there + np.abs(off - way)).min(0, initial=wide(32000))) <= least
             open_[:done] = False
             n = int(open_.sum())
             if not n:
                 break
+            # From a cell a path gets so far to either side that it can still come back.
+            spare = least - np.minimum((here - one).min(0), (there - off).min(0, initial=wide(32000)))
+            right_most = int((spare + at)[open_].max()) // 2
+            spare = least - np.minimum((here + one).min(0), (there + off).min(0, initial=wide(32000)))
+            left_most = int((spare - at)[open_].max()) // 2
+            less, fewer = (max(0, old - (new + 1 & ~1)) // 2 for old, new in ((low, left_most), (high, right_most)))
+            if 8 * (less + fewer) > len(even):
+                low, high = low - 2 * less, high - 2 * fewer
+                even, odd = even[less : len(even) - fewer].copy(), odd[less : len(odd) - fewer].copy()
+                odd[0] = odd[-1] = top
             if n < 0.75 * len(open_):
                 keep = np.flatnonzero(open_)
                 left, right, even, odd = (np.take(x, keep, 1) for x in (left, right, even, odd))
                 name, end, at, least = (x[keep] for x in (name, end, at, least))
                 ends, done = end.tolist(), 0
+                soon = ends[0]
     back = np.empty(len(out), bool)
     back[order] = out
     return back
 
 
 #: Cells of a counter-diagonal that are worked out at once at least (if there are pairs) and at most, characters of the pairs, and the fewest pairs for which that pays.
-NARROW, WIDE, HELD, FEW_PAIRS = 1 << 15, 1 << 17, 1 << 23, 8
+NARROW, WIDE, HELD, FEW_PAIRS = 1 << 15, 1 << 17, 1 << 20, 8
 
 
 def alike(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """similar() of each pair; those with about as many edits to spare go together."""
+    """similar() of each pair; those whose paths need bands of about the same width go together."""
     out, todo, most = np.zeros(len(pairs), bool), [], []
     for i, (a, b) in enumerate(pairs):
         allowed = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
@@ -282,16 +310,19 @@ def alike(pairs: list[tuple[str, str]]) -> np.ndarray:
         if max(len(a), len(b)) <= allowed:
             out[i] = True
         else:
-            todo.append((i, a, b))
+            todo.append((i, a, b) if len(a) >= len(b) else (i, b, a))
             most.append(allowed)
     spare = np.array(most, np.int64)
-    order = np.lexsort((np.fromiter((len(a) + len(b) for _, a, b in todo), np.int64, len(todo)), spare)).tolist()
+    size = np.array([(len(a), len(b)) for _, a, b in todo], np.int64).reshape(-1, 2)
+    width = _reach(spare, size[:, 0] - size[:, 1])[1]
+    order = np.lexsort((size.sum(1), width)).tolist()
+    width, longer = width.tolist(), size[:, 0].tolist()
     first = 0
     while first < len(order):
-        least, stop, long = most[order[first]], first, 0
+        least, stop, long = width[order[first]], first, 0
         while stop < len(order):
-            k, n = most[order[stop]], max(long, *(len(x) for x in todo[order[stop]][1:]))
-            if stop > first and (k > least + least // 4 + 2 and (k * (stop - first) > NARROW or k > 2 * least + 2) or k * (stop + 1 - first) > WIDE or (n + 2 * k) * (stop + 1 - first) > HELD):
+            k, n, count = width[order[stop]], max(long, longer[order[stop]]), stop - first
+            if count and (k > least + least // 4 + 2 and (k * count > NARROW or k > 4 * least + 8) or k * (count + 1) > WIDE or (n + 2 * k) * (count + 1) > HELD):
                 break
             stop, long = stop + 1, n
         some = order[first:stop]
@@ -305,26 +336,48 @@ def alike(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-def cell_counts(line: str) -> np.ndarray:
-    """Counts of runs of three characters by cell."""
-    p = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-    return np.bincount((p[:-2] * np.uint32(2654435761) ^ p[1:-1] * np.uint32(2246822519) ^ p[2:] * np.uint32(3266489917)) >> np.uint32(23), minlength=CELLS).astype(np.uint16)
+def cell_counts(lines: list[str]) -> np.ndarray:
+    """(line, cell): counts of runs of three characters."""
+    p = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    if len(p) < 3:
+        return np.zeros((len(lines), CELLS), np.uint16)
+    cell = (p[:-2] * np.uint32(2654435761) ^ p[1:-1] * np.uint32(2246822519) ^ p[2:] * np.uint32(3266489917)) >> np.uint32(23)
+    # Runs that two lines share count for none.
+    stop, end = np.cumsum(size), len(lines) * CELLS
+    at = np.repeat(np.arange(0, end, CELLS), size)[:-2] + cell
+    for back in (1, 2):
+        across = (stop - back)[size >= back]
+        at[across[(across >= 0) & (across < len(at))]] = end
+    return np.bincount(at, minlength=end)[:end].reshape(-1, CELLS).astype(np.uint16)
+
+
+def possible(counts: np.ndarray, chars: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of the pairs (some, others) that lengths and counts of runs (line, cell) do not tell apart."""
+    a, b = chars[some], chars[others]
+    most = np.floor((1 - SIMILARITY) * np.maximum(a, b) + 1e-9)
+    near = np.flatnonzero(np.abs(a - b) <= most)
+    out = []
+    for first in range(0, len(near), 2048):
+        own = near[first : first + 2048]
+        both = np.minimum(counts[others[own]], counts[some[own]]).sum(1, dtype=np.int64)
+        out.append(own[np.maximum(a[own], b[own]) - 2 - both <= 3 * most[own]])
+    return np.concatenate(out) if out else near
 
 
-def possible(counts: np.ndarray, chars: np.ndarray, others: np.ndarray, i: int) -> np.ndarray:
-    """Those of the others that lengths and counts of runs (line, cell) do not tell apart from line i."""
-    most = np.floor((1 - SIMILARITY) * np.maximum(chars[others], chars[i]) + 1e-9)
-    others, most = others[near := np.abs(chars[others] - chars[i]) <= most], most[near]
-    if not len(others):
-        return others
-    both = np.minimum(counts[others], counts[i]).sum(1, dtype=np.int64)
-    return others[np.maximum(chars[others], chars[i]) - 2 - both <= 3 * most]
+#: Pairs of sets of at most so many lines are looked through at once, where groups are few: a row at a time leaves out more pairs where every line is alone.
+AT_ONCE = 24
+HALVES = [np.triu_indices(n, 1) for n in range(AT_ONCE + 1)]
+
+
+#: Of two groups of lines so many times as many pairs are compared as were before.
+MORE = 2
 
 
 class Compared:
     """Lines of several groups on their way to their links: of one set, or of sets that share lines."""
 
-    def __init__(self, digests: list, groups: list, norms: list, sets: list[list[int]] | None = None):
+    def __init__(self, digests: list, groups: list, norms: list, sets: list[list[int]] | None = None, counts: list[np.ndarray] | None = None):
         n = len(norms)
         number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
         self.digests, self.norms = digests, norms
@@ -335,28 +388,40 @@ class Compared:
         self.seen: set | None = set() if len(self.sets) > 1 else None
         self.waiting: list[tuple[int, int]] = []
         self.tried: dict[tuple[int, int], int] = {}
+        self.few = 2 * len(number) <= n
+        self.share = n / 2  # pairs to ask for next; more each time, so that there are few rounds
         self.now = self.group
         if self.left:
             self.chars = np.fromiter(map(len, norms), np.int64, n)
             self.size = int(self.chars.sum())
-            self.counts = np.stack([cell_counts(x) if len(x) > 2 else np.zeros(CELLS, np.uint16) for x in norms])
+            self.counts = cell_counts(norms) if counts is None else np.stack(counts)
 
     def _next(self) -> list[tuple[int, int]]:
-        """Pairs of the next row that may be links between groups and were not met in another set."""
-        own, row = self.sets[-1], self.row
-        i, rest, self.row = int(own[row]), own[row + 1 :], row + 1
-        if self.row >= len(own) - 1:
+        """Pairs of the next row, or of all rows of a small set, that may be links between groups and were not met in another set."""
+        own = self.sets[-1]
+        if len(own) <= AT_ONCE and (self.few or self.seen is not None or len(own) < 3):
             self.sets.pop()
-            self.row = 0
-        others = rest[self.now[rest] != self.now[i]]
-        found = [(i, j) for j in possible(self.counts, self.chars, others, i).tolist()] if len(others) else []
+            i, j = (own[x] for x in HALVES[len(own)])
+        else:
+            j = own[self.row + 1 :]
+            i = np.full(len(j), own[self.row])
+            self.row += 1
+            if self.row >= len(own) - 1:
+                self.sets.pop()
+                self.row = 0
+        apart = np.flatnonzero(self.now[i] != self.now[j])
+        if not len(apart):
+            return []
+        i, j = i[apart], j[apart]
+        keep = possible(self.counts, self.chars, i, j)
+        found = list(zip(i[keep].tolist(), j[keep].tolist()))
         if self.seen is not None:
             found = [x for x in found if x not in self.seen]
             self.seen.update(found)
         return found
 
     def ask(self) -> list[tuple[str, str]]:
-        """The next pairs to compare; of two groups few at once, twice as many each time: one link joins them."""
+        """The next pairs to compare; of two groups few at once, MORE times as many as before each time: one link joins them."""
         self.asked, waiting, met, n = [], [], {}, len(self.norms)
         todo = self.waiting
         while True:
@@ -365,15 +430,16 @@ class Compared:
                 if a == b:
                     continue
                 two = (a, b) if a < b else (b, a)
-                if met.get(two, 0) < max(1, self.tried.get(two, 0)):
+                if met.get(two, 0) < max(1, MORE * self.tried.get(two, 0)):
                     met[two] = met.get(two, 0) + 1
                     self.asked.append((i, j))
                 else:
                     waiting.append((i, j))
-            if not self.sets or 2 * len(self.asked) >= n or len(waiting) >= 4 * n:
+            if not self.sets or len(self.asked) >= self.share or len(waiting) >= 4 * n:
                 break
             todo = self._next()
         self.waiting = waiting
+        self.share *= 2
         for two, k in met.items():
             self.tried[two] = self.tried.get(two, 0) + k
         return [(self.norms[i], self.norms[j]) for i, j in self.asked]
@@ -574,17 +640,28 @@ def _texts(rows: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
 
 def _sets(batches):
     """rows(key, pair, digest, root, norm, sets) sorted by key and pair -> the lines of each with their sets."""
-    now, part, members = None, ([], [], []), {}
+    now, part = None, ([], [], [], [], [])
+
+    def whole():
+        members: dict = {}
+        for k, own in enumerate(part[4]):
+            for x in own:
+                members.setdefault(x, []).append(k)
+        return Compared(*part[:3], [x for x in members.values() if len(x) > 1], part[3])
+
     for batch in batches:
-        for key, pair, digest, root, norm, sets in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, pair) != now:
-                yield Compared(*part, [x for x in members.values() if len(x) > 1])
-                now, part, members = (key, pair), ([], [], []), {}
-            for x in sets:
-                members.setdefault(x, []).append(len(part[0]))
-            for column, value in zip(part, (digest, root, norm)):
-                column.append(value)
-    yield Compared(*part, [x for x in members.values() if len(x) > 1])
+        key, pair = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        digests, roots, norms, sets = (c.to_pylist() for c in batch.columns[2:])
+        counts = [row for a in range(0, len(norms), 64) for row in cell_counts(norms[a : a + 64])]
+        columns = (digests, roots, norms, counts, sets)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), len(key)]
+        for first, stop in zip(edges, edges[1:]):
+            if first < stop and (key[first], pair[first]) != now:
+                yield whole()
+                now, part = (key[first], pair[first]), ([], [], [], [], [])
+            for column, values in zip(part, columns):
+                column += values[first:stop]
+    yield whole()
 
 
 def _verify(batches):

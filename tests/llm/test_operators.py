@@ -352,6 +352,47 @@ def test_pairs_of_lines_are_compared_once_and_groups_joined_once(monkeypatch):
     assert [uf.find(i) for i in range(24)] == [whole.find(i) for i in range(24)] and 1 < len({uf.find(i) for i in range(24)}) < 24
 
 
+def test_lines_without_links_are_compared_in_few_rounds(monkeypatch):
+    """All pairs of lines that share half but are no links are compared, once each, many at a time."""
+    rng, rounds, alike = random.Random(74), [], line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs: rounds.append(list(pairs)) or alike(pairs))
+    half = prose(rng, "en", 20)
+    norms = [f"{half} {prose(rng, 'en', 20)}" for _ in range(60)] + [half.replace("e", "x")]
+    assert line_dedup.links(list(range(61)), list(range(61)), norms) == []
+    asked = [x for part in rounds for x in part]
+    assert len(asked) == len(set(asked)) > 500
+    assert len(rounds) <= 8  # 40 before
+
+
+def test_bands_are_as_wide_as_paths_need():
+    """Pairs whose edits are all at the beginning, all at the end or there and back, at the limit and one beyond it."""
+    rng = random.Random(75)
+    pairs, most, want = [], [], []
+    for size in (40, 70, 200, 200, 400, 400, 900):
+        for gone, come in ((0, 6), (6, 0), (3, 3), (10, 2), (12, 12), (0, 30), (17, 13)):
+            for turn in (False, True):
+                a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé一", k=size))
+                b = a[gone:] + "".join(rng.choices("ABCDEFG", k=come))
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a, b = (a[::-1], b[::-1]) if turn else (a, b)
+                d = line_dedup.edit_distance(a, b)
+                for k in (d - 1, d, d + 1, 2 * d):
+                    if k >= len(a) - len(b):
+                        pairs.append((a, b))
+                        most.append(k)
+                        want.append(d <= k)
+    assert line_dedup._band(pairs, np.array(most)).tolist() == want and 100 < sum(want) < len(want)
+    for first in range(0, len(pairs), 9):
+        assert line_dedup._band(pairs[first : first + 9], np.array(most[first : first + 9])).tolist() == want[first : first + 9]
+
+
+def test_counts_of_runs_do_not_mix_lines():
+    rng = random.Random(76)
+    lines = ["".join(rng.choices("abcé一 ", k=rng.choice((0, 1, 2, 2, 3, 30)))) for _ in range(200)]
+    assert (line_dedup.cell_counts(lines) == np.concatenate([line_dedup.cell_counts([x]) for x in lines])).all()
+    assert line_dedup.cell_counts(lines).sum(1).tolist() == [max(0, len(x) - 2) for x in lines]
+
+
 def test_toxicity_on_held_out_rows(spark, none):
     rng = random.Random(8)
     rows, labels = [], []
