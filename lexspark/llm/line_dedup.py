@@ -73,8 +73,7 @@ def lines_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     end = np.array([10], np.uint8)
     before = np.concatenate([end, a[:-1]])
     a = a[~(blank & ((before == 32) | (before == 10)))]
-    a = a[~((a == 32) & (np.concatenate([a[1:], end]) == 10))]
-    lines = a.tobytes().split(b"\n")
+    lines = a.tobytes().replace(b" \n", b"\n").split(b"\n")
     return lines[:-1] if count.sum() else [], count
 
 
@@ -571,12 +570,15 @@ def _near(batches):
         key = key[order]
         twin = np.append(key[1:] == key[:-1], False)
         twin[1:] |= twin[:-1].copy()
-        rows = np.unique(rows[order[twin]])  # copies of a line meet here once a task
-        if not len(rows):
+        key, node = key[twin], rows["node"][order[twin]]
+        if not len(key):
             continue
-        head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
-        size = np.diff(np.append(head, len(rows)))
-        node = rows["node"].view(np.uint64) if rows["node"].flags.c_contiguous else np.ascontiguousarray(rows["node"]).view(np.uint64)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        own = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # copies of a line meet here once a task
+        key, node = key[own], node[own].view(np.uint64)
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(head, len(key)))
         a, b = (np.add.reduceat(common.mix64(node * np.uint64(m) + np.uint64(m)), head).view(np.int64) for m in (common.BASE, 0xD1B54A32D192ED03))
         many = np.flatnonzero(size > 1)
         nodes = [node[h : h + n].tobytes() for h, n in zip(head[many].tolist(), size[many].tolist())]
